@@ -142,11 +142,12 @@ def keep_first(df: DataFrame, keys: list[Column], n: int) -> DataFrame:
     """
     if n <= 0:
         return df.where(F.lit(False))
-    narrow = df.select(_key(keys).alias("_key"))
+    names = [f"k{i}" for i in range(len(keys))]
+    narrow = df.select(*[k.alias(name) for k, name in zip(keys, names)])
     cut = (
-        with_position(narrow, [F.col("_key")], "_pos")
+        with_position(narrow, [F.col(name) for name in names], "_pos")
         .where(F.col("_pos") < n)
-        .agg(F.max("_key").alias("_cut"))
+        .agg(F.max(F.struct(*names)).alias("_cut"))
     )
     return df.where(_key(keys) <= cut.scalar())
 

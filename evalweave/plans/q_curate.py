@@ -308,9 +308,9 @@ def dedupe_answers(spark, d):
 @query(
     "split_prepended_question",
     r"""WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN text ELSE concat(role, chr(10), chr(10), text) END AS t FROM conversations),
-    y AS (SELECT *, strpos(t, chr(10) || chr(10)) AS at FROM x)
-    SELECT conv_id, turn, CASE WHEN at > 0 THEN substring(t, 1, at - 1) ELSE substring(t, 1, length(t) - 1) END AS question,
-    CASE WHEN at > 0 THEN substring(t, at + 2) ELSE substring(t, 2) END AS text FROM y""",
+    y AS (SELECT *, strpos(t, chr(10) || chr(10)) AS br FROM x)
+    SELECT conv_id, turn, CASE WHEN br > 0 THEN substring(t, 1, br - 1) ELSE substring(t, 1, length(t) - 1) END AS question,
+    CASE WHEN br > 0 THEN substring(t, br + 2) ELSE substring(t, 2) END AS text FROM y""",
 )
 def split_prepended_question(spark, d):
     t = F.when(F.col("turn") % 4 == 3, F.col("text")).otherwise(F.concat("role", F.lit("\n\n"), "text"))
@@ -397,7 +397,7 @@ def join_splits(spark, d):
 
 @query(
     "task_intersection",
-    f"""WITH {SCORED_SQL}, p AS (SELECT DISTINCT concat('m', CAST(doc_id % 5 AS VARCHAR)) AS model, task FROM scored)
+    f"""WITH {SCORED_SQL}, p AS (SELECT DISTINCT concat('m', CAST(doc_id % 2 AS VARCHAR)) AS model, task FROM scored)
     SELECT task FROM p GROUP BY task HAVING count(*) = (SELECT count(DISTINCT model) FROM p)""",
 )
 def task_intersection(spark, d):
@@ -416,7 +416,8 @@ def h(seed, ids):
 
 K = 3
 FEWSHOT_SQL = f"""qa AS (SELECT conv_id AS id, min_by(text, turn) FILTER (WHERE role = 'user') AS question,
-    min_by(text, turn) FILTER (WHERE role = 'assistant') AS response FROM conversations GROUP BY conv_id),
+    min_by(text, turn) FILTER (WHERE role = 'assistant') AS response FROM conversations GROUP BY conv_id
+    HAVING bool_or(role = 'user') AND bool_or(role = 'assistant')),
 pool AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '5', CAST(id AS VARCHAR))), id) - 1 AS slot, count(*) OVER () AS n,
     {h('5/start', 'id')} AS hh FROM qa),
 own AS (SELECT *, hh % n AS start, (slot - hh % n + n) % n AS own_j FROM pool),
@@ -427,7 +428,7 @@ picks AS (SELECT k.id, k.rank, p.id AS example_id, p.question AS q, p.response A
 
 
 def qa(spark, d):
-    return C.pick_turns(table(spark, d, "conversations")).withColumnRenamed("conv_id", "id")
+    return C.pick_turns(table(spark, d, "conversations")).withColumnRenamed("conv_id", "id").where("question IS NOT NULL AND response IS NOT NULL")
 
 
 @query("fewshot_random", f"WITH {FEWSHOT_SQL} SELECT id, rank, example_id FROM picks")
@@ -459,7 +460,6 @@ def fewshot_by_indices(spark, d):
     SELECT o.id, concat('Answer the question.', chr(10), coalesce(ex, ''), question) AS context FROM qa o LEFT JOIN ex ON o.id = ex.id""",
 )
 def fewshot_context(spark, d):
-    x = qa(spark, d).where("question IS NOT NULL")
     y = qa(spark, d)
     picks = S.fewshot_random(y, y, "id", K, 5)
     return S.fewshot_context(y, picks, y, "id", "question", "response", "Answer the question.\n")
