@@ -4,7 +4,7 @@ import importlib
 
 from evalweave.plans.registry import ORACLES, QUERIES
 
-MODULES = ["q_decontam", "q_curate", "q_requests"]
+MODULES = ["q_decontam", "q_curate", "q_requests", "q_score"]
 for _name in MODULES:
     importlib.import_module(f"evalweave.plans.{_name}")
 

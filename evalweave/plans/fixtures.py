@@ -191,7 +191,7 @@ def mc(spark: SparkSession, d: str) -> DataFrame:
 # --- rolling: document log-likelihoods ---------------------------------------
 
 ROLLING_SQL = """
-rolling AS (SELECT doc_id, lang AS task, -(length(text) * 0.5 + doc_id % 10) AS ll, text FROM documents)
+rolling AS (SELECT doc_id, lang AS task, -CAST(length(text) * 0.5 + doc_id % 10 AS DOUBLE) AS ll, text FROM documents)
 """
 
 

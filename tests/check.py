@@ -80,7 +80,7 @@ def main(argv):
                 n = QUERIES[name](spark, sf_dir).count()
                 problem = None if n else "no rows"
         except Exception as e:  # noqa: BLE001
-            problem = f"{type(e).__name__}: {str(e)[:900]}"
+            problem = f"{type(e).__name__}: {str(e)[:300]}"
         kind = "sql" if name in ORACLES else "rows"
         if problem or len(names) < 40:
             print(f"{'FAIL' if problem else 'ok  '} {name} [{kind}] {time.time() - t:.1f}s {problem or ''}", flush=True)
