@@ -160,3 +160,27 @@ def seeded_order(seed: int | str, *ids: str) -> Column:
 def seeded_number(seed: int | str, *ids: str) -> Column:
     """A reproducible pseudo-random number in [0, 2^32)."""
     return F.conv(F.substring(seeded_order(seed, *ids), 1, 8), 16, 10).cast("bigint")
+
+
+def with_running_total(df: DataFrame, keys: list[Column], value: str, name: str, slices: int | None = None) -> DataFrame:
+    """Sum of ``value`` over all rows up to and including each row in key order, by slices."""
+    sliced = df.withColumn("_slice", _slice_column(df, keys, slices or slice_count(df)))
+    offsets = (
+        sliced.groupBy("_slice")
+        .agg(F.sum(value).alias("_s"))
+        .select(
+            "_slice",
+            (F.sum("_s").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias(
+                "_before"
+            ),
+        )
+    )
+    inside = F.sum(value).over(
+        Window.partitionBy("_slice").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    return (
+        sliced.withColumn("_inside", inside)
+        .join(F.broadcast(offsets), "_slice")
+        .withColumn(name, F.col("_before") + F.col("_inside"))
+        .drop("_slice", "_inside", "_before")
+    )
