@@ -68,14 +68,14 @@ def decontaminate(spark, d):
     return D.decontaminate(docs(spark, d), contaminated(spark, d), "doc_id")
 
 
-@query(
-    "overlap_report",
-    f"""WITH {INDEX},
+ORACLES_OVERLAP = f"""WITH {INDEX},
     a AS (SELECT ngram, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS test_doc_ids FROM test_index GROUP BY ngram),
     b AS (SELECT ngram, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS train_doc_ids FROM train_index
           WHERE ngram IN (SELECT ngram FROM test_index) GROUP BY ngram)
-    SELECT a.ngram, CAST(0 AS BIGINT) AS part, test_doc_ids, train_doc_ids FROM a JOIN b ON a.ngram = b.ngram""",
-)
+    SELECT a.ngram, CAST(0 AS BIGINT) AS part, test_doc_ids, train_doc_ids FROM a JOIN b ON a.ngram = b.ngram"""
+
+
+@query("overlap_report", ORACLES_OVERLAP)
 def overlap_report(spark, d):
     rows = D.overlap_report(
         docs(spark, d), bench(spark, d), "doc_id", F.col("text"), "item_id", F.col("text"), N
