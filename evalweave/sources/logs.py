@@ -39,19 +39,11 @@ def attempts_of(logs: DataFrame) -> DataFrame:
     )
 
 
-def latest_result_files(spark: SparkSession, path: str) -> DataFrame:
-    """Newest file per (model, task) by the timestamp in its name.
+def latest_by_name(files: DataFrame) -> DataFrame:
+    """Newest path per (model, task) by the timestamp in the file name; timestamps compare as strings.
 
-    Files are ``<model>/samples_<task>_<timestamp>.jsonl``. Only names are read;
-    timestamps compare as strings.
+    Paths end in ``<model>/samples_<task>_<timestamp>.jsonl``.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "samples_*.jsonl")
-        .load(path)
-        .select("path")
-    )
     name = F.substring_index("path", "/", -1)
     parts = files.select(
         "path",
@@ -62,6 +54,18 @@ def latest_result_files(spark: SparkSession, path: str) -> DataFrame:
     return parts.groupBy("model", "task").agg(F.max_by("path", "stamp").alias("path"), F.max("stamp").alias("stamp"))
 
 
+def latest_result_files(spark: SparkSession, path: str) -> DataFrame:
+    """``latest_by_name`` over the sample files below a folder; only names are read."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "samples_*.jsonl")
+        .load(path)
+        .select("path")
+    )
+    return latest_by_name(files)
+
+
 def read_latest_samples(spark: SparkSession, path: str, schema: str = SCORED_LOG) -> DataFrame:
     """Rows of the newest sample file of every (model, task)."""
     rows = read_sample_logs(spark, path, schema).withColumn("path", F.col("_metadata.file_path"))
