@@ -34,14 +34,15 @@ def total(values: Column, kind: str = "double") -> Column:
 def multiset_overlap(left: Column, right: Column) -> Column:
     """Size of the multiset intersection of two string arrays.
 
-    Both sides are tagged, sorted together and cut into runs of equal
-    (token, side); neighbouring runs of one token contribute the smaller run
-    length. One sort per row, no shuffle and no quadratic scan.
+    Every token gets a separator and its side (0 or 1) appended, both sides are
+    sorted together and cut into runs of equal strings. Runs of one token are
+    neighbours and contribute the smaller run length. One sort per row, no shuffle
+    and no quadratic scan. Tokens must not contain the character U+0000.
     """
     tagged = F.sort_array(
         F.concat(
-            F.transform(left, lambda x: F.struct(x.alias("t"), F.lit(0).alias("s"))),
-            F.transform(right, lambda x: F.struct(x.alias("t"), F.lit(1).alias("s"))),
+            F.transform(left, lambda x: F.concat(x, F.lit("\x000"))),
+            F.transform(right, lambda x: F.concat(x, F.lit("\x001"))),
         )
     )
 
@@ -52,36 +53,21 @@ def multiset_overlap(left: Column, right: Column) -> Column:
         )
 
         def from_starts(cut: Column) -> Column:
-            runs = F.transform(
-                cut,
-                lambda s, k: F.struct(
-                    F.get(items, s)["t"].alias("t"),
-                    (F.coalesce(F.get(cut, k + 1), F.size(items)) - s).alias("c"),
-                ),
-            )
-            return let(
-                runs,
-                lambda r: total(
-                    F.transform(
-                        r,
-                        lambda x, k: F.when(
-                            x["t"] == F.get(r, k + 1)["t"], F.least(x["c"], F.get(r, k + 1)["c"])
-                        ).otherwise(F.lit(0)),
-                    ),
-                    "int",
-                ),
-            )
+            # The run at k holds cut[k+1] - cut[k] elements; a token on both sides has its runs at k and k+1.
+            def smaller(s: Column, k: Column) -> Column:
+                here, after = F.get(items, s), F.get(items, F.get(cut, k + 1))
+                middle = F.get(cut, k + 1)
+                end = F.coalesce(F.get(cut, k + 2), F.size(items))
+                both = F.concat(F.rtrim(here, F.lit("0")), F.lit("1")) == after
+                return F.when(here.endswith("\x000") & both, F.least(middle - s, end - middle)).otherwise(0)
+
+            return total(F.transform(cut, smaller), "int")
 
         return let(starts, from_starts)
 
     return let(tagged, from_sorted)
 
 
-def distinct_keep_order(values: Column) -> Column:
-    """First occurrence of every element, in order."""
-    return F.array_distinct(values)
-
-
 def argmax_first(values: Column) -> Column:
     """0-based index of the largest element, the first one on ties."""
     return F.array_position(values, F.array_max(values)).cast("int") - 1

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from evalweave.functions import text as T
 from evalweave.functions.arrays import let
 from evalweave.functions.scoring import json_valid
+from evalweave.operators.broadcasts import spread
 
 Rule = Callable[[Column, Column], Column]
 
@@ -265,9 +266,9 @@ def instruction_checks(
     df: DataFrame, keys: list[str], response: str, instructions: str, rules: list[str] | None = None
 ) -> DataFrame:
     """One row per instruction with its strict and loose outcome."""
-    rows = df.select(
-        *keys, response, variants(F.col(response)).alias("_variants"), F.posexplode(instructions).alias("pos", "kw")
-    )
+    # The variants come before the explode: they are built once per response, not once per instruction.
+    relaxed = spread(df, *keys).select(*keys, response, instructions, variants(F.col(response)).alias("_variants"))
+    rows = relaxed.select(*keys, response, "_variants", F.posexplode(instructions).alias("pos", "kw"))
     kw = F.col("kw")
     return rows.select(
         *keys,

@@ -59,16 +59,6 @@ def ngram_hashes(tokens: Column, n: int) -> Column:
     return let(F.transform(tokens, lambda w: F.xxhash64(w)), build)
 
 
-def char_ngrams(text: Column, n: int) -> Column:
-    def build(s: Column) -> Column:
-        starts = F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.substring(s, i, F.lit(n)))
-
-    return let(text, build)
-
-
 def ascii_fold(text: Column, delete_chars: str = string.punctuation) -> Column:
     """ASCII lower case with ``delete_chars`` removed."""
     return F.translate(text, string.ascii_uppercase + delete_chars, string.ascii_lowercase)

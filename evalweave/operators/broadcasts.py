@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Rows of a narrow table (a hash, or an n-gram and an id): about 200 MB at most.
 BROADCAST_ROWS = 1_000_000
@@ -23,3 +24,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
+
+
+def ngrams_fit(df: DataFrame, tokens: Column, n: int, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the distinct n-grams of a table surely fit a broadcast.
+
+    The total number of n-grams bounds the distinct ones from above; it is one
+    narrow pass without building them.
+    """
+    total = df.agg(F.sum(F.greatest(F.size(tokens) - (n - 1), F.lit(0)).cast("bigint"))).first()[0]
+    return (total or 0) <= rows

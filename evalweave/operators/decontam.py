@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from evalweave.functions import text as T
 from evalweave.functions.arrays import cumulative, let, let2, positions, total
-from evalweave.operators.broadcasts import BROADCAST_ROWS, fits_broadcast, spread
+from evalweave.operators.broadcasts import BROADCAST_ROWS, fits_broadcast, ngrams_fit, spread
 from evalweave.operators.ranks import collect_in_parts
 from evalweave.session import cut_lineage
 
@@ -40,6 +40,12 @@ def _hash_rows(df: DataFrame, id_col: str, text: Column, n: int, fold: bool = Fa
     )
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Rows of an expensive query, written once and broadcast if they turn out to be few."""
+    written = cut_lineage(rows)
+    return F.broadcast(written) if fits_broadcast(written) else written
+
+
 def find_contaminated(
     train: DataFrame,
     bench: DataFrame,
@@ -56,7 +62,7 @@ def find_contaminated(
     strings), and only the candidate rows are compared by string.
     """
     dirty = bench.select(F.explode(normalized_ngrams(bench_text, n)).alias("ngram")).distinct()
-    if fits_broadcast(dirty, broadcast_rows):
+    if ngrams_fit(bench, T.words(bench_text), n, broadcast_rows):
         grams = T.ngrams(T.words(F.lower(text)), n)
         rows = spread(train, id_col).select(id_col, F.explode(grams).alias("ngram"))
         hits = rows.join(F.broadcast(dirty), "ngram", "left_semi")
@@ -70,18 +76,18 @@ def find_contaminated(
 
 
 def decontaminate(train: DataFrame, contaminated_ids: DataFrame, id_col: str) -> DataFrame:
-    """Training rows whose id is not contaminated."""
-    ids = contaminated_ids.select(id_col)
-    if fits_broadcast(ids):
-        ids = F.broadcast(ids)
-    return train.join(ids, id_col, "left_anti")
+    """Training rows whose id is not contaminated.
+
+    The ids are written once, so their size can be checked without a second scan of the corpus.
+    """
+    return train.join(_small(contaminated_ids.select(id_col)), id_col, "left_anti")
 
 
 def _shared(train: DataFrame, bench: DataFrame, id_col: str, text: Column, bench_id: str, bench_text: Column, n: int):
     """Train and benchmark index rows restricted to the n-grams both sides have."""
     bench_index = build_ngram_index(bench, bench_id, bench_text, n)
     keys = bench_index.select("ngram").distinct()
-    if fits_broadcast(keys):
+    if ngrams_fit(bench, T.words(bench_text), n):
         keys = F.broadcast(keys)
     train_hits = build_ngram_index(train, id_col, text, n).join(keys, "ngram", "left_semi")
     return train_hits, bench_index
@@ -136,25 +142,18 @@ def ngram_doc_frequency(
 ) -> DataFrame:
     """N-grams found in more than ``min_docs`` documents, with the document count.
 
-    First pass: count documents per 64-bit hash with map-side combine (strings do
-    not travel). Second pass: only n-grams with a frequent hash are spelled out
-    and counted by string, which also settles hash collisions.
+    First pass: count documents per 64-bit hash of the n-gram; the hashes travel, the
+    strings do not. Second pass: only n-grams with a frequent hash are counted by
+    string, which also settles hash collisions.
     """
-    grams = folded_ngrams if fold else normalized_ngrams
+    rows = ngram_rows(df, id_col, text, n, folded_ngrams if fold else normalized_ngrams).select(
+        "ngram", F.xxhash64("ngram").alias("h")
+    )
     frequent = (
-        _hash_rows(df, id_col, text, n, fold).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-        .where(F.col("c") > min_docs).select("h")
+        rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > min_docs).select("h")
     )
-    if fits_broadcast(frequent):
-        frequent = F.broadcast(frequent)
-    source = T.ascii_fold(text) if fold else F.lower(text)
-
-    def pairs(w: Column) -> Column:
-        return F.array_distinct(F.arrays_zip(T.ngram_hashes(w, n).alias("h"), T.ngrams(w, n).alias("ngram")))
-
-    spelled = spread(df, id_col).select(F.explode(let(T.words(source), pairs)).alias("x")).select("x.h", "x.ngram")
     return (
-        spelled.join(frequent, "h", "left_semi")
+        rows.join(_small(frequent), "h", "left_semi")
         .groupBy("ngram")
         .agg(F.count(F.lit(1)).alias("n_docs"))
         .where(F.col("n_docs") > min_docs)
@@ -172,7 +171,7 @@ def train_overlap(
     """
     index = tasks.select("task", "set", "doc_id", F.explode(folded_ngrams(task_text, n)).alias("ngram"))
     keys = index.select("ngram").distinct()
-    if fits_broadcast(keys):
+    if ngrams_fit(tasks, T.words(T.ascii_fold(task_text)), n):
         keys = F.broadcast(keys)
     matched = (
         spread(corpus, corpus_id).select(F.explode(folded_ngrams(corpus_text, n)).alias("ngram"))
@@ -232,8 +231,6 @@ def dirty_positions(
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(f"{T.NOT_WS}+"), F.lit(0))
     folded = F.transform(tokens, lambda w: T.ascii_fold(w))
     grams = spread(docs, id_col).select(id_col, F.posexplode(T.ngrams(folded, n)).alias("pos", "ngram"))
-    if fits_broadcast(dirt):
-        dirt = F.broadcast(dirt)
     hits = grams.join(dirt, "ngram", "left_semi").select(id_col, "pos")
     return (
         hits.groupBy(id_col)
@@ -316,10 +313,10 @@ def janitor_clean(
     are kept whole if they are long enough, without looking at their words again.
     """
     dirt = contaminants.select(F.explode(folded_ngrams(contaminant_text, n)).alias("ngram")).distinct()
+    if ngrams_fit(contaminants, T.words(T.ascii_fold(contaminant_text)), n):
+        dirt = F.broadcast(dirt)
     hits = dirty_positions(docs, id_col, text_col, dirt, n, cutoff)
-    joined = docs.select(id_col, text_col).join(
-        F.broadcast(hits) if fits_broadcast(hits) else hits, id_col, "left"
-    )
+    joined = docs.select(id_col, text_col).join(_small(hits), id_col, "left")
     whole = F.when(
         F.length(text_col) > min_slice - 1, F.array(F.col(text_col))
     ).otherwise(F.array().cast("array<string>"))
@@ -336,9 +333,7 @@ def decontaminated_metric(
 ) -> DataFrame:
     """Mean per group over all rows and over clean rows only (metric name + suffix)."""
     ids = dirty_ids.select(id_col).distinct().withColumn("_dirty", F.lit(True))
-    if fits_broadcast(ids):
-        ids = F.broadcast(ids)
-    flagged = scored.join(ids, id_col, "left")
+    flagged = scored.join(_small(ids), id_col, "left")
     both = flagged.groupBy(*groups).agg(
         F.avg(value).alias("all"),
         F.count(F.lit(1)).alias("n_all"),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import scoring as S
 from evalweave.functions import text as T
-from evalweave.functions.arrays import let2, multiset_overlap
+from evalweave.functions.arrays import let2
+from evalweave.operators.broadcasts import spread
 from evalweave.operators.ranks import with_group_position, with_running_total
 
 # --- aggregate expressions -----------------------------------------------------
@@ -159,15 +160,23 @@ def entity_macro_f1(pairs: DataFrame, gold: str = "gold", pred: str = "pred") ->
 # --- corpus text metrics --------------------------------------------------------
 
 
+def _token_stats(df: DataFrame, group: list[str], pred_tokens: Column, gold_tokens: Column) -> DataFrame:
+    """Per-row n-gram statistics; small inputs are spread over the cores first."""
+    tokens = spread(df).select(*group, pred_tokens.alias("_p"), gold_tokens.alias("_g"))
+    return tokens.select(*group, *S.ngram_stats("_p", "_g"))
+
+
 def corpus_bleu(df: DataFrame, group: list[str], pred: Column, gold: Column) -> DataFrame:
     """Corpus BLEU-4: clipped counts per row, one sum per group, then the closed form.
 
     Zero matches are smoothed by halving (exponential smoothing); no candidate
     n-gram of some order gives 0.
     """
-    rows = df.select(*group, S.ngram_matches(S.mt_tokens(pred), S.mt_tokens(gold)).alias("s"))
-    names = [f"{k}{n}" for n in range(1, 5) for k in "mc"] + ["p_len", "g_len"]
-    sums = rows.groupBy(*group).agg(*[F.sum(f"s.{n}").alias(n) for n in names])
+    rows = _token_stats(df, group, S.mt_tokens(pred), S.mt_tokens(gold))
+    names = [f"c{n}" for n in range(1, 5)] + ["p_len", "g_len"]
+    sums = rows.groupBy(*group).agg(
+        *[F.sum(F.get("m", F.lit(n - 1))).alias(f"m{n}") for n in range(1, 5)], *[F.sum(n).alias(n) for n in names]
+    )
     log_sum, smooth, zero = F.lit(0.0), F.lit(1.0), F.lit(False)
     for n in range(1, 5):
         m, c = F.col(f"m{n}"), F.col(f"c{n}")
@@ -181,14 +190,14 @@ def corpus_bleu(df: DataFrame, group: list[str], pred: Column, gold: Column) ->
 
 def smoothed_bleu4(df: DataFrame, group: list[str], pred: Column, gold: Column) -> DataFrame:
     """Mean of sentence BLEU-4 with add-one smoothing, times 100."""
-    stats = S.ngram_matches(S.code_tokens(pred), S.code_tokens(gold))
-    rows = df.select(*group, stats.alias("s"))
-    return rows.groupBy(*group).agg((100.0 * F.avg(S.smoothed_bleu(F.col("s")))).alias("bleu"))
+    rows = _token_stats(df, group, S.code_tokens(pred), S.code_tokens(gold))
+    return rows.groupBy(*group).agg((100.0 * F.avg(S.smoothed_bleu())).alias("bleu"))
 
 
-def corpus_chrf(df: DataFrame, group: list[str], pred: Column, gold: Column, order: int = 6, beta: int = 2) -> DataFrame:
-    """Corpus chrF: character n-grams up to ``order`` without whitespace."""
-    bare = df.select(
+def corpus_chrf(df: DataFrame, group: list[str], pred: Column, gold: Column, beta: int = 2) -> DataFrame:
+    """Corpus chrF: character n-grams up to order 6, whitespace removed."""
+    order = 6
+    bare = spread(df).select(
         *group,
         F.regexp_replace(pred, f"{T.WS}+", "").alias("_p"),
         F.regexp_replace(gold, f"{T.WS}+", "").alias("_g"),
@@ -200,9 +209,9 @@ def corpus_chrf(df: DataFrame, group: list[str], pred: Column, gold: Column, ord
         fields += [
             F.sum(F.when(ref > 0, hyp).otherwise(0)).alias(f"h{n}"),
             F.sum(ref).alias(f"r{n}"),
-            F.sum(multiset_overlap(T.char_ngrams(F.col("_p"), n), T.char_ngrams(F.col("_g"), n))).alias(f"m{n}"),
+            F.sum(F.get("_m", F.lit(n - 1))).alias(f"m{n}"),
         ]
-    sums = bare.groupBy(*group).agg(*fields)
+    sums = bare.withColumn("_m", S.char_matches(F.col("_p"), F.col("_g"))).groupBy(*group).agg(*fields)
     used = [(F.col(f"h{n}") > 0) & (F.col(f"r{n}") > 0) for n in range(1, order + 1)]
     orders = sum((u.cast("int") for u in used), F.lit(0))
     precision = sum((F.when(u, F.col(f"m{n}") / F.col(f"h{n}")).otherwise(0.0) for n, u in enumerate(used, 1)), F.lit(0.0))

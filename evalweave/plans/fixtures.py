@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalweave.operators.broadcasts import spread
 from evalweave.plans.registry import table
 
 # Whitespace class for the SQL side (the same characters as functions.text.WS).
@@ -151,7 +152,7 @@ FROM (SELECT *, unnest(range(n_choices)) AS idx FROM (
 def mc_docs(spark: SparkSession, d: str) -> DataFrame:
     """One row per document: choices and log-likelihoods as arrays, all derived in place."""
     o = (
-        table(spark, d, "orders")
+        spread(table(spark, d, "orders"), "o_orderkey")
         .withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
         .withColumn("n_choices", (2 + F.col("o_orderkey") % 4).cast("int"))
         .withColumn("i", F.sequence(F.lit(0), F.col("n_choices") - 1))
@@ -216,7 +217,7 @@ FROM conversations)
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, d, "conversations").select(
+    return spread(table(spark, d, "conversations"), "conv_id", "turn").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"),
         F.col("role").alias("task"),
         text.alias("gold"),
