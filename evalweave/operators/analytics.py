@@ -291,8 +291,9 @@ def results_table(results: DataFrame) -> DataFrame:
         F.col("n_shot").alias("n_shot"),
         "metric",
         arrow.alias("direction"),
-        F.format_string("%.4f", "value").alias("value"),
-        F.when(F.col("stderr").isNull(), "N/A").otherwise(F.format_string("%.4f", "stderr")).alias("stderr"),
+        # Halves go to the even digit, as in printf.
+        F.format_string("%.4f", F.bround("value", 4)).alias("value"),
+        F.when(F.col("stderr").isNull(), "N/A").otherwise(F.format_string("%.4f", F.bround("stderr", 4))).alias("stderr"),
     )
 
 

@@ -397,7 +397,7 @@ def join_splits(spark, d):
 
 @query(
     "task_intersection",
-    f"""WITH {SCORED_SQL}, p AS (SELECT DISTINCT concat('m', CAST(doc_id % 2 AS VARCHAR)) AS model, task FROM scored)
+    f"""WITH {SCORED_SQL}, p AS (SELECT DISTINCT concat('m', CAST(gold AS VARCHAR)) AS model, task FROM scored)
     SELECT task FROM p GROUP BY task HAVING count(*) = (SELECT count(DISTINCT model) FROM p)""",
 )
 def task_intersection(spark, d):

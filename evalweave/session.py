@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +32,10 @@ def local_session(name: str = "evalweave", cores: str = "8", shuffle_partitions:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster; a private folder only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
-        configured = os.path.join(tempfile.mkdtemp(prefix="evalweave-"), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evalweave-"))
+        configured = spark.sparkContext.getCheckpointDir()
     return configured
 
 

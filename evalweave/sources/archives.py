@@ -26,8 +26,8 @@ def read_text_archive(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_text_archive(df: DataFrame, text: Column, meta: Column, path: str, compression: str = "zstd") -> None:
-    """One {text, meta} object per line."""
+def write_text_archive(df: DataFrame, text: Column, meta: Column, path: str, compression: str = "gzip") -> None:
+    """One {text, meta} object per line. The codec zstd needs Hadoop's native library on the cluster."""
     df.select(F.to_json(F.struct(text.alias("text"), meta.alias("meta"))).alias("value")).write.mode(
         "overwrite"
     ).option("compression", compression).text(path)
