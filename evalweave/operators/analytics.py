@@ -297,38 +297,35 @@ def results_table(results: DataFrame) -> DataFrame:
     )
 
 
-def sample_export(samples: DataFrame, output_type: str) -> DataFrame:
-    """Flat per-sample rows for inspection: input, label, raw and filtered output, metric columns.
+def sample_export(samples: DataFrame, output_type: str, filter_name: str | None = None) -> DataFrame:
+    """Flat per-sample rows for inspection: id, input text, its length, label and model output.
 
-    ``samples``: doc_id, prompt, target, resps, filtered_resps and, for multiple
-    choice, choices, lls and gold.
+    ``samples`` has doc_id, prompt, target and, by output type: choices and lls
+    (multiple_choice), continuation and is_greedy (loglikelihood), ll
+    (loglikelihood_rolling), filtered_resps (generate_until).
     """
+    data, label, extra = F.col("prompt"), F.col("target"), []
     if output_type == "multiple_choice":
-        listed = F.array_join(
-            F.transform("choices", lambda c, i: F.concat(i.cast("string"), F.lit(". "), c)), "\n"
-        )
-        return samples.select(
-            "doc_id",
-            F.concat("prompt", F.lit("\n"), listed).alias("input"),
-            F.get("choices", "gold").alias("label"),
-            F.get("choices", (F.array_position("lls", F.array_max("lls")) - 1).cast("int")).alias("output"),
-            F.array_max("lls").alias("output_ll"),
-            F.length("prompt").alias("input_length"),
-        )
-    if output_type == "loglikelihood":
-        return samples.select(
-            "doc_id",
-            F.col("prompt").alias("input"),
-            F.col("target").alias("label"),
-            F.concat(F.col("target"), F.when(F.col("is_greedy"), " (greedy)").otherwise("")).alias("output"),
-            F.col("ll").alias("output_ll"),
-            F.length("prompt").alias("input_length"),
-        )
+        listed = F.array_join(F.transform("choices", lambda c: F.concat(F.lit("- "), c)), "\n")
+        data = F.concat("prompt", F.lit("\n\n"), listed)
+        output = F.array_join(F.col("lls").cast("array<string>"), ", ")
+        extra = [F.size("lls").alias("num_answers")]
+    elif output_type == "loglikelihood":
+        label = F.col("continuation")
+        output = F.when(F.col("is_greedy"), "correct").otherwise("incorrect")
+    elif output_type == "loglikelihood_rolling":
+        output = F.col("ll").cast("string")
+    else:
+        output = F.get("filtered_resps", F.lit(0))
+        extra = [F.length(output).alias("output_length")]
+    row_id = F.col("doc_id").cast("string")
     return samples.select(
+        (row_id if filter_name is None else F.concat(row_id, F.lit(f".{filter_name}"))).alias("id"),
         "doc_id",
-        F.col("prompt").alias("input"),
-        F.col("target").alias("label"),
-        F.get("resps", F.lit(0)).alias("output"),
-        F.get("filtered_resps", F.lit(0)).alias("filtered_output"),
-        F.length("prompt").alias("input_length"),
+        data.alias("data"),
+        F.length(data).alias("input_len"),
+        label.alias("labels"),
+        F.lit(output_type).alias("output_type"),
+        output.alias("output"),
+        *extra,
     )

@@ -49,6 +49,7 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     """One aggregation over the turns: both first turns come from the same shuffle."""
     first = (
         table(spark, d, "conversations")
+        .where(F.col("role").isin("user", "assistant"))
         .groupBy("conv_id")
         .agg(
             F.expr("min_by(text, turn) FILTER (WHERE role = 'user')").alias("question"),

@@ -8,7 +8,7 @@ from evalweave.functions import text as T
 from evalweave.operators import analytics as Y
 from evalweave.operators import curate as C
 from evalweave.plans.fixtures import (
-    ATTEMPTS_SQL, MC_SQL, MESSAGES_SQL, TASKS_SQL, attempts, mc_docs, messages, sql_words, tasks,
+    ATTEMPTS_SQL, MC_SQL, MESSAGES_SQL, TASKS_SQL, attempts, mc, mc_docs, messages, sql_words, tasks,
 )
 from evalweave.plans.q_curate import TRACE
 from evalweave.plans.q_metrics import LONG, long_results
@@ -231,21 +231,35 @@ def results_table(spark, d):
 
 @query(
     "sample_export",
-    f"""WITH {MC_SQL}, g AS (SELECT doc_id, concat('Q: ', max(category)) AS prompt, string_agg(concat(CAST(idx AS VARCHAR), '. ', choice), chr(10) ORDER BY idx) AS listed,
-      max(CASE WHEN idx = gold THEN choice END) AS label, arg_max(choice, (ll, -idx)) AS output, max(ll) AS output_ll FROM mc GROUP BY doc_id)
-    SELECT doc_id, concat(prompt, chr(10), listed) AS input, label, output, output_ll, CAST(length(prompt) AS INT) AS input_length FROM g""",
+    f"""WITH {MC_SQL}, g AS (SELECT doc_id, concat('Q: ', max(category), chr(10), chr(10), string_agg(concat('- ', choice), chr(10) ORDER BY idx)) AS data,
+      CAST(max(gold) AS VARCHAR) AS labels, string_agg(CAST(ll AS VARCHAR), ', ' ORDER BY idx) AS output, CAST(count(*) AS INT) AS num_answers FROM mc GROUP BY doc_id)
+    SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, data, CAST(length(data) AS INT) AS input_len, labels, 'multiple_choice' AS output_type, output, num_answers FROM g""",
 )
 def sample_export(spark, d):
-    return Y.sample_export(mc_docs(spark, d).withColumn("prompt", F.concat(F.lit("Q: "), "category")), "multiple_choice")
+    rows = mc_docs(spark, d).select(
+        "doc_id", "choices", "lls", F.concat(F.lit("Q: "), "category").alias("prompt"), F.col("gold").cast("string").alias("target")
+    )
+    return Y.sample_export(rows, "multiple_choice")
+
+
+@query(
+    "sample_export_loglikelihood",
+    f"""WITH {MC_SQL} SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, category AS data, CAST(length(category) AS INT) AS input_len, choice AS labels, 'loglikelihood' AS output_type,
+    CASE WHEN is_greedy THEN 'correct' ELSE 'incorrect' END AS output FROM mc""",
+)
+def sample_export_loglikelihood(spark, d):
+    rows = mc(spark, d).select("doc_id", F.col("category").alias("prompt"), F.lit("").alias("target"), F.col("choice").alias("continuation"), "is_greedy")
+    return Y.sample_export(rows, "loglikelihood")
 
 
 @query(
     "sample_export_generation",
-    f"WITH {MESSAGES_SQL} SELECT id AS doc_id, question AS input, coalesce(source, '') AS label, response AS output, upper(substring(response, 1, 7)) AS filtered_output, CAST(length(question) AS INT) AS input_length FROM messages",
+    f"""WITH {MESSAGES_SQL} SELECT concat(CAST(id AS VARCHAR), '.none') AS id, id AS doc_id, question AS data, CAST(length(question) AS INT) AS input_len, coalesce(source, '') AS labels,
+    'generate_until' AS output_type, lower(response) AS output, CAST(length(response) AS INT) AS output_length FROM messages""",
 )
 def sample_export_generation(spark, d):
     rows = messages(spark, d).select(
         F.col("id").alias("doc_id"), F.col("question").alias("prompt"), F.coalesce("source", F.lit("")).alias("target"),
-        F.array("response").alias("resps"), F.array(F.upper(F.substring("response", 1, 7))).alias("filtered_resps"),
+        F.array(F.lower("response")).alias("filtered_resps"),
     )
-    return Y.sample_export(rows, "generate_until")
+    return Y.sample_export(rows, "generate_until", "none")

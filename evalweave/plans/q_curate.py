@@ -401,7 +401,7 @@ def join_splits(spark, d):
     SELECT task FROM p GROUP BY task HAVING count(*) = (SELECT count(DISTINCT model) FROM p)""",
 )
 def task_intersection(spark, d):
-    rows = scored(spark, d).withColumn("model", F.concat(F.lit("m"), (F.col("doc_id") % 5).cast("string")))
+    rows = scored(spark, d).withColumn("model", F.concat(F.lit("m"), F.col("gold").cast("string")))
     return C.task_intersection(rows, "model", "task")
 
 
@@ -465,7 +465,12 @@ def fewshot_context(spark, d):
     return S.fewshot_context(y, picks, y, "id", "question", "response", "Answer the question.\n")
 
 
-@query("fewshot_chat_turns")
+@query(
+    "fewshot_chat_turns",
+    f"""WITH {FEWSHOT_SQL} SELECT id, CAST(2 * rank AS INT) AS turn, 'user' AS role, q AS content FROM picks
+    UNION ALL SELECT id, CAST(2 * rank + 1 AS INT), 'assistant', a FROM picks
+    UNION ALL SELECT id, CAST({2 * K} AS INT), 'user', question FROM qa""",
+)
 def fewshot_chat_turns(spark, d):
     y = qa(spark, d)
     picks = S.fewshot_random(y, y, "id", K, 5)

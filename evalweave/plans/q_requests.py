@@ -437,10 +437,18 @@ def clean_control_chars(spark, d):
     return docs(spark, d).select("doc_id", A.clean_control_chars(F.col("text")).alias("clean"))
 
 
-@query("normalize_math_answer")
+@query(
+    "normalize_math_answer",
+    r"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 2 = 0 THEN concat('\frac{', CAST((l_partkey % 90 + 10) // 10 AS VARCHAR), '}{', CAST((l_partkey % 90 + 10) % 10 AS VARCHAR), '}')
+    ELSE CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) END AS answer FROM lineitem""",
+)
 def normalize_math_answer(spark, d):
-    x = F.concat(F.lit("x = \\frac"), (F.col("l_partkey") % 90 + 10).cast("string"), F.lit(" \\text{m} $"), F.format_number("l_extendedprice", 0))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", M.normalize_math_answer(x).alias("answer"))
+    fraction = F.concat(F.lit("x = \\frac"), (F.col("l_partkey") % 90 + 10).cast("string"), F.lit(" \\text{m} units"))
+    amount = F.concat(F.lit("the total = $"), F.format_number(F.floor("l_extendedprice"), 0), F.lit("$ dollars"))
+    x = F.when(F.col("l_partkey") % 2 == 0, fraction).otherwise(amount)
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", M.normalize_math_answer(x).alias("answer")
+    )
 
 
 @query(

@@ -284,9 +284,15 @@ def contains_score(spark, d):
     return pairs(spark, d).select("doc_id", S.contains_score(F.col("gold"), labels).alias("contains"))
 
 
-@query("drop_em_f1")
+@query(
+    "drop_em_f1",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_linenumber % 2 = 0 AS DOUBLE) AS em,
+    CASE WHEN l_linenumber % 2 = 0 THEN CAST(1 AS DOUBLE) WHEN l_quantity + 1 = l_linenumber + 20 THEN CAST(0.57 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS f1 FROM lineitem""",
+)
 def drop_em_f1(spark, d):
-    pred = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" the items, by-line "), "l_linestatus")
+    """Odd lines name a wrong number: no credit, unless it is the number of the second gold."""
+    shown = (F.col("l_quantity") + F.col("l_linenumber") % 2).cast("int").cast("string")
+    pred = F.concat(shown, F.lit(" the items, by-line "), "l_linestatus")
     gold = F.array(
         F.concat(F.col("l_quantity").cast("string"), F.lit(" items by line "), "l_linestatus"),
         F.concat((F.col("l_linenumber") + 20).cast("string"), F.lit(" items")),
