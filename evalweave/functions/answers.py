@@ -115,22 +115,20 @@ def extract_boxed(text: Column) -> Column:
     def balanced(command: str) -> Column:
         tail = F.substring_index(text, command, -1)
 
-        def from_chars(chars: Column) -> Column:
-            change = F.transform(
-                chars, lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
-            )
+        def from_parts(parts: Column) -> Column:
+            change = F.transform(parts, lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0))
 
-            def close(depth: Column) -> Column:
-                closes = F.filter(
-                    F.transform(chars, lambda c, i: F.when((c == "}") & (F.get(depth, i) == 0), i)),
+            def closed(depth: Column) -> Column:
+                ends = F.filter(
+                    F.transform(parts, lambda c, i: F.when((c == "}") & (F.get(depth, i) == 0), i)),
                     lambda i: i.isNotNull(),
                 )
-                return F.get(closes, F.lit(0))
+                return F.array_join(F.slice(parts, F.lit(1), F.get(ends, F.lit(0)) + 1), "")
 
-            at = let(cumulative(change), close)
-            return F.concat(F.lit(command), F.substring(tail, F.lit(1), at + 1))
+            return F.concat(F.lit(command), let(cumulative(change), closed))
 
-        return let(F.split(tail, ""), from_chars)
+        # Single braces and the runs between them: depth changes at few places.
+        return let(F.regexp_extract_all(tail, F.lit("[{}]|[^{}]+"), F.lit(0)), from_parts)
 
     spaced = F.concat(
         F.lit("\\boxed "), F.substring_index(F.substring_index(text, "\\boxed ", -1), "$", 1)

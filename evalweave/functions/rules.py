@@ -38,7 +38,7 @@ def compare(n: Column, kw: Column) -> Column:
 
 
 def blank(x: Column) -> Column:
-    return T.strip(x) == ""
+    return ~x.rlike(T.NOT_WS)
 
 
 def inner_blank(parts: Column) -> Column:

@@ -117,7 +117,7 @@ def accuracy_by_tag(attempts: DataFrame, our_model: str, min_problems: int = 40)
     ours = per.where(F.col("model") == our_model).select(
         "tag", F.row_number().over(Window.orderBy(F.desc("accuracy"), "tag")).alias("tag_rank")
     )
-    return per.join(F.broadcast(ours), "tag").select("tag_rank", "tag", "model", "total", "accuracy")
+    return per.join(ours, "tag").select("tag_rank", "tag", "model", "total", "accuracy")
 
 
 def top_tags(df: DataFrame, k: int) -> DataFrame:

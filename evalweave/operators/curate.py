@@ -200,15 +200,18 @@ def dedupe_exact(values: Column) -> Column:
 
 
 def dedupe_case_insensitive(values: Column) -> Column:
-    """First spelling of every answer, ignoring case."""
-    return let(
-        values,
-        lambda v: let(
-            F.transform(v, lambda x: F.lower(x)),
-            lambda low: F.filter(v, lambda x, i: F.array_position(low, F.lower(x)) == i + 1),
-        ),
+    """First spelling of every answer, ignoring case; by sorting, so long lists stay n log n."""
+    by_case = F.sort_array(
+        F.transform(values, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x")))
     )
 
+    def firsts(s: Column) -> Column:
+        kept = F.filter(s, lambda x, i: (i == 0) | (x["k"] != F.get(s, i - 1)["k"]))
+        in_order = F.sort_array(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x"))))
+        return F.transform(in_order, lambda x: x["x"])
+
+    return let(by_case, firsts)
+
 
 def dedupe_sorted(values: Column) -> Column:
     return F.array_sort(F.array_distinct(values))

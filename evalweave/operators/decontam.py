@@ -109,14 +109,14 @@ def overlap_report(
     share of the corpus gives more rows instead of one huge list.
     """
     train_hits, bench_index = _shared(train, bench, id_col, text, bench_id, bench_text, n)
+    # The hits are read several times below (shared n-grams, sample, count, numbering); the corpus scan runs once.
+    train_hits = cut_lineage(train_hits)
     shared = train_hits.select("ngram").distinct()
     sides = train_hits.select("ngram", F.lit("train").alias("side"), F.col(id_col).alias("id")).unionByName(
         bench_index.join(shared, "ngram", "left_semi").select(
             "ngram", F.lit("test").alias("side"), F.col(bench_id).alias("id")
         )
     )
-    # The hits are read several times below (sample, count, number); the corpus scan behind them runs once.
-    sides = cut_lineage(sides)
     lists = collect_in_parts(sides, ["ngram", "side"], [F.col("id")], F.col("id"), "ids", part_size)
     return lists.groupBy("ngram", "part").agg(
         F.max(F.when(F.col("side") == "test", F.col("ids"))).alias("test_doc_ids"),
@@ -133,8 +133,8 @@ def contamination_summary(
     counts = hits.agg(
         F.countDistinct(id_col).alias("contaminated_rows"), F.countDistinct("ngram").alias("matched_ngrams")
     )
-    totals = train.agg(F.count(F.lit(1)).alias("original_rows"))
-    return totals.crossJoin(F.broadcast(counts))
+    total = train.agg(F.count(F.lit(1)))
+    return counts.select(total.scalar().alias("original_rows"), "contaminated_rows", "matched_ngrams")
 
 
 def ngram_doc_frequency(

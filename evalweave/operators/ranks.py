@@ -8,21 +8,35 @@ are literals, so a recomputed task sees the same slices.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import DoubleType, IntegralType, StringType, StructType
 
 SAMPLES_PER_SLICE = 16
+MAX_SLICES = 4096
 
 
 def slice_count(df: DataFrame) -> int:
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(MAX_SLICES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _key(keys: list[Column]) -> Column:
     return F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
 
 
+def _literal_rows(rows: list, row_type: StructType) -> Column:
+    """A constant array of structs; as one JSON literal (folded by the optimizer) where the types allow it."""
+    if all(isinstance(f.dataType, (StringType, IntegralType, DoubleType)) for f in row_type.fields):
+        text = json.dumps([r.asDict() for r in rows])
+        return F.from_json(F.lit(text), f"array<{row_type.simpleString()}>")
+    return F.array(
+        *[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, row_type.fields)]) for r in rows]
+    )
+
+
 def _slice_column(df: DataFrame, keys: list[Column], slices: int) -> Column:
     """Slice number of every row; ``slices * SAMPLES_PER_SLICE`` keys reach the driver."""
     size = slices * SAMPLES_PER_SLICE
@@ -38,16 +52,9 @@ def _slice_column(df: DataFrame, keys: list[Column], slices: int) -> Column:
     if not cuts:
         return F.lit(0)
     key_type = df.select(_key(keys).alias("k")).schema["k"].dataType
-
-    def literal(row) -> Column:
-        return F.struct(
-            *[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, key_type.fields)]
-        )
-
     # Two-step search: find the block of cuts first, then the place in the block.
     width = max(1, int(len(cuts) ** 0.5))
-    all_cuts = F.array(*[literal(c) for c in cuts])
-    heads = F.array(*[literal(c) for c in cuts[::width]])
+    all_cuts, heads = _literal_rows(cuts, key_type), _literal_rows(cuts[::width], key_type)
     key = _key(keys)
     block = F.size(F.filter(heads, lambda c: c <= key))
     return F.when(

@@ -70,7 +70,7 @@ def read_latest_samples(spark: SparkSession, path: str, schema: str = SCORED_LOG
     """Rows of the newest sample file of every (model, task)."""
     rows = read_sample_logs(spark, path, schema).withColumn("path", F.col("_metadata.file_path"))
     latest = latest_result_files(spark, path)
-    return rows.join(F.broadcast(latest), "path")
+    return rows.join(latest, "path")
 
 
 def write_grader_log(attempts: DataFrame, path: str) -> None:

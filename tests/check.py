@@ -68,7 +68,7 @@ def main(argv):
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or list(QUERIES)
-    spark = local_session("check")
+    spark = local_session("check", shuffle_partitions=int(os.environ.get("CHECK_PARTITIONS", "8")))
     con = connect(sf_dir)
     failed = 0
     for name in names:
