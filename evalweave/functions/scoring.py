@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import string
+import sys
 from collections import Counter
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
@@ -14,6 +16,9 @@ from evalweave.functions import answers as A
 from evalweave.functions import text as T
 from evalweave.functions.arrays import argmax_first, let, let2, multiset_overlap, total
 
+# The UDFs below travel to the workers whole, so the workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WORD = r"[\p{L}\p{N}_]"
 
 # Articles dropped per language.
