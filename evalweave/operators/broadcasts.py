@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Rows of a narrow table (a hash, or an n-gram and an id): about 200 MB at most.
 BROADCAST_ROWS = 1_000_000
 
+# Size of one scan split (the default of spark.sql.files.maxPartitionBytes).
+ONE_SPLIT_BYTES = 128 * 1024 * 1024
+
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Count at most ``rows + 1`` rows to decide."""
@@ -15,15 +18,20 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition rows by id when the scan has fewer splits than there are cores.
+    """Hash-partition a small table by id over the cores, for heavy per-row work.
 
-    For heavy per-row work on a few small files. A large table already has more
-    splits than cores and is returned as it is, without a shuffle.
+    Only a table whose estimated size would fit one scan split is moved (Parquet
+    files with a single row group are not split further). The estimate comes from
+    the optimizer and runs nothing; anything larger, or of unknown size, is returned
+    as it is, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    plan = getattr(df, "_jdf", None)
+    if plan is None:  # no JVM behind the session
+        return df
+    size = int(plan.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > ONE_SPLIT_BYTES:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def ngrams_fit(df: DataFrame, tokens: Column, n: int, rows: int = BROADCAST_ROWS) -> bool:
