@@ -63,9 +63,11 @@ def compare(con, spark, sf_dir, fn, sql):
 
 
 def main(argv):
-    from evalweave.plans.catalog import ORACLES, QUERIES
+    from __spark_entry__ import oracle_sql, queries
     from evalweave.session import local_session
 
+    ORACLES, QUERIES = oracle_sql(), queries()
+
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or list(QUERIES)
     spark = local_session("check", shuffle_partitions=int(os.environ.get("CHECK_PARTITIONS", "8")))
