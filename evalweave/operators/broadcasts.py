@@ -5,33 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a narrow table (a hash, or an n-gram and an id): about 200 MB at most.
+# Rows and bytes of a table that is broadcast.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 200 * 1024 * 1024
 
-# Size of one scan split (the default of spark.sql.files.maxPartitionBytes).
-ONE_SPLIT_BYTES = 128 * 1024 * 1024
+# Number of partitions for scans with too few splits; unset, scans are left as they are.
+SPREAD = "spark.evalweave.spread"
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most ``rows + 1`` rows to decide."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table is small in rows and in bytes: one parallel aggregation."""
+    strings = [F.octet_length(c) for c, kind in df.dtypes if kind in ("string", "binary")]
+    width = sum((F.coalesce(s, F.lit(0)) for s in strings), F.lit(16 * len(df.columns)))
+    n, bytes_ = df.agg(F.count(F.lit(1)), F.sum(width.cast("bigint"))).first()
+    return n <= rows and (bytes_ or 0) <= size
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a small table by id over the cores, for heavy per-row work.
+    """Hash-partition a table by id where the session asks for it.
 
-    Only a table whose estimated size would fit one scan split is moved (Parquet
-    files with a single row group are not split further). The estimate comes from
-    the optimizer and runs nothing; anything larger, or of unknown size, is returned
-    as it is, without a shuffle.
+    Files with one row group cannot be split by the scan. Whoever starts the session
+    knows the files, and sets ``spark.evalweave.spread`` to a number of partitions if
+    heavy per-row work should be dealt out anew. Without it nothing is moved.
     """
-    plan = getattr(df, "_jdf", None)
-    if plan is None:  # no JVM behind the session
-        return df
-    size = int(plan.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > ONE_SPLIT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df if not parts else df.repartition(int(parts), *keys)
 
 
 def ngrams_fit(df: DataFrame, tokens: Column, n: int, rows: int = BROADCAST_ROWS) -> bool:

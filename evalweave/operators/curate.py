@@ -14,6 +14,7 @@ from evalweave.operators.ranks import (
     keep_first,
     keep_smallest,
     seeded_order,
+    smallest_cut,
     with_position,
 )
 
@@ -56,11 +57,12 @@ def default_source(df: DataFrame) -> DataFrame:
 
 def train_val_split(df: DataFrame, id_col: str, val_size: int, seed: int = 0) -> DataFrame:
     """Add ``split``: exactly ``val_size`` rows (or all, if fewer) are "val"."""
-    key = F.struct(seeded_order(seed, id_col).alias("h"), F.col(id_col).alias("i"))
     if val_size <= 0:
         return df.withColumn("split", F.lit("train"))
-    cut = df.select(key.alias("k")).orderBy("k").limit(val_size).agg(F.max("k"))
-    return df.withColumn("split", F.when(key <= cut.scalar(), "val").otherwise("train"))
+    last = smallest_cut(df, [seeded_order(seed, id_col), F.col(id_col)], val_size)
+    if last is None:
+        return df.withColumn("split", F.lit("val"))
+    return df.withColumn("split", F.when(last, "val").otherwise("train"))
 
 
 def curate_sft(

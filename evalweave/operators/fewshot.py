@@ -15,11 +15,13 @@ def fewshot_random(
 
     The pool is put into a seeded random order once; every document takes ``k``
     neighbours from a seeded start (one more if it meets itself). Each document
-    makes ``k`` rows, never a pair with every candidate.
+    makes ``k`` rows, never a pair with every candidate. A pool with fewer than ``k``
+    examples besides the document is an error.
     """
     shuffled = with_position(pool.select(id_col), [seeded_order(seed, id_col), F.col(id_col)], "slot")
     n = pool.count()
-    k = min(k, n - 1 if same_split else n)
+    if k > (n - 1 if same_split else n):
+        raise ValueError(f"{k} examples are asked for, and the pool has {n} rows")
     start = seeded_number(f"{seed}/start", id_col) % n
     if same_split:
         own = (F.col("slot") - F.col("start") + n) % n

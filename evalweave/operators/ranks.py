@@ -16,11 +16,14 @@ from pyspark.sql import Window
 from pyspark.sql.types import DoubleType, IntegralType, StringType, StructType
 
 SAMPLES_PER_SLICE = 16
-MAX_SLICES = 4096
+
+# Rows up to which a fixed k goes through one top-k.
+DIRECT_TOP_K = 1000
 
 
 def slice_count(df: DataFrame) -> int:
-    return min(MAX_SLICES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """As many slices as the session has shuffle partitions, whatever that number is."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _key(keys: list[Column]) -> Column:
@@ -38,15 +41,19 @@ def _literal_rows(rows: list, row_type: StructType) -> Column:
 
 
 def _slice_column(df: DataFrame, keys: list[Column], slices: int) -> Column:
-    """Slice number of every row; ``slices * SAMPLES_PER_SLICE`` keys reach the driver."""
-    size = slices * SAMPLES_PER_SLICE
-    sample = (
-        df.select(_key(keys).alias("k"))
-        .orderBy(F.xxhash64("k"), "k")
-        .limit(size)
-        .orderBy("k")
-        .collect()
-    )
+    """Slice number of every row, by cut points from a sample.
+
+    A row is in the sample if the hash of its keys is small enough for about
+    ``slices * SAMPLES_PER_SLICE`` rows to be: a filter in place, without a sort or
+    a single task. Only sampled keys reach the driver.
+    """
+    want = slices * SAMPLES_PER_SLICE
+    narrow = df.select(_key(keys).alias("k"))
+    rows = narrow.count()
+    if rows > 2 * want:
+        span = 1 << 40
+        narrow = narrow.where(F.pmod(F.xxhash64("k"), F.lit(span)) < span * want // rows)
+    sample = sorted(narrow.collect(), key=lambda r: tuple((v is not None, v) if v is not None else (False,) for v in r["k"]))
     step = max(1, len(sample) // slices)
     cuts = [row["k"] for row in sample][step::step]
     if not cuts:
@@ -125,38 +132,44 @@ def collect_in_parts(
     )
 
 
+def smallest_cut(df: DataFrame, keys: list[Column], k: int) -> Column | None:
+    """A condition that holds for the ``k >= 1`` rows with the smallest keys (and ties at the last); None if for all.
+
+    For a k beyond ``DIRECT_TOP_K`` the rows are counted by slices of the keys first,
+    and only the slice with the k-th key is ordered.
+    """
+    narrow = df.select(_key(keys).alias("_key"))
+    if k > DIRECT_TOP_K:
+        names = [f"k{i}" for i in range(len(keys))]
+        plain = narrow.select("_key.*")
+        sliced = plain.withColumn("_slice", _slice_column(plain, [F.col(n) for n in names], slice_count(df)))
+        before = 0
+        for row in sorted(sliced.groupBy("_slice").count().collect()):
+            if before + row["count"] >= k:
+                k -= before
+                narrow = sliced.where(F.col("_slice") == row["_slice"]).select(F.struct(*names).alias("_key"))
+                break
+            before += row["count"]
+        else:
+            return None
+    cut = narrow.orderBy("_key").limit(k).agg(F.max("_key").alias("_cut"))
+    return _key(keys) <= cut.scalar()
+
+
 def keep_smallest(df: DataFrame, keys: list[Column], k: int) -> DataFrame:
-    """The ``k`` rows with the smallest keys, for a fixed small ``k``.
+    """The ``k`` rows with the smallest keys, for any k up to all rows.
 
-    Only the keys go through the top-k; the wide rows are kept or dropped where
-    they are by comparing against the k-th key.
+    Only keys are looked at; the wide rows are kept or dropped where they are.
     """
     if k <= 0:
         return df.where(F.lit(False))
-    cut = (
-        df.select(_key(keys).alias("_key"))
-        .orderBy("_key")
-        .limit(k)
-        .agg(F.max("_key").alias("_cut"))
-    )
-    return df.where(_key(keys) <= cut.scalar())
+    cut = smallest_cut(df, keys, k)
+    return df if cut is None else df.where(cut)
 
 
 def keep_first(df: DataFrame, keys: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows by key where ``n`` grows with the table (a fraction of it, at most all rows).
-
-    Only the keys are numbered; the rows are compared with the n-th key in place.
-    """
-    if n <= 0:
-        return df.where(F.lit(False))
-    names = [f"k{i}" for i in range(len(keys))]
-    narrow = df.select(*[k.alias(name) for k, name in zip(keys, names)])
-    cut = (
-        with_position(narrow, [F.col(name) for name in names], "_pos")
-        .where(F.col("_pos") < n)
-        .agg(F.max(F.struct(*names)).alias("_cut"))
-    )
-    return df.where(_key(keys) <= cut.scalar())
+    """The first ``n`` rows by key."""
+    return keep_smallest(df, keys, n)
 
 
 def seeded_order(seed: int | str, *ids: str) -> Column:
@@ -165,29 +178,30 @@ def seeded_order(seed: int | str, *ids: str) -> Column:
 
 
 def seeded_number(seed: int | str, *ids: str) -> Column:
-    """A reproducible pseudo-random number in [0, 2^32)."""
-    return F.conv(F.substring(seeded_order(seed, *ids), 1, 8), 16, 10).cast("bigint")
+    """A reproducible pseudo-random number in [0, 2^60)."""
+    return F.conv(F.substring(seeded_order(seed, *ids), 1, 15), 16, 10).cast("bigint")
 
 
-def with_running_total(df: DataFrame, keys: list[Column], value: str, name: str, slices: int | None = None) -> DataFrame:
-    """Sum of ``value`` over all rows up to and including each row in key order, by slices."""
+def with_running_totals(
+    df: DataFrame, keys: list[Column], names: dict[str, str], slices: int | None = None
+) -> DataFrame:
+    """For each value -> name, the sum of the value over all rows up to and including each row in key order, by slices."""
     sliced = df.withColumn("_slice", _slice_column(df, keys, slices or slice_count(df)))
+    # One row per slice.
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
     offsets = (
         sliced.groupBy("_slice")
-        .agg(F.sum(value).alias("_s"))
-        .select(
-            "_slice",
-            (F.sum("_s").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias(
-                "_before"
-            ),
-        )
-    )
-    inside = F.sum(value).over(
-        Window.partitionBy("_slice").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+        .agg(*[F.sum(value).alias(f"_s_{name}") for value, name in names.items()])
+        .select("_slice", *[(F.sum(f"_s_{n}").over(earlier) - F.col(f"_s_{n}")).alias(f"_before_{n}") for n in names.values()])
     )
+    inside = Window.partitionBy("_slice").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        sliced.withColumn("_inside", inside)
+        sliced.withColumns({f"_inside_{name}": F.sum(value).over(inside) for value, name in names.items()})
         .join(F.broadcast(offsets), "_slice")
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_slice", "_inside", "_before")
+        .withColumns({n: F.col(f"_before_{n}") + F.col(f"_inside_{n}") for n in names.values()})
+        .drop("_slice", *[f"{part}_{n}" for part in ("_inside", "_before") for n in names.values()])
     )
+
+
+def with_running_total(df: DataFrame, keys: list[Column], value: str, name: str, slices: int | None = None) -> DataFrame:
+    return with_running_totals(df, keys, {value: name}, slices)

@@ -144,21 +144,17 @@ def sample_hashes(doc: Column, prompt: Column, target: Column) -> list[Column]:
 
 
 def task_hashes(samples: DataFrame, task: str, id_col: str, part_size: int = 100_000) -> DataFrame:
-    """SHA-256 over the concatenated sample hashes of a task, in id order.
+    """SHA-256 over the part hashes of a task.
 
-    A task with more than ``part_size`` samples is hashed in parts and then over
-    the part hashes, as one string of all hashes would not fit a task.
+    A part is ``part_size`` samples in id order, and its hash that of the concatenated
+    sample hashes; one definition for tasks of every size, as one string of all
+    hashes would not fit a task.
     """
     value = F.concat("doc_hash", "prompt_hash", "target_hash")
     parts = collect_in_parts(samples, [task], [F.col(id_col)], value, "hashes", part_size)
     hashed = parts.select(task, "part", F.sha2(F.array_join("hashes", ""), 256).alias("h"))
-    return hashed.groupBy(task).agg(
-        F.when(F.count(F.lit(1)) == 1, F.max("h"))
-        .otherwise(
-            F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), 256)
-        )
-        .alias("task_hash")
-    )
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: x["h"])
+    return hashed.groupBy(task).agg(F.sha2(F.array_join(ordered, ""), 256).alias("task_hash"))
 
 
 # Worst-case extra tokens per request type, and price tiers per 1,000 tokens.
