@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from evalweave.functions import scoring as S
 from evalweave.functions import text as T
 from evalweave.functions.arrays import let2
 from evalweave.operators.broadcasts import spread
-from evalweave.operators.ranks import with_group_position, with_running_total
+from evalweave.operators.ranks import with_group_position, with_running_totals
 
 # --- aggregate expressions -----------------------------------------------------
 
@@ -42,15 +41,6 @@ def stderr_mean(value: Column) -> Column:
     return F.stddev_samp(value) / F.sqrt(F.count(value))
 
 
-AGGREGATIONS: dict[str, Callable[..., Column]] = {
-    "mean": mean,
-    "nanmean": nanmean,
-    "perplexity": perplexity,
-    "weighted_perplexity": weighted_perplexity,
-    "bits_per_byte": bits_per_byte,
-}
-
-
 def middle_element(df: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
     """The element at position n div 2 in input order (the values are not sorted)."""
     numbered = with_group_position(df.select(*group, order, value), group, [F.col(order)], "_pos")
@@ -238,43 +228,6 @@ def acc_all(df: DataFrame, paragraph: str, question: str, correct: Column) -> Da
 
 # --- standard errors ----------------------------------------------------------------
 
-# Cumulative Poisson(1) probabilities up to where a double is full.
-POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(17)]
-
-
-def poisson_weight(seed: int, row_key: Column, replicate: Column) -> Column:
-    """How often a row occurs in a replicate: Poisson(1), the same on every run and partitioning."""
-    u = F.pmod(F.xxhash64(F.lit(seed), row_key, replicate), F.lit(1 << 53)) / float(1 << 53)
-    return F.aggregate(
-        F.array(*[F.lit(c) for c in POISSON]), F.lit(0), lambda acc, c: acc + (u >= c).cast("int")
-    )
-
-
-def bootstrap_stderr(
-    df: DataFrame,
-    group: list[str],
-    row_key: Column,
-    sums: dict[str, Column],
-    statistic: Callable[[dict[str, Column]], Column],
-    replicates: int = 100,
-    seed: int = 0,
-) -> DataFrame:
-    """Spread of a statistic of weighted sums over resamples.
-
-    Every row draws its Poisson(1) count per replicate from a hash. Rows are summed
-    map-side, so what is shuffled is ``replicates`` rows per group and partition.
-    """
-    rows = df.select(
-        *group, row_key.alias("_key"), *[c.alias(f"_{n}") for n, c in sums.items()],
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"),
-    ).withColumn("_w", poisson_weight(seed, F.col("_key"), F.col("_rep")))
-    totals = rows.groupBy(*group, "_rep").agg(
-        F.sum("_w").alias("_weight"), *[F.sum(F.col("_w") * F.col(f"_{n}")).alias(n) for n in sums]
-    )
-    value = statistic({**{n: F.col(n) for n in sums}, "weight": F.col("_weight")})
-    return totals.groupBy(*group).agg(F.stddev_samp(value).alias("stderr"))
-
-
 # Metrics whose stderr is bootstrapped; text metrics use at most 100 resamples.
 BOOTSTRAPPED = ["median", "mcc", "f1", "perplexity", "bleu", "chrf", "nanmean"]
 TEXT_METRICS = ["bleu", "chrf"]
@@ -289,13 +242,6 @@ def stderr_plan(metric: str, iters: int) -> tuple[str | None, int]:
     return ("closed", 0) if metric in ("mean", "acc_all") else (None, 0)
 
 
-def mean_with_stderr(df: DataFrame, group: list[str], value: str, metric: str = "mean", iters: int = 100_000) -> DataFrame:
-    """Mean and its stderr per group, null where the metric has none."""
-    plan, _ = stderr_plan(metric, iters)
-    err = stderr_mean(F.col(value)) if plan == "closed" else F.lit(None).cast("double")
-    return df.groupBy(*group).agg(F.avg(value).alias("value"), err.alias("stderr"), F.count(F.lit(1)).alias("n"))
-
-
 def pooled_stderr(stderr: Column, n: Column) -> Column:
     """Pooled over subtasks; null if any is null."""
     pooled = F.sum((n - 1) * stderr * stderr * n) / (F.sum(n) - F.count(F.lit(1)))
@@ -517,10 +463,10 @@ def squad_v2_scores(df: DataFrame, id_col: str) -> DataFrame:
         F.when(F.col("has_answer"), F.col("f1")).otherwise(step).cast("double").alias("d_f1"),
     )
     keys = [F.col("p_na"), F.col(id_col)]
-    best_exact = with_running_total(narrow, keys, "d_exact", "run").agg(F.max("run"))
-    best_f1 = with_running_total(narrow, keys, "d_f1", "run").agg(F.max("run"))
-    return base.select(
+    runs = with_running_totals(narrow, keys, {"d_exact": "run_exact", "d_f1": "run_f1"})
+    best = runs.agg(F.max("run_exact").alias("run_exact"), F.max("run_f1").alias("run_f1"))  # one row
+    return base.crossJoin(F.broadcast(best)).select(
         "exact", "f1", "HasAns_exact", "HasAns_f1", "NoAns_exact", "NoAns_f1", "total",
-        (100 * (F.col("_no") + F.greatest(best_exact.scalar(), F.lit(0.0))) / F.col("total")).alias("best_exact"),
-        (100 * (F.col("_no") + F.greatest(best_f1.scalar(), F.lit(0.0))) / F.col("total")).alias("best_f1"),
+        (100 * (F.col("_no") + F.greatest("run_exact", F.lit(0.0))) / F.col("total")).alias("best_exact"),
+        (100 * (F.col("_no") + F.greatest("run_f1", F.lit(0.0))) / F.col("total")).alias("best_f1"),
     )

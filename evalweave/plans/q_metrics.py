@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import scoring as S
 from evalweave.functions import text as T
+from evalweave.operators import evaluate as E
 from evalweave.operators import metrics as M
+from evalweave.operators import prompts as P
 from evalweave.plans.fixtures import (
     ATTEMPTS_SQL, MC_SQL, PAIRS_SQL, ROLLING_SQL, SCORED_SQL, TASKS_SQL, W, attempts, mc, mc_docs, pairs, rolling,
     scored, sql_ngrams, sql_words, tasks,
@@ -249,27 +251,136 @@ def stderr_mean(spark, d):
     return scored(spark, d).groupBy("task").agg(r6(M.stderr_mean(F.col("value"))).alias("stderr"))
 
 
-@query("stderr_bootstrap")
+def boot_sql(name, group, source, terms, value, reps, seed):
+    """CTEs for the resampled stderr of a statistic: cells, draws and sums, as the operator has them, in SQL."""
+    names = list(terms)
+    cols = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in terms.items())
+    key = ", ".join(f"CAST({c} AS VARCHAR)" for c in [group, *names, "rep"])
+
+    def u(kind):
+        return f"((CAST(concat('0x', substring(md5(concat_ws('|', '{seed}', '{kind}', {key})), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+    return f"""{name}_cells AS (SELECT {group}, {', '.join(names)}, count(*) AS cnt FROM (SELECT {group}, {cols} FROM {source}) x GROUP BY ALL),
+    {name}_u AS (SELECT *, {u('u')} AS u, {u('v')} AS v FROM {name}_cells, (SELECT unnest(range({reps})) AS rep) r),
+    {name}_w AS (SELECT *, CASE WHEN cnt <= 30 THEN CAST((SELECT count(*) FROM pois WHERE pois.n = cnt AND u >= pois.c) AS DOUBLE)
+      ELSE greatest(floor(cnt + sqrt(CAST(cnt AS DOUBLE)) * (sqrt(-2 * ln(u)) * cos(2 * pi() * v)) + 0.5), 0) END AS w FROM {name}_u),
+    {name}_s AS (SELECT {group}, rep, sum(w) AS weight, {', '.join(f'sum(w * {n}) AS {n}' for n in names)} FROM {name}_w GROUP BY {group}, rep),
+    {name} AS (SELECT {group}, stddev_samp({value}) AS stderr FROM {name}_s GROUP BY {group})"""
+
+
+POIS = """pois(n, k, p, c) AS (SELECT range + 1, 0, exp(-CAST(range + 1 AS DOUBLE)), exp(-CAST(range + 1 AS DOUBLE)) FROM range(30)
+    UNION ALL SELECT n, k + 1, p * n / (k + 1), c + p * n / (k + 1) FROM pois WHERE k + 1 < 20 + 3 * n)"""
+
+
+@query(
+    "stderr_bootstrap",
+    f"""WITH RECURSIVE {SCORED_SQL}, {POIS}, {boot_sql('b', 'grp', 'scored', {'x': 'value'}, 'x / weight', 200, 1)}
+    SELECT grp, round(stderr, 6) AS stderr FROM b""",
+)
 def stderr_bootstrap(spark, d):
-    return M.bootstrap_stderr(
-        scored(spark, d), ["grp"], F.col("doc_id"), {"x": F.col("value")}, lambda s: s["x"] / s["weight"], 200, 1
-    )
+    r = E.resampled_stderr(scored(spark, d), ["grp"], {"x": F.col("value")}, lambda s: s["x"] / s["weight"], 200, 1)
+    return r.select("grp", r6(F.col("stderr")).alias("stderr"))
+
+
+# metric -> terms, value over all samples of a task, and the terms' names in the resampled statistic
+TP, FN, FP, TN = (f"CAST({g} AND {p} AS DOUBLE)" for g in ("gold = 1", "gold <> 1") for p in ("pred = 1", "pred <> 1"))
+TWO = {"tp": TP, "fp": FP, "fn": FN, "tn": TN}
+F1_VALUE = "CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END"
+MCC_BELOW = "(tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)"
+MCC_VALUE = f"CASE WHEN {MCC_BELOW} > 0 THEN (tp * tn - fp * fn) / sqrt({MCC_BELOW}) ELSE 0 END"
+SOME = "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE value END"
+DISPATCH = {
+    "mean": ({"x": "value"}, "x / weight"),
+    "exact_match": ({"x": "value"}, "x / weight"),
+    "brier": ({"x": "(value - 0.25) * (value - 0.25)"}, "x / weight"),
+    "nanmean": ({"x": f"coalesce({SOME}, 0)", "n": f"CASE WHEN {SOME} IS NULL THEN 0 ELSE 1 END"}, "CASE WHEN n > 0 THEN x / n ELSE CAST('nan' AS DOUBLE) END"),
+    "perplexity": ({"x": "-1 - gold * 2 - pred"}, "exp(-x / weight)"),
+    "f1": (TWO, F1_VALUE),
+    "mcc": (TWO, MCC_VALUE),
+}
+
+
+def dispatch_sql(metric):
+    terms, value = DISPATCH[metric]
+    sums = ", ".join(f"sum(CAST({e} AS DOUBLE)) AS {n}" for n, e in terms.items())
+    error = "CASE WHEN cnt > 1 THEN round(b_" + metric + ".stderr, 6) END"
+    join = f"LEFT JOIN b_{metric} USING (task)"
+    if metric == "mean":
+        error, join = "round(closed, 6)", ""
+    elif metric in ("exact_match", "brier"):
+        error, join = "NULL", ""
+    return f"""SELECT task, '{metric}' AS metric, round({value}, 6) AS value, {error} AS stderr, cnt AS n FROM
+    (SELECT task, count(*) AS cnt, CAST(count(*) AS DOUBLE) AS weight, stddev_samp(value) / sqrt(count(*)) AS closed, {sums} FROM scored GROUP BY task) t {join}"""
+
+
+RESAMPLED = ("nanmean", "perplexity", "f1", "mcc")
+ITERS = 50
 
 
 @query(
     "stderr_dispatch",
-    f"""{SC} SELECT task, 'mean' AS metric, round(avg(value), 6) AS value, round(stddev_samp(value) / sqrt(count(*)), 6) AS stderr, count(*) AS n FROM scored GROUP BY task
-    UNION ALL SELECT task, 'exact_match', round(avg(value), 6), NULL, count(*) FROM scored GROUP BY task""",
+    f"WITH RECURSIVE {SCORED_SQL}, {POIS}, "
+    + ", ".join(boot_sql(f"b_{m}", "task", "scored", *DISPATCH[m], ITERS, 0) for m in RESAMPLED)
+    + " " + " UNION ALL ".join(dispatch_sql(m) for m in DISPATCH),
 )
 def stderr_dispatch(spark, d):
-    parts = [
-        M.mean_with_stderr(scored(spark, d), ["task"], "value", m).withColumn("metric", F.lit(m)) for m in ("mean", "exact_match")
-    ]
-    return parts[0].unionByName(parts[1]).select(
+    v = F.col("value")
+    rows = scored(spark, d).withColumns(
+        {
+            "s_brier": (v - 0.25) * (v - 0.25),
+            "s_nanmean": F.when(F.col("doc_id") % 3 != 0, v),
+            "s_perplexity": (-1 - F.col("gold") * 2 - F.col("pred")).cast("double"),
+            "s_pair": F.struct("gold", "pred"),
+        }
+    )
+    scores = {"mean": "value", "exact_match": "value", "brier": "s_brier", "nanmean": "s_nanmean", "perplexity": "s_perplexity", "f1": "s_pair", "mcc": "s_pair"}
+    return E.metrics_with_stderr(rows, ["task"], scores, ITERS).select(
         "task", "metric", r6(F.col("value")).alias("value"), r6(F.col("stderr")).alias("stderr"), "n"
     )
 
 
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+CHAIN_TREE = {"urgent": PRIORITIES[:2], "other": PRIORITIES[2:], "all": ["urgent", "other"]}
+CHAIN_LEAVES = ", ".join(
+    f"('{g}', '{t}')" for g, ts in {"urgent": PRIORITIES[:2], "other": PRIORITIES[2:], "all": PRIORITIES}.items() for t in ts
+)
+
+
+@query(
+    "evaluation_chain",
+    f"""WITH RECURSIVE {MC_SQL}, {POIS}, want AS (SELECT doc_id, choice AS target FROM mc WHERE idx = gold),
+    votes AS (SELECT doc_id, lower(choice) AS response, count(*) AS n, min(idx) AS first FROM mc GROUP BY doc_id, lower(choice)),
+    voted AS (SELECT doc_id, response FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS i FROM votes) v WHERE i = 1),
+    picked AS (SELECT doc_id, choice AS response, 'first' AS filter FROM mc WHERE idx = 0 UNION ALL SELECT doc_id, response, 'vote' FROM voted),
+    scored AS (SELECT concat(o_orderpriority, '|', filter) AS task, CAST(response = CASE filter WHEN 'vote' THEN lower(target) ELSE target END AS DOUBLE) AS value,
+      length(target) % 2 AS gold, length(response) % 2 AS pred, -length(response) / 10.0 AS ll
+      FROM picked JOIN want USING (doc_id) JOIN orders ON o_orderkey = doc_id),
+    {boot_sql('b_f1', 'task', 'scored', TWO, F1_VALUE, 20, 0)}, {boot_sql('b_perplexity', 'task', 'scored', {'x': 'll'}, 'exp(-x / weight)', 20, 0)},
+    sums AS (SELECT task, count(*) AS cnt, avg(value) AS acc, stddev_samp(value) / sqrt(count(*)) AS err, exp(-sum(ll) / count(*)) AS ppl,
+      sum({TP}) AS tp, sum({FP}) AS fp, sum({FN}) AS fn FROM scored GROUP BY task),
+    res AS (SELECT task, 'mean' AS metric, acc AS value, err AS stderr, cnt FROM sums
+      UNION ALL SELECT task, 'f1', {F1_VALUE}, b_f1.stderr, cnt FROM sums JOIN b_f1 USING (task)
+      UNION ALL SELECT task, 'perplexity', ppl, b_perplexity.stderr, cnt FROM sums JOIN b_perplexity USING (task)),
+    named AS (SELECT split_part(task, '|', 1) AS task, metric, split_part(task, '|', 2) AS filter, value, stderr, cnt FROM res),
+    leaves(g, task) AS (VALUES {CHAIN_LEAVES}),
+    up AS (SELECT g AS task, metric, filter, sum(value * cnt) / sum(cnt) AS value, sqrt(sum((cnt - 1) * stderr * stderr * cnt) / (sum(cnt) - count(*)) / sum(cnt)) AS stderr,
+      CAST(sum(cnt) AS BIGINT) AS cnt FROM named JOIN leaves USING (task) GROUP BY g, metric, filter)
+    SELECT task, metric, filter, round(value, 6) AS value, round(stderr, 6) AS stderr, cnt AS n FROM (SELECT * FROM named UNION ALL SELECT * FROM up) z""",
+)
+def evaluation_chain(spark, d):
+    questions = mc_docs(spark, d).select("doc_id", F.col("category").alias("task"), F.get("choices", F.col("gold")).alias("target"))
+    responses = mc(spark, d).select("doc_id", "idx", F.col("choice").alias("response"))
+    pipelines = {"first": E.named_steps([("take_first", {})]), "vote": E.named_steps([("lowercase", {}), ("majority_vote", {})])}
+    target = F.when(F.col("filter") == "vote", F.lower("target")).otherwise(F.col("target"))
+    process = {
+        "mean": (F.col("response") == target).cast("double"),
+        "f1": F.struct((F.length("target") % 2).alias("gold"), (F.length("response") % 2).alias("pred")),
+        "perplexity": -F.length("response") / 10.0,
+    }
+    out = E.evaluate(questions, responses, pipelines, process, CHAIN_TREE, iters=20)
+    return out.select("task", "metric", "filter", r6(F.col("value")).alias("value"), r6(F.col("stderr")).alias("stderr"), "n")
+
+
 @query(
     "stderr_pooled",
     f"""WITH {TASKS_SQL} SELECT grp, round(sqrt(sum((n - 1) * stderr * stderr * n) / (sum(n) - count(*)) / sum(n)), 6) AS stderr FROM tasks GROUP BY grp""",
@@ -409,23 +520,28 @@ def per_prompt_accuracy(spark, d):
 
 @query(
     "per_option_accuracy",
-    f"WITH {MC_SQL} SELECT gold AS forced_option, round(avg(CAST(is_greedy AS INT)), 4) AS accuracy FROM mc WHERE idx = gold GROUP BY gold",
+    f"""WITH {MC_SQL}, m AS (SELECT doc_id, n_choices, gold, category, list(ll ORDER BY idx) AS lls FROM mc GROUP BY ALL),
+    o AS (SELECT *, unnest(range(5)) AS slot FROM m),
+    e AS (SELECT chr(CAST(65 + slot AS INT)) AS forced_option, CASE WHEN slot < n_choices THEN slot ELSE gold END AS place, list_position(lls, list_max(lls)) - 1 AS pick FROM o)
+    SELECT forced_option, round(avg(CAST(pick = place AS INT)), 4) AS accuracy FROM e GROUP BY forced_option""",
 )
 def per_option_accuracy(spark, d):
-    rows = mc(spark, d).where("idx = gold").withColumnRenamed("gold", "forced_option")
-    return M.accuracy_by(rows, ["forced_option"], F.col("is_greedy"))
+    """The model prefers places by their log-likelihood; the gold option is moved to every place in turn."""
+    rows = P.expand_option_orders(mc_docs(spark, d), "choices", "gold", ["A", "B", "C", "D", "E"])
+    pick = F.array_position("lls", F.array_max("lls")) - 1
+    return M.accuracy_by(rows.withColumnRenamed("always_same_option", "forced_option"), ["forced_option"], pick == F.col("gold"))
 
 
 @query(
     "multi_seed_summary",
-    f"""WITH {ATTEMPTS_SQL}, s AS (SELECT problem_id, attempt_idx + 1 AS seed, answer, status = 'AC' AS ok FROM attempts WHERE attempt_idx < 5),
-    k AS (SELECT * FROM s WHERE problem_id IN (SELECT problem_id FROM s GROUP BY problem_id HAVING count(DISTINCT seed) = 5)),
+    f"""WITH {ATTEMPTS_SQL}, s AS (SELECT problem_id, attempt_idx + 1 AS seed, answer, status = 'AC' AS ok FROM attempts),
+    k AS (SELECT * FROM s WHERE problem_id IN (SELECT problem_id FROM s GROUP BY problem_id HAVING count(DISTINCT seed) = 16)),
     {pair_rate('k', 'problem_id', 'answer')}
     SELECT seed, round(avg(CAST(ok AS INT)), 6) AS accuracy, (SELECT consistency_rate FROM rate) AS consistency_rate FROM k GROUP BY seed""",
 )
 def multi_seed_summary(spark, d):
     rows = attempts(spark, d).withColumn("seed", F.col("attempt_idx") + 1)
-    m = M.multi_seed_summary(rows, ["problem_id"], [1, 2, 3, 4, 5], "answer", F.col("status") == "AC")
+    m = M.multi_seed_summary(rows, ["problem_id"], list(range(1, 17)), "answer", F.col("status") == "AC")
     return m.select("seed", r6(F.col("accuracy")).alias("accuracy"), r6(F.col("consistency_rate")).alias("consistency_rate"))
 
 

@@ -16,6 +16,7 @@ from evalweave.operators import analytics as Y
 from evalweave.operators import curate as C
 from evalweave.operators import fewshot as W
 from evalweave.operators import filters as R
+from evalweave.operators import evaluate as E
 from evalweave.operators import metrics as M
 from evalweave.operators import prompts as P
 from evalweave.operators import requests as Q
@@ -214,7 +215,7 @@ def test_batches_spread_over_settings(spark):
     assert [r.v for r in hot] == sorted((r.v for r in hot), reverse=True)
 
 
-def test_task_hash_of_one_part(spark):
+def test_task_hash_is_over_part_hashes(spark):
     import hashlib
 
     df = spark.createDataFrame([("t", i, str(i), "p", "g") for i in range(5)], "task string, id long, a string, b string, c string")
@@ -223,9 +224,10 @@ def test_task_hash_of_one_part(spark):
     def h(x):
         return hashlib.sha256(x.encode()).hexdigest()
 
-    want = h("".join(h(str(i)) + h("p") + h("g") for i in range(5)))
-    assert Q.task_hashes(s, "task", "id").first().task_hash == want
-    assert Q.task_hashes(s, "task", "id", part_size=2).first().task_hash != want
+    each = [h(str(i)) + h("p") + h("g") for i in range(5)]
+    assert Q.task_hashes(s, "task", "id").first().task_hash == h(h("".join(each)))
+    parts = [h("".join(each[i : i + 2])) for i in (0, 2, 4)]
+    assert Q.task_hashes(s, "task", "id", part_size=2).first().task_hash == h("".join(parts))
 
 
 # --- filters ---------------------------------------------------------------------------
@@ -391,11 +393,75 @@ def test_bootstrap_near_closed_form(spark):
     df = spark.createDataFrame(
         [(i, random.Random(i).random()) for i in range(1000)], "id long, v double"
     )
-    boot = M.bootstrap_stderr(df, [], F.col("id"), {"x": F.col("v")}, lambda s: s["x"] / s["weight"], 400, 2).first().stderr
+    boot = E.resampled_stderr(df, [], {"x": F.col("v")}, lambda s: s["x"] / s["weight"], 400, 2).first().stderr
     closed = df.agg(M.stderr_mean(F.col("v")).alias("x")).first().x
     assert abs(boot - closed) < 1e-3
 
 
+def test_bootstrap_of_counted_cells(spark):
+    """A 0/1 metric has two cells, whose weights are drawn at once."""
+    df = spark.range(5000).select(((F.col("id") % 10) < 3).cast("double").alias("v"))
+    boot = E.resampled_stderr(df, [], {"x": F.col("v")}, lambda s: s["x"] / s["weight"], 400, 3).first().stderr
+    assert abs(boot - math.sqrt(0.3 * 0.7 / 5000)) < 8e-4
+
+
+def test_poisson_has_mean_and_variance(spark):
+    for n in (1, 7, 30, 31, 1000):
+        x = spark.range(4000).select(E.poisson(1, F.lit(n), F.col("id")).alias("w")).agg(F.avg("w").alias("m"), F.var_samp("w").alias("v")).first()
+        assert abs(x.m - n) < 5 * math.sqrt(n / 4000) and 0.85 < x.v / n < 1.15
+
+
+def test_unknown_metric_is_averaged(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("b", 1.0)], "task string, v double")
+    got = {(r.task, r.metric): (r.value, r.stderr) for r in E.metrics_with_stderr(df, ["task"], {"mean": "v", "odd": "v", "perplexity": "v"}, 20).collect()}
+    assert got["a", "odd"] == (0.5, None) and got["a", "mean"][1] == 0.5 and got["b", "mean"] == (1.0, None)
+    assert got["a", "perplexity"][1] > 0 and got["b", "perplexity"][1] is None
+
+
+def test_registry(spark):
+    E.register_aggregation("double_mean_of_tests", E.Aggregation(value=lambda s: 2 * s["x"] / s["weight"]))
+    df = spark.createDataFrame([("a", 1.0), ("a", 0.0)], "task string, v double")
+    assert E.metrics_with_stderr(df, ["task"], {"double_mean_of_tests": "v"}).first().value == 1.0
+    with pytest.raises(ValueError):
+        E.register_aggregation("f1", E.Aggregation())
+    with pytest.raises(ValueError):
+        E.register_filter("regex", lambda: None)
+
+
+def test_fewshot_pool_too_small(spark):
+    pool = spark.createDataFrame([(i,) for i in range(3)], "id long")
+    with pytest.raises(ValueError, match="10 examples"):
+        W.fewshot_random(pool, pool, "id", 10)
+
+
+def funnels(df):
+    """Steps of a plan in which all partitions meet in one task."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "TakeOrderedAndProject" in line or "SinglePartition" in line]
+
+
+def test_no_funnel_for_large_k(spark, monkeypatch):
+    from evalweave.operators import ranks
+
+    taken = []
+    original = ranks._slice_column
+    monkeypatch.setattr(ranks, "_slice_column", lambda df, keys, n: taken.append(n) or original(df, keys, n))
+    df = spark.range(20000).select(F.col("id"), F.xxhash64("id").alias("v"))
+    kept = keep_smallest(df, [F.col("v"), F.col("id")], 5000)
+    assert kept.count() == 5000 and taken
+    assert {r.v for r in kept.collect()} == {r.v for r in sorted(df.collect(), key=lambda r: r.v)[:5000]}
+    # Only rows of the slice with the cut are ordered, and the offsets of slices are the only rows that meet in one task.
+    assert not [x for x in funnels(df.where("v > 0")) if x]
+    assert not [x for x in funnels(with_position(df, [F.col("v")])) if "TakeOrdered" in x]
+
+
+def test_broadcast_check_counts_bytes(spark):
+    from evalweave.operators.broadcasts import fits_broadcast
+
+    df = spark.range(100).select(F.repeat(F.lit("x"), 1000).alias("s"))
+    assert fits_broadcast(df) and not fits_broadcast(df, rows=99) and not fits_broadcast(df, size=50_000)
+
+
 def test_squad_best_threshold(spark):
     rnd = random.Random(11)
     rows = [(i, float(rnd.random() < 0.5), 0.0, rnd.random() < 0.6, rnd.random() < 0.2, round(rnd.random(), 2)) for i in range(300)]
