@@ -388,11 +388,12 @@ def concat_datasets(spark, d):
     "join_splits",
     """SELECT doc_id, lang, 'train' AS split FROM documents WHERE lang = 'en'
     UNION ALL SELECT doc_id, lang, 'validation' FROM documents WHERE lang = 'fr'
-    UNION ALL SELECT doc_id, lang, 'test' FROM documents WHERE lang = 'de'""",
+    UNION ALL SELECT doc_id, lang, 'test' FROM documents WHERE lang NOT IN ('en', 'fr')""",
 )
 def join_splits(spark, d):
     x = docs(spark, d).select("doc_id", "lang")
-    return C.join_splits({s: x.where(F.col("lang") == g) for s, g in [("train", "en"), ("validation", "fr"), ("test", "de")]})
+    lang = F.col("lang")
+    return C.join_splits({"train": x.where(lang == "en"), "validation": x.where(lang == "fr"), "test": x.where(~lang.isin("en", "fr"))})
 
 
 @query(
@@ -411,7 +412,7 @@ def pattern_match(spark, d):
 
 
 def h(seed, ids):
-    return f"CAST(concat('0x', substring(md5(concat_ws('|', '{seed}', CAST({ids} AS VARCHAR))), 1, 8)) AS BIGINT)"
+    return f"CAST(concat('0x', substring(md5(concat_ws('|', '{seed}', CAST({ids} AS VARCHAR))), 1, 15)) AS BIGINT)"
 
 
 K = 3
@@ -438,10 +439,10 @@ def fewshot_random(spark, d):
 
 @query(
     "fewshot_first_n",
-    "SELECT conv_id, turn, text FROM conversations WHERE role = 'user' ORDER BY conv_id * 100 + turn LIMIT 5",
+    "SELECT conv_id, turn, text FROM conversations ORDER BY conv_id * 100 + turn LIMIT 5",
 )
 def fewshot_first_n(spark, d):
-    pool = table(spark, d, "conversations").where("role = 'user'").withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
+    pool = table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
     return S.fewshot_first_n(pool, "id", 5).select("conv_id", "turn", "text")
 
 

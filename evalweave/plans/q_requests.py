@@ -146,10 +146,12 @@ def request_hashes(spark, d):
 
 @query(
     "task_hashes",
-    f"WITH {HASHED} SELECT task, sha256(string_agg(concat(doc_hash, prompt_hash, target_hash), '' ORDER BY doc_id)) AS task_hash FROM s GROUP BY task",
+    f"""WITH {HASHED}, n AS (SELECT *, (row_number() OVER (PARTITION BY task ORDER BY doc_id) - 1) // 100 AS part FROM s),
+    p AS (SELECT task, part, sha256(string_agg(concat(doc_hash, prompt_hash, target_hash), '' ORDER BY doc_id)) AS h FROM n GROUP BY task, part)
+    SELECT task, sha256(string_agg(h, '' ORDER BY part)) AS task_hash FROM p GROUP BY task""",
 )
 def task_hashes(spark, d):
-    return Q.task_hashes(_hashed(spark, d), "task", "doc_id")
+    return Q.task_hashes(_hashed(spark, d), "task", "doc_id", part_size=100)
 
 
 @query(
@@ -224,16 +226,14 @@ def strip_leading_ws(spark, d):
     return rows.transform(R.strip_leading_ws())
 
 
-RESP_SQL = """CASE o_custkey % 4 WHEN 0 THEN concat('I pick (', chr(CAST(65 + gold AS INT)), ').') WHEN 1 THEN concat('It must be ', choices[CAST(gold + 1 AS INT)], ' surely')
-    WHEN 2 THEN concat('Answer: ', chr(CAST(65 + gold AS INT))) ELSE 'no idea at all' END"""
-
-
 def _with_response(spark, d):
+    """Two mentions of letters in the first form: another option before the gold one, or after it for odd multiples of four."""
     g = F.col("gold")
-    letter = F.char(g + 65)
-    pick = F.col("doc_id") % 4
+    letter, other = F.char(g + 65), F.char((g + 1) % F.col("n_choices") + 65)
+    pick, flip = F.col("doc_id") % 4, F.col("doc_id") % 8 == 4
+    first, last = F.when(flip, letter).otherwise(other), F.when(flip, other).otherwise(letter)
     resp = (
-        F.when(pick == 0, F.concat(F.lit("I pick ("), letter, F.lit(").")))
+        F.when(pick == 0, F.concat(F.lit("I pick ("), first, F.lit("), no, wait ("), last, F.lit(").")))
         .when(pick == 1, F.concat(F.lit("It must be "), F.get("choices", g), F.lit(" surely, as I said")))
         .when(pick == 2, F.concat(F.lit("Answer: "), letter))
         .otherwise("no idea at all")
@@ -244,20 +244,34 @@ def _with_response(spark, d):
 MC_RESP = f"""{MC_SQL}, r AS (SELECT doc_id, max(gold) AS gold, string_agg(choice, '|' ORDER BY idx) AS all_choices, array_agg(choice ORDER BY idx) AS c FROM mc GROUP BY doc_id)"""
 
 
+# The letters of the first form, in the order of mention.
+MENTIONED = """m AS (SELECT *, CASE WHEN doc_id % 4 <> 0 THEN NULL WHEN doc_id % 8 = 4 THEN [gold, (gold + 1) % len(c)] ELSE [(gold + 1) % len(c), gold] END AS said FROM r)"""
+
+
 @query(
     "multi_choice_extract",
-    f"""WITH {MC_RESP} SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN '[invalid]'
-    WHEN 1 THEN concat('(', chr(CAST(64 + len(c) - list_position(list_reverse(c), c[gold + 1]) + 1 AS INT)), ')')
-    ELSE concat('(', chr(CAST(65 + gold AS INT)), ')') END AS answer FROM r""",
+    f"""WITH {MC_RESP}, {MENTIONED}, t AS (SELECT *, concat('(', chr(CAST(64 + len(c) - list_position(list_reverse(c), c[gold + 1]) + 1 AS INT)), ')') AS by_text,
+      concat('(', chr(CAST(65 + gold AS INT)), ')') AS colon FROM m)
+    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('(', chr(CAST(65 + said[1] AS INT)), ')') WHEN 1 THEN by_text WHEN 2 THEN colon ELSE '[invalid]' END AS answer,
+    CASE doc_id % 4 WHEN 0 THEN concat('(', chr(CAST(65 + said[2] AS INT)), ')') WHEN 1 THEN by_text WHEN 2 THEN colon ELSE 'none' END AS last_answer,
+    CASE doc_id % 4 WHEN 0 THEN concat('(', chr(CAST(65 + said[1] AS INT)), ')') WHEN 1 THEN by_text WHEN 2 THEN colon ELSE '[invalid]' END AS lenient FROM t""",
 )
 def multi_choice_extract(spark, d):
     rows = _with_response(spark, d)
-    return rows.select("doc_id", A.multi_choice_extract(F.col("response"), F.col("choices"), r"(\([A-Z]\))").alias("answer"))
+    # Upper case and punctuation inside the response matter only without the two flags.
+    shouted = F.when(F.col("doc_id") % 4 == 1, F.regexp_replace(F.upper("response"), "([0-9])", "$1,")).otherwise(F.col("response"))
+    letters = r"(\([A-Z]\))"
+    return rows.select(
+        "doc_id",
+        A.multi_choice_extract(F.col("response"), F.col("choices"), letters).alias("answer"),
+        A.multi_choice_extract(F.col("response"), F.col("choices"), letters, -1, "none").alias("last_answer"),
+        A.multi_choice_extract(shouted, F.col("choices"), letters, ignore_case=True, ignore_punctuation=True).alias("lenient"),
+    )
 
 
 @query(
     "parse_choice_lenient",
-    f"""WITH {MC_RESP} SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN NULL ELSE chr(CAST(65 + gold AS INT)) END AS letter FROM r""",
+    f"""WITH {MC_RESP}, {MENTIONED} SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN chr(CAST(65 + said[2] AS INT)) WHEN 3 THEN NULL ELSE chr(CAST(65 + gold AS INT)) END AS letter FROM m""",
 )
 def parse_choice_lenient(spark, d):
     return _with_response(spark, d).select(
@@ -453,11 +467,14 @@ def normalize_math_answer(spark, d):
 
 @query(
     "math_equal_normalized",
-    r"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 4 WHEN 3 THEN false ELSE true END AS equal FROM lineitem""",
+    r"""WITH x AS (SELECT *, l_partkey % 9 AS a, l_suppkey % 9 AS b, (l_partkey + l_orderkey % 2) % 9 AS c, (l_suppkey + l_orderkey // 2 % 2) % 9 AS e FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, a = c AND (l_linenumber % 4 = 2 OR b = e) AS equal FROM x""",
 )
 def math_equal_normalized(spark, d):
-    a = (F.col("l_partkey") % 9 + 1).cast("string")
-    b = (F.col("l_suppkey") % 9 + 1).cast("string")
+    """The same fraction, root or percentage in two notations, with a digit changed in some."""
+    odd, half = F.col("l_orderkey") % 2, F.floor(F.col("l_orderkey") / 2) % 2
+    a, c = [((F.col("l_partkey") + x) % 9 + 1).cast("string") for x in (F.lit(0), odd)]
+    b, e = [((F.col("l_suppkey") + x) % 9 + 1).cast("string") for x in (F.lit(0), half)]
     k = F.col("l_linenumber") % 4
     left = (
         F.when(k == 0, F.concat(F.lit("\\dfrac"), a, b))
@@ -466,9 +483,9 @@ def math_equal_normalized(spark, d):
         .otherwise(F.concat(a, b, F.lit("\\%")))
     )
     right = (
-        F.when(k == 2, F.concat(F.lit("\\sqrt{"), a, F.lit("}")))
-        .when(k == 3, F.concat(F.lit("0"), a, b))
-        .otherwise(F.concat(F.lit("\\frac{"), a, F.lit("}{"), b, F.lit("}")))
+        F.when(k == 2, F.concat(F.lit("\\sqrt{"), c, F.lit("}")))
+        .when(k == 3, F.concat(c, e))
+        .otherwise(F.concat(F.lit("\\frac{"), c, F.lit("}{"), e, F.lit("}")))
     )
     return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", M.math_equal(left, right).alias("equal")
@@ -527,11 +544,12 @@ def parse_open_numbers(spark, d):
 
 @query(
     "match_open",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, true AS number_hit, l_partkey % 2 = 0 AS mixed_hit FROM lineitem""",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 3 <> 1 AS number_hit, l_partkey % 2 = 0 AS mixed_hit FROM lineitem""",
 )
 def match_open(spark, d):
     rows = _open(spark, d).withColumn("p", A.parse_open_numbers(F.col("response")))
-    gold = F.array(F.col("l_extendedprice").cast("string"))
+    wrong = F.col("l_suppkey") % 3 == 1
+    gold = F.array(F.format_string("%.2f", F.col("l_extendedprice") + F.when(wrong, 0.5).otherwise(0.0)))
     mixed = F.when(F.col("l_partkey") % 2 == 0, F.array(F.concat(F.lit("$"), F.format_string("%.2f", "l_extendedprice")))).otherwise(
         F.array(F.lit("nothing"))
     )

@@ -20,7 +20,7 @@ def basic():
         R.instruction("keywords:frequency", 3, "less than", text="the"),
         R.instruction("keywords:letter_frequency", 20, "at least", text="e"),
         R.instruction("detectable_format:constrained_response"),
-        R.instruction("combination:repeat_prompt", text=F.substring("text", 1, 12)),
+        R.instruction("combination:repeat_prompt", text=F.when(turn % 3 == 0, "never said").otherwise(F.substring("text", 1, 12))),
         R.instruction("startend:end_checker", text=F.when(turn % 2 == 0, ".").otherwise("the end")),
         R.instruction("change_case:english_lowercase"),
     ]
@@ -32,16 +32,20 @@ BASIC = [
     "combination:repeat_prompt", "startend:end_checker", "change_case:english_lowercase",
 ]
 
-STRICT = rf"""ck AS (SELECT conv_id, turn, role, text, [NOT contains(text, ','), len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) >= 40 + turn * 10,
+STRICT = rf"""told AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 3 = 0 THEN concat(text, ' My answer is yes.') ELSE text END AS text FROM conversations),
+ck AS (SELECT conv_id, turn, role, text, [NOT contains(text, ','), len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) >= 40 + turn * 10,
   contains(lower(text), 'the') AND contains(lower(text), role), NOT regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])(of|que)($|[^\p{{L}}\p{{N}}_])'),
-  len(regexp_extract_all(lower(text), 'the')) < 3, length(lower(text)) - length(replace(lower(text), 'e', '')) >= 20, false, true,
+  len(regexp_extract_all(lower(text), 'the')) < 3, length(lower(text)) - length(replace(lower(text), 'e', '')) >= 20, regexp_matches(text, 'My answer is (yes|no|maybe)\.'), turn % 3 <> 0,
   ends_with(lower(regexp_replace(regexp_replace(text, '^{W}+|{W}+$', '', 'g'), '^"+|"+$', '', 'g')), CASE WHEN turn % 2 = 0 THEN '.' ELSE 'the end' END),
-  text = lower(text) AND regexp_matches(text, '\p{{Ll}}')] AS ok FROM conversations),
-st AS (SELECT conv_id, turn, CAST(unnest(range(10)) AS INT) AS pos, unnest(ok) AS strict FROM ck)"""
+  text = lower(text) AND regexp_matches(text, '\p{{Ll}}')] AS ok FROM told),
+st AS (SELECT conv_id, turn, CAST(unnest(range(1 + conv_id % 10)) AS INT) AS pos, unnest(ok[1 : 1 + conv_id % 10]) AS strict FROM ck)"""
 
 
 def checks(spark, d):
-    rows = table(spark, d, "conversations").withColumn("instructions", F.array(*basic()))
+    """A prompt has between one and ten instructions; every third conversation ends with a constrained answer."""
+    told = F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit(" My answer is yes."))).otherwise(F.col("text"))
+    rows = table(spark, d, "conversations").withColumn("text", told)
+    rows = rows.withColumn("instructions", F.slice(F.array(*basic()), F.lit(1), (1 + F.col("conv_id") % 10).cast("int")))
     return R.instruction_checks(rows, ["conv_id", "turn"], "text", "instructions", BASIC)
 
 
@@ -59,11 +63,10 @@ def inst_level_acc(spark, d):
 
 @query(
     "prompt_level_acc",
-    f"WITH {STRICT} SELECT conv_id, turn, bool_and(strict) AS strict FROM st WHERE pos IN (0, 4, 7) GROUP BY conv_id, turn",
+    f"WITH {STRICT} SELECT conv_id, turn, bool_and(strict) AS strict FROM st GROUP BY conv_id, turn",
 )
 def prompt_level_acc(spark, d):
-    kept = checks(spark, d).where(F.col("pos").isin(0, 4, 7))
-    return R.prompt_level(kept, ["conv_id", "turn"]).select("conv_id", "turn", "strict")
+    return R.prompt_level(checks(spark, d), ["conv_id", "turn"]).select("conv_id", "turn", "strict")
 
 
 @query("instruction_checks")

@@ -109,18 +109,18 @@ def rank_metrics(spark, d):
 
 @query(
     "stereotype_pair",
-    f"""WITH {MC_SQL}, p AS (SELECT doc_id, max(CASE WHEN idx = 0 THEN ll END) AS a, max(CASE WHEN idx = 1 THEN ll END) AS b FROM mc GROUP BY doc_id)
+    f"""WITH {MC_SQL}, p AS (SELECT doc_id, max(CASE WHEN idx = 0 THEN ll END) AS a, max(CASE WHEN idx = 1 THEN ll END) AS b FROM mc WHERE n_choices = 2 GROUP BY doc_id)
     SELECT doc_id, round(abs(a - b), 6) AS likelihood_diff, CASE WHEN a > b THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS pct_stereotype FROM p""",
 )
 def stereotype_pair(spark, d):
     m = S.stereotype_pair(F.get("lls", F.lit(0)), F.get("lls", F.lit(1)))
-    return mc_docs(spark, d).select("doc_id", r6(m["likelihood_diff"]).alias("likelihood_diff"), m["pct_stereotype"].alias("pct_stereotype"))
+    return mc_docs(spark, d).where("n_choices = 2").select("doc_id", r6(m["likelihood_diff"]).alias("likelihood_diff"), m["pct_stereotype"].alias("pct_stereotype"))
 
 
 @query(
     "cooccurrence_bias",
     f"""WITH {MC_SQL}, p AS (SELECT doc_id, max(CASE WHEN idx = 0 THEN ll END) AS a, max(CASE WHEN idx = 1 THEN ll END) AS b,
-      max(CASE WHEN idx = 0 THEN uncond_ll END) AS c, max(CASE WHEN idx = 1 THEN uncond_ll END) AS e FROM mc GROUP BY doc_id)
+      max(CASE WHEN idx = 0 THEN uncond_ll END) AS c, max(CASE WHEN idx = 1 THEN uncond_ll END) AS e FROM mc WHERE n_choices = 2 GROUP BY doc_id)
     SELECT doc_id, round(ln(exp(a) + exp(b)) - ln(exp(c) + exp(e)), 6) AS likelihood_diff,
     CASE WHEN greatest(c, e) > greatest(a, b) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS pct_male_preferred FROM p""",
 )
@@ -128,7 +128,7 @@ def cooccurrence_bias(spark, d):
     i = [F.get("lls", F.lit(0)), F.get("lls", F.lit(1))]
     j = [F.get("uncond_lls", F.lit(0)), F.get("uncond_lls", F.lit(1))]
     m = S.cooccurrence_bias(i, j)
-    return mc_docs(spark, d).select("doc_id", r6(m["likelihood_diff"]).alias("likelihood_diff"), m["pct_male_preferred"].alias("pct_male_preferred"))
+    return mc_docs(spark, d).where("n_choices = 2").select("doc_id", r6(m["likelihood_diff"]).alias("likelihood_diff"), m["pct_male_preferred"].alias("pct_male_preferred"))
 
 
 @query(
@@ -286,13 +286,16 @@ def contains_score(spark, d):
 
 @query(
     "drop_em_f1",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_linenumber % 2 = 0 AS DOUBLE) AS em,
-    CASE WHEN l_linenumber % 2 = 0 THEN CAST(1 AS DOUBLE) WHEN l_quantity + 1 = l_linenumber + 20 THEN CAST(0.57 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS f1 FROM lineitem""",
+    """WITH x AS (SELECT *, CAST(l_quantity AS INT) AS q, CAST(l_quantity AS INT) + l_linenumber % 2 AS shown, l_suppkey % 3 AS extra FROM lineitem),
+    f AS (SELECT *, 5 + extra AS words FROM x),
+    g AS (SELECT *, CASE WHEN shown = q THEN 2 * (5 / words) / (5 / words + 1) ELSE 0 END AS one, CASE WHEN shown = l_linenumber + 20 THEN 2 * (2 / words) / (2 / words + 1) ELSE 0 END AS two FROM f)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(shown = q AND extra = 0 AS DOUBLE) AS em, CAST(round(greatest(one, two), 2) AS DOUBLE) AS f1 FROM g""",
 )
 def drop_em_f1(spark, d):
-    """Odd lines name a wrong number: no credit, unless it is the number of the second gold."""
+    """Odd lines name a wrong number: no credit, unless it is the number of the second gold; up to two words too many."""
     shown = (F.col("l_quantity") + F.col("l_linenumber") % 2).cast("int").cast("string")
-    pred = F.concat(shown, F.lit(" the items, by-line "), "l_linestatus")
+    extra = F.element_at(F.array(F.lit(""), F.lit(" roughly"), F.lit(" roughly speaking")), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    pred = F.concat(shown, F.lit(" the items, by-line "), "l_linestatus", extra)
     gold = F.array(
         F.concat(F.col("l_quantity").cast("string"), F.lit(" items by line "), "l_linestatus"),
         F.concat((F.col("l_linenumber") + 20).cast("string"), F.lit(" items")),
@@ -466,7 +469,7 @@ def length_words(spark, d):
 
 @query(
     "dict_answer_scores",
-    """SELECT event_id, CASE event_id % 3 WHEN 2 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS type_score, CAST(1 AS DOUBLE) AS user_score, CAST(0 AS DOUBLE) AS missing_score FROM events""",
+    """SELECT event_id, CASE event_id % 3 WHEN 2 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS type_score, CAST(user_id % 2 = 0 AS DOUBLE) AS user_score, CAST(event_id % 5 = 0 AS DOUBLE) AS missing_score FROM events""",
 )
 def dict_answer_scores(spark, d):
     e = F.col("event_id") % 3
@@ -478,8 +481,9 @@ def dict_answer_scores(spark, d):
     )
     refs = F.array(
         F.struct(F.lit("type").alias("key"), F.array(F.col("event_type"), F.lit("other")).alias("alternatives")),
-        F.struct(F.lit("user").alias("key"), F.array(user).alias("alternatives")),
-        F.struct(F.lit("missing").alias("key"), F.array(F.lit("x")).alias("alternatives")),
+        F.struct(F.lit("user").alias("key"), F.array((F.col("user_id") + F.col("user_id") % 2).cast("string")).alias("alternatives")),
+        # A key that no answer has reads as empty.
+        F.struct(F.lit("missing").alias("key"), F.array(F.when(F.col("event_id") % 5 == 0, "").otherwise("x")).alias("alternatives")),
     )
     s = table(spark, d, "events").select("event_id", S.dict_answer_scores(pred, refs).alias("s"))
     return s.select(
@@ -540,10 +544,16 @@ def entity_label_pairs(spark, d):
 # --- graded programs -------------------------------------------------------------
 
 
-@query("classify_verdict", f"WITH {ATTEMPTS_SQL} SELECT problem_id, attempt_idx, status AS verdict FROM attempts")
+@query(
+    "classify_verdict",
+    f"""WITH {ATTEMPTS_SQL}, n AS (SELECT *, problem_id * 16 + attempt_idx AS n FROM attempts)
+    SELECT problem_id, attempt_idx, coalesce(CASE n % 11 WHEN 0 THEN 'FE' END, CASE n % 7 WHEN 0 THEN 'CE' END, CASE n % 5 WHEN 0 THEN 'TLE' END,
+    CASE n % 4 WHEN 0 THEN 'MLE' END, CASE n % 3 WHEN 0 THEN 'RE' END, CASE WHEN status <> 'AC' THEN 'WA' END, 'AC') AS verdict FROM n""",
+)
 def classify_verdict(spark, d):
-    s = F.col("status")
-    verdict = S.classify_verdict(s != "FE", s == "CE", s == "TLE", s == "MLE", s == "RE", s == "AC")
+    """Outcomes overlap, so their precedence decides."""
+    n = F.col("problem_id") * 16 + F.col("attempt_idx")
+    verdict = S.classify_verdict(n % 11 != 0, n % 7 == 0, n % 5 == 0, n % 4 == 0, n % 3 == 0, F.col("status") == "AC")
     return attempts(spark, d).select("problem_id", "attempt_idx", verdict.alias("verdict"))
 
 
