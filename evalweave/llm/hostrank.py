@@ -55,8 +55,8 @@ def host_edges(pages: DataFrame, html: str) -> DataFrame:
     )
 
 
-def pagerank(hosts: DataFrame, edges: DataFrame, seed: str, alpha: float, rounds: int, name: str) -> DataFrame:
-    """(host, name): personalised PageRank of ``hosts`` (host, and the seed mass in column ``seed``).
+def pagerank(hosts: DataFrame, edges: DataFrame, seeds: list[str], alpha: float, rounds: int) -> DataFrame:
+    """(host, *seeds): personalised PageRank, for several seed vectors at once (columns of ``hosts``).
 
     Each round sends ``alpha`` of a host's mass along its edges in proportion to their weights and adds ``1 - alpha`` of
     its seed. A host without edges keeps its own mass, so its value is its seed. Each round is stored, so plans stay
@@ -66,43 +66,40 @@ def pagerank(hosts: DataFrame, edges: DataFrame, seed: str, alpha: float, rounds
     steps = stored(
         edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")), "steps"
     )
-    sinks = hosts.join(out.select(F.col("src").alias("host")), "host", "left_semi").select("host", F.lit(1).alias("linked"))
-    base = stored(hosts.join(sinks, "host", "left").select("host", F.col(seed).alias("seed"), "linked"), "base")
     if steps.isEmpty():
-        return base.select("host", F.col("seed").alias(name))
-    mass = base.select("host", F.col("seed").alias("mass"))
+        return hosts.select("host", *seeds)
+    linked = steps.select(F.col("src").alias("host")).distinct().withColumn("linked", F.lit(True))
+    base = stored(hosts.select("host", *[F.col(c).alias(f"seed_{c}") for c in seeds]).join(linked, "host", "left"), "base")
+    mass = base.select("host", *[F.col(f"seed_{c}").alias(c) for c in seeds])
     for _ in range(rounds):
         moved = (
             mass.join(steps, mass["host"] == steps["src"])
             .groupBy("dst")
-            .agg(F.sum(F.col("mass") * F.col("share")).alias("got"))
+            .agg(*[F.sum(F.col(c) * F.col("share")).alias(f"got_{c}") for c in seeds])
         )
+        kept = {c: F.when(F.col("linked").isNull(), F.col(c)).otherwise(0.0) for c in seeds}
         mass = stored(
             base.join(mass, "host")
             .join(moved, base["host"] == moved["dst"], "left")
             .select(
-                "host",
-                (
-                    (1 - alpha) * F.col("seed")
-                    + alpha * (F.coalesce("got", F.lit(0.0)) + F.when(F.col("linked").isNull(), F.col("mass")).otherwise(0.0))
-                ).alias("mass"),
+                base["host"],
+                *[((1 - alpha) * F.col(f"seed_{c}") + alpha * (F.coalesce(f"got_{c}", F.lit(0.0)) + kept[c])).alias(c) for c in seeds],
             ),
             "mass",
         )
-    return mass.select("host", F.col("mass").alias(name))
+    return mass
 
 
 def host_verdicts(
     pages: DataFrame, html: str, rules: dict[str, str], alpha: float = 0.85, rounds: int = 8, threshold: float = 0.5
 ) -> DataFrame:
-    """(host, pages, trust, distrust, blocked) per host; ``pages`` has ``host`` and ``rule``.
+    """(host, trust, distrust, blocked) per host; ``pages`` has ``host`` and ``rule``.
 
-    Seeds are the pages that a rule allows or blocks, as a share of all pages. Trust follows the links; distrust follows
-    them backwards (who links to bad hosts is suspect). Hosts that are only linked to have no pages of their own, so
-    they are judged against one page. A host is blocked if its distrust exceeds its trust by more than ``threshold``
-    times its share of the pages.
+    Seeds are the pages that a rule allows or blocks. Trust follows the links; distrust follows them backwards (who links to
+    bad hosts is suspect). Both are taken as shares of what arrives if all pages are seeds, so they lie between 0 and 1
+    whatever a host's size. A host is blocked if its distrust exceeds its trust by more than ``threshold``.
     """
-    verdict = reduce(lambda c, r: F.when(F.col("rule") == r, F.lit(rules[r])).otherwise(c), rules, F.lit(None).cast("string"))
+    verdict = by_rule(rules)
     own = (
         pages.where(F.col("host") != "")
         .groupBy("host")
@@ -115,29 +112,29 @@ def host_verdicts(
     edges = stored(host_edges(pages, html), "edges")
     ends = edges.select(F.col("dst").alias("host")).distinct()
     hosts = stored(
-        own.join(ends, "host", "full").select("host", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pages", "allowed", "banned")]),
+        own.join(ends, "host", "full").select(
+            "host", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("pages", "allowed", "banned")]
+        ),
         "hosts",
     )
-    # Masses in pages; only their ratio to the host's own pages matters.
-    seeded = hosts.select("host", F.col("allowed").cast("double").alias("t"), F.col("banned").cast("double").alias("d"))
-    trust = pagerank(seeded, edges, "t", alpha, rounds, "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = pagerank(seeded, back, "d", alpha, rounds, "distrust")
+
+    def share(seed: str, along: DataFrame, name: str) -> DataFrame:
+        mass = pagerank(hosts, along, [seed, "pages"], alpha, rounds)
+        return mass.select("host", F.when(F.col("pages") > 0, F.col(seed) / F.col("pages")).otherwise(0.0).alias(name))
+
     return (
-        hosts.join(trust, "host")
-        .join(distrust, "host")
-        .select(
-            "host",
-            "pages",
-            "trust",
-            "distrust",
-            (
-                F.col("distrust") - F.col("trust") > (threshold + 1e-9) * F.greatest(F.col("pages"), F.lit(1))
-            ).alias("blocked"),
-        )
+        share("allowed", edges, "trust")
+        .join(share("banned", back, "distrust"), "host")
+        .withColumn("blocked", F.col("distrust") - F.col("trust") > threshold + 1e-9)
     )
 
 
+def by_rule(rules: dict[str, str]) -> Column:
+    """The verdict of the row's ``rule``, null without one."""
+    return reduce(lambda c, r: F.when(F.col("rule") == r, F.lit(rules[r])).otherwise(c), rules, F.lit(None).cast("string"))
+
+
 def filter_urls(
     pages: DataFrame, page_id: str, url: str, html: str, rules: dict[str, str], alpha: float = 0.85, rounds: int = 8, threshold: float = 0.5
 ) -> DataFrame:
@@ -152,7 +149,6 @@ def filter_urls(
     hosts = stored(host_verdicts(judged, "html", rules, alpha, rounds, threshold).where("blocked").select("host", "blocked"), "verdicts")
     # Most hosts are not blocked; a large host's pages are not moved if the blocked ones fit a broadcast.
     blocked = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
-    by_rule = reduce(lambda c, r: F.when(F.col("rule") == r, F.lit(rules[r])).otherwise(c), rules, F.lit(None).cast("string"))
     return (
         judged.drop("html")
         .join(blocked, "host", "left")
@@ -161,6 +157,6 @@ def filter_urls(
             "host",
             "path",
             "rule",
-            F.coalesce(by_rule, F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+            F.coalesce(by_rule(rules), F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         )
     )

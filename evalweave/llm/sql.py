@@ -39,23 +39,26 @@ def url_filter(rules: dict[str, str], alpha: float, rounds: int, threshold: floa
         "e AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE AS weight FROM ends WHERE dst <> '' AND dst <> src GROUP BY ALL)",
         f"own AS (SELECT host, count(*) AS pages, count(*) FILTER ({verdict} = 'allow') AS t, count(*) FILTER ({verdict} = 'block') AS d"
         " FROM j WHERE host <> '' GROUP BY host)",
-        "hosts AS MATERIALIZED (SELECT host, coalesce(pages, 0) AS pages, coalesce(t, 0)::DOUBLE AS t, coalesce(d, 0)::DOUBLE AS d"
+        "hosts AS MATERIALIZED (SELECT host, coalesce(pages, 0)::DOUBLE AS pages, coalesce(t, 0)::DOUBLE AS t, coalesce(d, 0)::DOUBLE AS d"
         " FROM own FULL JOIN (SELECT DISTINCT dst AS host FROM e) USING (host))",
     ]
     for kind, a, b in (("t", "src", "dst"), ("d", "dst", "src")):
         parts.append(
             f"{kind}_steps AS MATERIALIZED (SELECT {a} AS a, {b} AS b, weight / sum(weight) OVER (PARTITION BY {a}) AS share FROM e)"
         )
-        parts.append(f"{kind}0 AS MATERIALIZED (SELECT host, {kind} AS mass FROM hosts)")
+        parts.append(f"{kind}0 AS MATERIALIZED (SELECT host, {kind} AS mass, pages AS whole FROM hosts)")
         for i in range(rounds):
+            stays = f"CASE WHEN h.host IN (SELECT a FROM {kind}_steps) THEN 0 ELSE 1 END"
             parts.append(
-                f"{kind}{i + 1} AS MATERIALIZED (SELECT h.host, (1 - {alpha}) * h.{kind} + {alpha} * (coalesce(g.got, 0)"
-                f" + CASE WHEN h.host IN (SELECT a FROM {kind}_steps) THEN 0 ELSE m.mass END) AS mass FROM hosts h JOIN {kind}{i} m USING (host)"
-                f" LEFT JOIN (SELECT b AS host, sum(mass * share) AS got FROM {kind}{i} JOIN {kind}_steps ON host = a GROUP BY b) g USING (host))"
+                f"{kind}{i + 1} AS MATERIALIZED (SELECT h.host, (1 - {alpha}) * h.{kind} + {alpha} * (coalesce(g.got, 0) + {stays} * m.mass) AS mass,"
+                f" (1 - {alpha}) * h.pages + {alpha} * (coalesce(g.got_whole, 0) + {stays} * m.whole) AS whole FROM hosts h JOIN {kind}{i} m USING (host)"
+                f" LEFT JOIN (SELECT b AS host, sum(mass * share) AS got, sum(whole * share) AS got_whole FROM {kind}{i} JOIN {kind}_steps ON host = a"
+                f" GROUP BY b) g USING (host))"
             )
     parts.append(
-        f"bad AS (SELECT host FROM hosts JOIN t{rounds} t USING (host) JOIN d{rounds} d USING (host)"
-        f" WHERE d.mass - t.mass > ({threshold} + 1e-9) * greatest(pages, 1))"
+        f"bad AS (SELECT t.host FROM t{rounds} t JOIN d{rounds} d USING (host) WHERE"
+        " CASE WHEN d.whole > 0 THEN d.mass / d.whole ELSE 0 END - CASE WHEN t.whole > 0 THEN t.mass / t.whole ELSE 0 END"
+        f" > {threshold} + 1e-9)"
     )
     return (
         "WITH " + ",\n".join(parts) + f"\nSELECT page_id, host, path, rule, coalesce({verdict},"
