@@ -3,8 +3,8 @@
 1. Windows of the test items are cut; of every window the rarest terms are chosen by their counts in the corpus.
 2. The corpus is read once more, and the postings of those terms are stored: (term, document, position) with the
    words around it.
-3. The lists of a window are intersected after subtracting each term's offset, starting from the rarest; what remains
-   is compared word by word with the stored surroundings.
+3. The lists of a window are intersected after subtracting each term's offset. A posting joins the intersection only if the
+   window's next rare term, and then the whole phrase, stands in the words around it, so little is moved.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def item_windows(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame
             ).alias("terms"),
         )
     )
-    return runs.select(F.sha2(F.array_join("terms", " "), 256).alias("win"), "item_id", "terms").distinct()
+    return runs.select(F.xxhash64("terms").alias("win"), "item_id", "terms").distinct()
 
 
 def _small(df: DataFrame, rows: int, limit: int) -> DataFrame:
@@ -65,8 +65,9 @@ def _small(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 def term_counts(docs_words: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
     """(term, n): how often each vocabulary term occurs in the corpus; absent terms are left out."""
+    # explode() would add a filter on the size of the array, which evaluates the splitting again below the projection.
     return (
-        docs_words.select(F.explode("w").alias("term"))
+        docs_words.select(F.explode_outer("w").alias("term"))
         .join(_small(vocabulary, size, BROADCAST_WINDOWS), "term", "left_semi")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -74,17 +75,26 @@ def term_counts(docs_words: DataFrame, vocabulary: DataFrame, size: int) -> Data
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame, keep: int) -> DataFrame:
-    """(win, rank, term, offset): the ``keep`` rarest different terms of each window, rank 1 the rarest.
+    """(win, rank, ranks, term, offset, probe, probe_offset): the ``keep`` rarest different terms of each window, rank 1 the rarest.
 
-    Windows with a term that the corpus lacks cannot occur and are left out.
+    ``probe`` is the rarest of the window's other kept terms (the term itself if there is none). Windows with a term that the
+    corpus lacks cannot occur and are left out.
     """
     spelled = windows.select("win", "terms").distinct()
-    spread = spelled.select("win", F.size("terms").alias("len"), F.posexplode("terms").alias("offset", "term"))
-    known = spread.join(counts, "term")
+    placed = spelled.select("win", F.size("terms").alias("len"), F.posexplode("terms").alias("offset", "term"))
+    known = placed.join(counts, "term")
     whole = known.groupBy("win", "len").agg(F.count(F.lit(1)).alias("have")).where("have = len").select("win")
     firsts = known.groupBy("win", "term", "n").agg(F.min("offset").alias("offset"))
-    ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("win").orderBy("n", "term")))
-    return ranked.where(F.col("rank") <= keep).join(whole, "win", "left_semi").select("win", "rank", "term", "offset")
+    in_window = Window.partitionBy("win")
+    ranked = firsts.withColumn("rank", F.row_number().over(in_window.orderBy("n", "term"))).where(F.col("rank") <= keep)
+    pair = F.struct("term", "offset")
+    first = F.min_by(pair, "rank").over(in_window)
+    second = F.min_by(pair, F.when(F.col("rank") > 1, F.col("rank"))).over(in_window)
+    return (
+        ranked.withColumns({"ranks": F.max("rank").over(in_window), "_probe": F.when(F.col("rank") > 1, first).otherwise(F.coalesce(second, first))})
+        .join(whole, "win", "left_semi")
+        .select("win", "rank", "ranks", "term", "offset", F.col("_probe.term").alias("probe"), F.col("_probe.offset").alias("probe_offset"))
+    )
 
 
 def _postings(docs: DataFrame, key: str, text: str, terms: list[str], reach: int) -> DataFrame:
@@ -116,7 +126,7 @@ class PhraseIndex:
     items gives no matches. Other columns are not read.
     """
 
-    def __init__(self, docs: DataFrame, key: str, text: str, items: DataFrame, item_id: str, item_text: str, n: int = 13, keep: int = 3):
+    def __init__(self, docs: DataFrame, key: str, text: str, items: DataFrame, item_id: str, item_text: str, n: int = 13, keep: int = 2):
         self.key, self.n = key, n
         self.windows = stored(item_windows(items, item_id, item_text, n), "windows")
         self.n_windows = self.windows.count()
@@ -141,30 +151,23 @@ class PhraseIndex:
 
     def phrases(self) -> DataFrame:
         """(key, win, start, len): every exact occurrence of a window."""
+        spelled = self.windows.select("win", "terms").distinct()
+        wanted = self.rarest.join(_small(spelled, self.n_windows, BROADCAST_WINDOWS), "win")
         lists = (
             self.postings()
-            .join(_small(self.rarest, self.n_windows, BROADCAST_WINDOWS), "term")
+            .join(_small(wanted, self.n_windows, BROADCAST_WINDOWS), "term")
             .withColumn("start", F.col("pos") - F.col("offset"))
+            # Among the words around, the other rare term first, then the phrase.
+            .where((F.col("start") >= 0) & (F.get("around", F.col("start") + F.col("probe_offset") - F.col("from")) == F.col("probe")))
+            .where(F.slice("around", F.greatest(F.col("start") - F.col("from"), F.lit(0)) + 1, F.size("terms")) == F.col("terms"))
+            .select(self.key, "win", "start", "rank", "ranks", F.size("terms").alias("len"))
         )
-        needed = self.rarest.groupBy("win").agg(F.max("rank").alias("ranks"))
-        # Offset-adjusted lists meet at the same start; the surroundings come from the rarest term.
-        met = (
-            lists.groupBy(self.key, "win", "start")
-            .agg(
-                F.count_distinct("rank").alias("have"),
-                F.min_by(F.struct("from", "around"), "rank").alias("text"),
-            )
-            .join(_small(needed, self.n_windows, BROADCAST_WINDOWS), "win")
-            .where((F.col("have") == F.col("ranks")) & (F.col("start") >= 0))
-        )
-        spelled = self.windows.select("win", "terms").distinct()
+        # Offset-adjusted lists meet at the same start.
         return (
-            met.join(_small(spelled, self.n_windows, BROADCAST_WINDOWS), "win")
-            .where(
-                F.slice(F.col("text.around"), F.col("start") - F.col("text.from") + 1, F.size("terms"))
-                == F.col("terms")
-            )
-            .select(self.key, "win", "start", F.size("terms").alias("len"))
+            lists.groupBy(self.key, "win", "start", "ranks", "len")
+            .agg(F.count_distinct("rank").alias("have"))
+            .where("have = ranks")
+            .select(self.key, "win", "start", "len")
         )
 
     def proximity(self, slop: int) -> DataFrame:
@@ -183,7 +186,7 @@ class PhraseIndex:
             "block", F.explode(F.array(*[F.floor(F.col("start") / width) + d for d in (-1, 0, 1)]))
         )
         others = lists.withColumnRenamed("start", "at").withColumn("block", F.floor(F.col("at") / width))
-        needed = self.rarest.groupBy("win").agg(F.max("rank").alias("ranks"))
+        needed = self.rarest.select("win", "ranks").distinct()
         return (
             near.join(others, [self.key, "win", "block"])
             .withColumn("shift", F.abs(F.col("at") - F.col("start")))
@@ -199,7 +202,7 @@ class PhraseIndex:
 
 
 def contamination(
-    docs: DataFrame, key: str, text: str, items: DataFrame, item_id: str, item_text: str, n: int = 13, keep: int = 3
+    docs: DataFrame, key: str, text: str, items: DataFrame, item_id: str, item_text: str, n: int = 13, keep: int = 2
 ) -> DataFrame:
     """(key, n_words, n_hit, item_ids): of every document the words inside any occurrence of a window, and the items
     whose windows occur in it (sorted as strings; empty if none).
