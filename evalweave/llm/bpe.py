@@ -29,8 +29,8 @@ from evalweave.llm.common import WHITE, worker_cache
 CHUNK = 32_768
 OVERLAP = 1_024
 
-# Pieces whose ids a worker remembers: about 60 MB.
-REMEMBERED = 300_000
+# Units whose ids a worker remembers, in each of two generations: about 80 MB together.
+REMEMBERED = 200_000
 
 # A boundary always stands before a blank after a non-blank, and between a letter or digit and one of these marks. What lies
 # between two such places splits the same alone as in its text, so its ids can be remembered.
@@ -46,33 +46,31 @@ class Vocabulary:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.pattern = regex.compile(pattern)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.packed = {token: rank.to_bytes(4, "little") for token, rank in self.ranks.items()}
         self.remembered = _Remembered(self)
 
-    def merge(self, piece: bytes) -> list[int]:
+    def merge(self, piece: bytes) -> bytes:
         """Ids of one piece: the pair with the lowest rank is merged, the leftmost of equals, until none is left."""
-        whole = self.ranks.get(piece)
+        whole = self.packed.get(piece)
         if whole is not None:
-            return [whole]
+            return whole
         if len(piece) > 48:
-            return self._merge_long(piece)
-        ranks, parts = self.ranks, [piece[i : i + 1] for i in range(len(piece))]
-        none = len(ranks) + (1 << 30)
-        pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while pairs:
-            low = min(pairs)
-            if low == none:
-                break
+            return b"".join([self.ranks[p].to_bytes(4, "little") for p in self._merge_long(piece)])
+        rank, none = self.ranks.get, 1 << 40
+        cuts = list(range(len(piece) + 1))
+        pairs = [rank(piece[i : i + 2], none) for i in cuts[:-2]]
+        while pairs and (low := min(pairs)) != none:
             i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            del pairs[i], cuts[i + 1]
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+                pairs[i - 1] = rank(piece[cuts[i - 1] : cuts[i + 1]], none)
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
-        return [ranks[p] for p in parts]
+                pairs[i] = rank(piece[cuts[i] : cuts[i + 2]], none)
+        packed = self.packed
+        return b"".join([packed[piece[a:b]] for a, b in zip(cuts, cuts[1:])])
 
-    def _merge_long(self, piece: bytes) -> list[int]:
-        """The same with a heap and a linked list: n log n for very long pieces."""
+    def _merge_long(self, piece: bytes) -> list[bytes]:
+        """The tokens of a long piece, with a heap and a linked list: n log n."""
         ranks, n = self.ranks, len(piece)
         end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -93,7 +91,7 @@ class Vocabulary:
                 heapq.heappush(heap, (r, k, end[i]))
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
+            out.append(piece[i : end[i]])
             i = after[i]
         return out
 
@@ -106,17 +104,23 @@ class Vocabulary:
 
 
 class _Remembered(dict):
-    """unit -> ids, filled on demand, emptied when full."""
+    """unit -> ids, filled on demand. When full it becomes the older generation, and what is asked for again comes back."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
     def __missing__(self, unit: str) -> bytes:
-        v = self.vocabulary
-        ids = np.array([i for piece in v.pattern.findall(unit) for i in v.merge(piece.encode())], "<u4").tobytes()
+        ids = self.older.get(unit)
+        if ids is None:
+            v = self.vocabulary
+            if unit.isascii() and (unit.isalpha() or unit[:1] == " " and unit[1:].isalpha()):
+                ids = v.merge(unit.encode())  # one match of the pattern
+            else:
+                ids = b"".join([v.merge(piece.encode()) for piece in v.pattern.findall(unit)])
         if len(unit) <= 40:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[unit] = ids
         return ids

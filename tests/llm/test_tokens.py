@@ -45,6 +45,14 @@ def test_vocabulary_as_library(reference):
         assert v.decode(v.encode(text)) == text.encode()
 
 
+def test_generations_of_the_cache(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    v = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
+    for text in random_texts(50, 9):
+        assert np.frombuffer(v.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
+    assert len(v.remembered) <= 5 and len(v.remembered.older) <= 5
+
+
 def test_single_characters_as_library(reference):
     """Blanks and letters are the same to both, for every character of the first plane."""
     v = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
@@ -56,7 +64,8 @@ def test_single_characters_as_library(reference):
 def test_long_merge_equals_short(reference):
     v = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
     for piece in (b"thethethe" * 9, b"abababcab" * 12, bytes(range(128, 256)), b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"):
-        assert v._merge_long(piece) == reference._encode_single_piece(piece)
+        assert [v.ranks[t] for t in v._merge_long(piece)] == reference._encode_single_piece(piece)
+        assert np.frombuffer(v.merge(piece[:48]), "<u4").tolist() == reference._encode_single_piece(piece[:48])
 
 
 def test_chunks_are_stitched(spark, reference):
