@@ -9,7 +9,6 @@ from pyspark.sql import Window
 from evalweave.functions import text as T
 from evalweave.functions.arrays import cumulative, let, let2, positions, total
 from evalweave.operators.broadcasts import BROADCAST_ROWS, fits_broadcast, ngrams_fit, spread
-from evalweave.operators.ranks import collect_in_parts
 from evalweave.session import cut_lineage
 
 
@@ -105,8 +104,9 @@ def overlap_report(
 ) -> DataFrame:
     """Per shared n-gram the benchmark and training ids, as sorted lists.
 
-    Lists are cut into parts of ``part_size`` ids, so an n-gram found in a large
-    share of the corpus gives more rows instead of one huge list.
+    An n-gram with more than ``part_size`` ids is dealt into parts by a hash of the id,
+    so one found in a large share of the corpus gives more rows instead of one huge
+    list. Only such n-grams need a second look; all others are one row.
     """
     train_hits, bench_index = _shared(train, bench, id_col, text, bench_id, bench_text, n)
     # The hits are read several times below (shared n-grams, sample, count, numbering); the corpus scan runs once.
@@ -117,12 +117,18 @@ def overlap_report(
             "ngram", F.lit("test").alias("side"), F.col(bench_id).alias("id")
         )
     )
-    lists = collect_in_parts(sides, ["ngram", "side"], [F.col("id")], F.col("id"), "ids", part_size)
-    return lists.groupBy("ngram", "part").agg(
-        F.max(F.when(F.col("side") == "test", F.col("ids"))).alias("test_doc_ids"),
-        F.max(F.when(F.col("side") == "train", F.col("ids"))).alias("train_doc_ids"),
+    many = sides.groupBy("ngram").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_size)
+    parts = many.select("ngram", F.ceil(2 * F.col("_n") / part_size).alias("_parts"))  # half full on average
+    dealt = sides.join(_small(parts), "ngram", "left").withColumn(
+        "part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("_parts")))
     )
 
+    def ids(side: str) -> Column:
+        listed = F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("id"))))
+        return F.when(F.size(listed) > 0, listed).alias(f"{side}_doc_ids")
+
+    return dealt.groupBy("ngram", F.col("part").cast("bigint").alias("part")).agg(ids("test"), ids("train"))
+
 
 def contamination_summary(
     train: DataFrame, bench: DataFrame, id_col: str, text: Column, bench_id: str, bench_text: Column, n: int
@@ -146,12 +152,16 @@ def ngram_doc_frequency(
     strings do not. Second pass: only n-grams with a frequent hash are counted by
     string, which also settles hash collisions.
     """
-    rows = ngram_rows(df, id_col, text, n, folded_ngrams if fold else normalized_ngrams).select(
-        "ngram", F.xxhash64("ngram").alias("h")
-    )
+    source = T.words(T.ascii_fold(text) if fold else F.lower(text))
     frequent = (
-        rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > min_docs).select("h")
+        _hash_rows(df, id_col, text, n, fold)
+        .groupBy("h")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .where(F.col("c") > min_docs)
+        .select("h")
     )
+    both = F.array_distinct(F.arrays_zip(T.ngrams(source, n).alias("ngram"), T.ngram_hashes(source, n).alias("h")))
+    rows = spread(df, id_col).select(F.explode(both).alias("x")).select("x.ngram", "x.h")
     return (
         rows.join(_small(frequent), "h", "left_semi")
         .groupBy("ngram")
