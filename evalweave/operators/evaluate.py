@@ -29,7 +29,7 @@ class Aggregation:
     """
 
     terms: Callable[[str], Sums] = field(default=lambda c: {"x": F.col(c)})
-    value: Callable[[Sums], Column] = field(default=lambda s: s["x"] / s["weight"])
+    value: Callable[[Sums], Column] = field(default=lambda s: F.try_divide(s["x"], s["weight"]))
 
 
 def _valid(c: str) -> Sums:
@@ -65,10 +65,10 @@ def _weighted(c: str) -> Sums:
 # Aggregations by name; a metric without one of its own name is averaged.
 AGGREGATIONS: dict[str, Aggregation] = {
     "mean": Aggregation(),
-    "nanmean": Aggregation(_valid, lambda s: F.when(s["n"] > 0, s["x"] / s["n"]).otherwise(float("nan"))),
-    "perplexity": Aggregation(value=lambda s: F.exp(-s["x"] / s["weight"])),
-    "weighted_perplexity": Aggregation(_weighted, lambda s: F.exp(-s["x"] / s["k"])),
-    "bits_per_byte": Aggregation(_weighted, lambda s: -s["x"] / s["k"] / math.log(2)),
+    "nanmean": Aggregation(_valid, lambda s: F.coalesce(F.try_divide(s["x"], s["n"]), F.lit(float("nan")))),
+    "perplexity": Aggregation(value=lambda s: F.exp(-F.try_divide(s["x"], s["weight"]))),
+    "weighted_perplexity": Aggregation(_weighted, lambda s: F.exp(-F.try_divide(s["x"], s["k"]))),
+    "bits_per_byte": Aggregation(_weighted, lambda s: -F.try_divide(s["x"], s["k"]) / math.log(2)),
     "brier": Aggregation(),
     "f1": Aggregation(_binary, _f1),
     "mcc": Aggregation(_binary, _mcc),
@@ -130,7 +130,7 @@ def resampled_stderr(
 
     Equal samples are counted first, and a replicate draws one Poisson number per different sample instead of one per sample: two
     for a 0/1 metric, four for a two-by-two table, however many rows there are. What is shuffled after that is one row per
-    group, replicate and partition.
+    group, replicate and partition. A replicate without any sample counts if the statistic is defined for it.
     """
     names = list(terms)
     cells = df.select(*group, *[c.cast("double").alias(n) for n, c in terms.items()]).groupBy(*group, *names).agg(

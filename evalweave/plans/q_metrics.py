@@ -274,11 +274,11 @@ POIS = """pois(n, k, p, c) AS (SELECT range + 1, 0, exp(-CAST(range + 1 AS DOUBL
 
 @query(
     "stderr_bootstrap",
-    f"""WITH RECURSIVE {SCORED_SQL}, {POIS}, {boot_sql('b', 'grp', 'scored', {'x': 'value'}, 'x / weight', 200, 1)}
+    f"""WITH RECURSIVE {SCORED_SQL}, {POIS}, {boot_sql('b', 'grp', 'scored', {'x': 'value'}, 'x / nullif(weight, 0)', 200, 1)}
     SELECT grp, round(stderr, 6) AS stderr FROM b""",
 )
 def stderr_bootstrap(spark, d):
-    r = E.resampled_stderr(scored(spark, d), ["grp"], {"x": F.col("value")}, lambda s: s["x"] / s["weight"], 200, 1)
+    r = E.resampled_stderr(scored(spark, d), ["grp"], {"x": F.col("value")}, lambda s: F.try_divide(s["x"], s["weight"]), 200, 1)
     return r.select("grp", r6(F.col("stderr")).alias("stderr"))
 
 
@@ -290,11 +290,11 @@ MCC_BELOW = "(tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)"
 MCC_VALUE = f"CASE WHEN {MCC_BELOW} > 0 THEN (tp * tn - fp * fn) / sqrt({MCC_BELOW}) ELSE 0 END"
 SOME = "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE value END"
 DISPATCH = {
-    "mean": ({"x": "value"}, "x / weight"),
-    "exact_match": ({"x": "value"}, "x / weight"),
-    "brier": ({"x": "(value - 0.25) * (value - 0.25)"}, "x / weight"),
+    "mean": ({"x": "value"}, "x / nullif(weight, 0)"),
+    "exact_match": ({"x": "value"}, "x / nullif(weight, 0)"),
+    "brier": ({"x": "(value - 0.25) * (value - 0.25)"}, "x / nullif(weight, 0)"),
     "nanmean": ({"x": f"coalesce({SOME}, 0)", "n": f"CASE WHEN {SOME} IS NULL THEN 0 ELSE 1 END"}, "CASE WHEN n > 0 THEN x / n ELSE CAST('nan' AS DOUBLE) END"),
-    "perplexity": ({"x": "-1 - gold * 2 - pred"}, "exp(-x / weight)"),
+    "perplexity": ({"x": "-1 - gold * 2 - pred"}, "exp(-x / nullif(weight, 0))"),
     "f1": (TWO, F1_VALUE),
     "mcc": (TWO, MCC_VALUE),
 }
@@ -355,7 +355,7 @@ CHAIN_LEAVES = ", ".join(
     scored AS (SELECT concat(o_orderpriority, '|', filter) AS task, CAST(response = CASE filter WHEN 'vote' THEN lower(target) ELSE target END AS DOUBLE) AS value,
       length(target) % 2 AS gold, length(response) % 2 AS pred, -length(response) / 10.0 AS ll
       FROM picked JOIN want USING (doc_id) JOIN orders ON o_orderkey = doc_id),
-    {boot_sql('b_f1', 'task', 'scored', TWO, F1_VALUE, 20, 0)}, {boot_sql('b_perplexity', 'task', 'scored', {'x': 'll'}, 'exp(-x / weight)', 20, 0)},
+    {boot_sql('b_f1', 'task', 'scored', TWO, F1_VALUE, 20, 0)}, {boot_sql('b_perplexity', 'task', 'scored', {'x': 'll'}, 'exp(-x / nullif(weight, 0))', 20, 0)},
     sums AS (SELECT task, count(*) AS cnt, avg(value) AS acc, stddev_samp(value) / sqrt(count(*)) AS err, exp(-sum(ll) / count(*)) AS ppl,
       sum({TP}) AS tp, sum({FP}) AS fp, sum({FN}) AS fn FROM scored GROUP BY task),
     res AS (SELECT task, 'mean' AS metric, acc AS value, err AS stderr, cnt FROM sums
