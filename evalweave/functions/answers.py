@@ -46,10 +46,16 @@ def multi_choice_extract(
     fallback: str = INVALID,
     ignore_case: bool = False,
     ignore_punctuation: bool = False,
+    regexes_to_ignore: tuple[str, ...] = (),
 ) -> Column:
-    """The pattern's match, else the letter of a choice text in the response, else a letter after a colon."""
+    """The pattern's match, else the letter of a choice text in the response, else a letter after a colon.
+
+    What ``regexes_to_ignore`` match is removed from choices and response before choices are looked for.
+    """
 
     def tidy(x: Column) -> Column:
+        for ignored in regexes_to_ignore:
+            x = F.regexp_replace(x, ignored, "")
         if ignore_case:
             x = F.lower(x)
         if ignore_punctuation:

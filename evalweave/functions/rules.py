@@ -46,6 +46,9 @@ def inner_blank(parts: Column) -> Column:
     return F.exists(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), blank)
 
 
+# The regular expressions in the rules below.
+
+
 def placeholders(v: Column, kw: Column) -> Column:
     return count(v, r"(?d)\[.*?\]") >= kw["num"]
 

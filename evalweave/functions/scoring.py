@@ -464,6 +464,7 @@ def smoothed_bleu(max_n: int = 4) -> Column:
 
 def emotion_distance(response: Column, names: Column, scores: Column) -> dict[str, Column]:
     """Percent score of four ``name: number`` pairs against the reference, and whether they parse."""
+    # Fixed value: the form of a pair.
     keys = F.regexp_extract_all(response, F.lit(r"(\w+):\s+(\d+)"), F.lit(1))
     values = F.regexp_extract_all(response, F.lit(r"(\w+):\s+(\d+)"), F.lit(2))
     # The last value of a repeated name counts.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegralType
 
 from evalweave.operators.ranks import seeded_number, seeded_order, with_position
 
@@ -52,9 +53,23 @@ def fewshot_by_indices(pool: DataFrame, id_col: str, indices: list[int]) -> Data
     return with_position(pool, [F.col(id_col)]).where(F.col("pos").isin(indices)).drop("pos")
 
 
-def _examples(picks: DataFrame, pool: DataFrame, id_col: str, question: str, answer: str) -> DataFrame:
+def example_target(pool: DataFrame, answer: str, choices: str | None = None) -> Column:
+    """The text of an example's answer: a string, the first of a list of strings, or the place of a choice."""
+    kind = pool.schema[answer].dataType
+    if isinstance(kind, ArrayType):
+        return F.get(answer, F.lit(0))
+    if isinstance(kind, IntegralType) and choices is not None:
+        return F.get(choices, F.col(answer).cast("int"))
+    return F.col(answer).cast("string")
+
+
+def _examples(
+    picks: DataFrame, pool: DataFrame, id_col: str, question: str, answer: str, choices: str | None = None
+) -> DataFrame:
     """Per document its k examples in rank order (k is the few-shot count, so the list is short)."""
-    texts = pool.select(F.col(id_col).alias("example_id"), F.col(question).alias("q"), F.col(answer).alias("a"))
+    texts = pool.select(
+        F.col(id_col).alias("example_id"), F.col(question).alias("q"), example_target(pool, answer, choices).alias("a")
+    )
     return (
         picks.join(texts, "example_id")
         .groupBy(id_col)
@@ -85,10 +100,11 @@ def fewshot_context(
     question: str,
     answer: str,
     description: str = "",
+    choices: str | None = None,
     **delimiters,
 ) -> DataFrame:
     """Description, labelled examples and the document's own question as one prompt."""
-    ex = _examples(picks, pool, id_col, question, answer)
+    ex = _examples(picks, pool, id_col, question, answer, choices)
     return docs.join(ex, id_col, "left").select(
         id_col,
         F.concat(
@@ -106,10 +122,11 @@ def fewshot_chat_turns(
     answer: str,
     multiturn: bool = True,
     prefix: str = "",
+    choices: str | None = None,
 ) -> DataFrame:
     """The same examples as alternating chat turns, or all in one user turn."""
     lead = prefix + " " if prefix else ""
-    ex = _examples(picks, pool, id_col, question, answer)
+    ex = _examples(picks, pool, id_col, question, answer, choices)
 
     def turn(role: str, content: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), content.alias("content"))

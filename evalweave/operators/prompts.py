@@ -41,6 +41,7 @@ def decontamination_query(df: DataFrame, setting: str | None, prompt: str) -> Co
 def build_prompt(instruction: str = CODE_INSTRUCTION) -> Column:
     """Problem columns -> prompt. Uses the first example; a missing note reads "None"."""
     first = F.get("examples", F.lit(0))
+    # The headings of the prompt and their order.
     heading = [
         (F.lit(instruction + "\n"), F.col("title")),
         (F.lit(": "), F.col("description")),

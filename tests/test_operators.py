@@ -428,6 +428,20 @@ def test_registry(spark):
         E.register_filter("regex", lambda: None)
 
 
+def test_multi_choice_ignores_regexes(spark):
+    got = A.multi_choice_extract(F.col("r"), F.array(F.lit("red ~1"), F.lit("blue ~2")), r"(\([A-Z]\))", regexes_to_ignore=(r"\s*~\d", "big "))
+    assert value(spark, got, r=("string", "the big blue ~7 one")) == "(B)"
+
+
+def test_fewshot_targets(spark):
+    pool = spark.createDataFrame([(1, "q1", ["x", "y"], 1), (2, "q2", ["z"], 0)], "id long, q string, a array<string>, gold int")
+    picks = spark.createDataFrame([(1, 0, 2), (2, 0, 1)], "id long, rank int, example_id long")
+    by_list = {r.id: r.context for r in W.fewshot_context(pool, picks, pool, "id", "q", "a").collect()}
+    assert by_list == {1: "q2 z\n\nq1", 2: "q1 x\n\nq2"}
+    by_place = {r.id: r.context for r in W.fewshot_context(pool, picks, pool, "id", "q", "gold", choices="a").collect()}
+    assert by_place == {1: "q2 z\n\nq1", 2: "q1 y\n\nq2"}
+
+
 def test_fewshot_pool_too_small(spark):
     pool = spark.createDataFrame([(i,) for i in range(3)], "id long")
     with pytest.raises(ValueError, match="10 examples"):
