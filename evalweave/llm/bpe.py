@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import BinaryType, StructField, StructType, _parse_datatype_string
 
-from evalweave.llm.common import WHITE, worker_cache
+from evalweave.llm.common import WHITE, claim, slices, small_batches, worker_cache
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -127,6 +127,7 @@ class _Remembered(dict):
 
 
 def _vocabulary(file: Broadcast, pattern: str) -> Vocabulary:
+    claim("bpe")
     kept = worker_cache("bpe")
     key = (hash(file.value), pattern)
     if key not in kept:
@@ -139,7 +140,7 @@ def _vocabulary(file: Broadcast, pattern: str) -> Vocabulary:
 def _encode_whole(file: Broadcast, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(file, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             ids = [vocabulary.encode(t) if t else b"" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.binary())], names=["row", "ids"])
 
@@ -208,7 +209,7 @@ def _pretokenise(file: Broadcast, pattern: str, chunk: int, overlap: int):
 def _encode_pieces(file: Broadcast, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(file, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             ids, rest = [], []
             for at, core, a, b, synced, text in zip(
                 *[batch.column(c).to_pylist() for c in ("from", "core", "seam", "next", "synced", "text")]
@@ -266,6 +267,7 @@ def encode(
     """
     if overlap < 8 or chunk < 2 * overlap:
         raise ValueError("overlap must be at least 8 characters and at most half a chunk")
+    small_batches(df.sparkSession)
     file = df.sparkSession.sparkContext.broadcast(bytes(ranks_file))
     others = [c for c in df.columns if c != text]
     row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("_none"))
@@ -319,11 +321,12 @@ def decode(df: DataFrame, ids: str, ranks_file: bytes, name: str = "decoded") ->
 
     An id outside of the vocabulary raises an error.
     """
+    small_batches(df.sparkSession)
     file = df.sparkSession.sparkContext.broadcast(bytes(ranks_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(file, "")
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, ids)):
             decoded = [None if i is None else vocabulary.decode(i) for i in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, name]

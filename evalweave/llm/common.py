@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +43,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Caches of tens of megabytes.
+LARGE_CACHES = ("bpe", "words")
+
+# Bytes of an Arrow batch that goes to a Python worker. A batch exists several times over, in the JVM and in the worker, for each
+# core; with the engine's 64 MB, two cores' batches take half a gigabyte more than with 4 MB.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ask the session for Arrow batches of ``BATCH_BYTES``, unless it asks for a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""
     return vars(sys).setdefault("_evalweave_caches", {}).setdefault(name, {})
 
 
+def claim(*names: str) -> None:
+    """Drop the large caches that other operators have left in this worker; called where a task begins."""
+    caches = vars(sys).get("_evalweave_caches", {})
+    for name in LARGE_CACHES:
+        if name not in names and caches.pop(name, None):
+            gc.collect()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character unchanged; ``lower`` does the same on plain ASCII, and faster."""
     upper = "".join(map(chr, range(65, 91)))
@@ -152,6 +177,15 @@ def texts_of(batch, name: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(name).to_pylist()]
 
 
+def slices(batch, name: str, limit: int = 4 << 20):
+    """An Arrow batch in pieces of about ``limit`` bytes of one string or binary column (at least one row each), so that what a
+    worker makes of a piece is handed on before the next."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(lengths) // limit
+    for at, end in zip(np.flatnonzero(np.diff(part, prepend=-1)), [*np.flatnonzero(np.diff(part)) + 1, len(part)]):
+        yield batch.slice(int(at), int(end - at))
+
+
 def row_groups(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Slices of consecutive texts of at most ``limit`` bytes together (at least one text each)."""
     start, size = 0, 0

@@ -28,8 +28,10 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from evalweave.llm.common import (
     buckets_for,
+    claim,
     row_groups,
     sliding,
+    small_batches,
     stored,
     window_hashes,
     word_hashes,
@@ -69,6 +71,7 @@ def _hash_batch(bucket: int, hashes: np.ndarray, counts: np.ndarray) -> pa.Recor
 
 def _anchor_rows(length: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for batch in batches:
             texts, buckets = _encoded(batch, "text"), batch.column("bucket").to_pylist()
             for lo, hi in row_groups(texts, 1 << 23):
@@ -117,6 +120,7 @@ def _candidates(length: int, phrase: int, with_text: bool):
     """Documents of a bucket and its recurring anchors -> the hashes of windows with such an anchor."""
 
     def run(docs: pa.Table, anchors: pa.Table) -> pa.Table:
+        claim()
         known, hits = _known(anchors), []
         texts = [b"" if t is None else t.encode() for t in docs.column("text").to_pylist()]
         n_words = []
@@ -169,6 +173,7 @@ def _locate(length: int):
     """Documents of a bucket and its recurring windows -> spans that an automaton of these windows covers."""
 
     def run(docs: pa.Table, windows: pa.Table) -> pa.Table:
+        claim()
         known = _known(windows)
         texts = [t.encode().split() for t in docs.column("text").to_pylist()]
         numbers: dict[bytes, int] = {}
@@ -252,6 +257,7 @@ def repeated_passages(
     """
     if not 1 <= phrase <= length:
         raise ValueError("phrase must be between 1 and length")
+    small_batches(df.sparkSession)
     count = buckets_for(df, text, BUCKET_BYTES)
     others = [c for c in df.columns if c != text]
     row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("_none"))

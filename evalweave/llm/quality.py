@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import stored, texts_of
+from evalweave.llm.common import claim, small_batches, stored, texts_of
 
 FEATURES = ("symbols", "shouts", "upper", "digits", "bars", "echoes", "lines", "long_words", "short")
 
@@ -59,10 +59,12 @@ def with_features(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, features) for every row; nothing but the text is read. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for batch in batches:
             rows = pa.array([features(t) for t in texts_of(batch, "_text")], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=[id_col, "features"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.col(text).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, features array<double>")
 
@@ -177,8 +179,10 @@ def keep_good(df: DataFrame, text: str, model: QualityModel) -> DataFrame:
     """The rows that score at least the model's threshold; rows and columns unchanged, nothing is moved."""
     weights, start = np.array(model.weights), math.log(model.threshold / (1 - model.threshold))
     place = df.columns.index(text)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for batch in batches:
             good = [
                 model.margin(float(np.dot(features(t or ""), weights))) >= start - 1e-9

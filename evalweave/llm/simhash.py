@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import stored, texts_of, worker_cache
+from evalweave.llm.common import claim, small_batches, stored, texts_of, worker_cache
 from evalweave.llm.graph import components
 
 # Different fingerprints with one masked value that one task compares; more are cut into blocks.
@@ -61,10 +61,12 @@ def fingerprints(df: DataFrame, id_col: str, text: str, words: int = 4) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for batch in batches:
             fps = np.array([_fingerprint(t, words) for t in texts_of(batch, "_text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=[id_col, "fp"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.col(text).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
 
@@ -112,6 +114,7 @@ def _link_runs(radius: int):
     """Rows (key, block pair, fp) sorted by the first three columns -> links inside each run of equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         held: list[np.ndarray] = []
         held_key = None
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from evalweave.llm.common import stored
+from evalweave.llm.common import small_batches, stored
 
 QUERIES = 512
 CANDIDATES = 4096
@@ -144,6 +144,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     ids: each row is a candidate; rows of one query id are taken as one query if equal. If there are fewer than k
     candidates, all are returned; no queries or no vectors give no rows.
     """
+    small_batches(vectors.sparkSession)
     parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     asked = stored(_blocks(queries.distinct(), QUERIES).withColumn("q", F.monotonically_increasing_id()), "queries")
     held = _blocks(vectors, CANDIDATES).withColumnsRenamed({"ids": "c_ids", "matrix": "c_matrix"})

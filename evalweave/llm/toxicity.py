@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import row_groups, stored, texts_of
+from evalweave.llm.common import claim, row_groups, small_batches, stored, texts_of
 
 WINDOW = 24
 STRIDE = 16
@@ -278,12 +278,13 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 14, min_texts: int
 
 
 def toxicity_scores(
-    df: DataFrame, id_col: str, text: str, labels: DataFrame, label_id: str, label: str, learn: Column, sample_rows: int = 4000, seed: int = 7
+    df: DataFrame, id_col: str, text: str, labels: DataFrame, label_id: str, label: str, learn: Column, sample_rows: int = 4000,
+    sample_bytes: int = 65_536, seed: int = 7
 ) -> DataFrame:
     """(id, score): the highest toxicity of any window of each whole text, 0 to 1.
 
     The network is fitted on the driver to about ``sample_rows`` labelled rows for which ``learn``, an expression on ``label_id``, holds,
-    up to half of them with label 1, chosen by a hash of the id; that number bounds what reaches the driver. Null labels,
+    up to half of them with label 1, chosen by a hash of the id, of texts of up to ``sample_bytes`` bytes; the two numbers bound what reaches the driver. Null labels,
     labels without a document and null texts are not used. If the sample lacks a label, every score is near 0 (or 1 if
     all are 1). A null or empty text has one empty window. Repeated texts get equal scores.
     """
@@ -296,7 +297,7 @@ def toxicity_scores(
     # The sample is bounded, so it is broadcast and the texts stay where they are.
     rows = (
         df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-        .where(F.col("_text").isNotNull())
+        .where(F.octet_length("_text") <= sample_bytes)
         .join(F.broadcast(few), "_id")
         .select("_text", "label")
         .distinct()
@@ -304,10 +305,12 @@ def toxicity_scores(
         .collect()
     )
     net = train([r["_text"] for r in rows], np.array([r["label"] for r in rows]), seed=seed)
+    small_batches(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(net.__dict__)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         own = Network.__new__(Network)
         own.__dict__.update(shipped.value)
         for batch in batches:
