@@ -101,6 +101,13 @@ def test_words_as_library():
         assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_remembered_in_generations(monkeypatch):
+    monkeypatch.setattr(records, "REMEMBERED", 3)
+    library, own = Tokenizer.from_str(WORDS.decode()), records.WordEncoder(WORDS, "<u2")
+    for text in random_texts(60, 11) + ["\x00 \x1f a", "\u200b", "a\u0301 e\u0301x"]:
+        assert np.frombuffer(own.encode([text])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_frames():
     record = records.frame(-5, b"\x01\x00\x02\x00")
     assert struct.unpack("<Q", record[:8])[0] == 13
