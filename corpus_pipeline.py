@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm import passages, quality, simhash
@@ -26,6 +26,11 @@ def without(docs: DataFrame, bad: DataFrame, same) -> DataFrame:
     return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad, same(docs, bad), "left_anti")
 
 
+def same_document(docs: DataFrame, bad: DataFrame) -> Column:
+    """Equal ids (null equals null) and texts of equal hash; ``bad`` has bad_id and bad_hash."""
+    return docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_hash"])
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the quality threshold go."""
     model, _ = quality_model(spark, docs.select("doc_id", "text"), sf_dir)
@@ -34,17 +39,33 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates stays; a null id stays only where its group has no
-    other. Rows that repeat the id that stays are the same document and stay."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), "doc_id", "text")
-    bad = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("bad_id"), F.col("fp").alias("bad_fp")
+    other. Documents are told apart by id and text, so rows that repeat both are one document and stay; of different texts with
+    one id at most one stays in a group, and an id that goes from one group does not go from another."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("h"))
+    groups = simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key", "text")
+    bad = groups.where(F.col("key") != F.col("component_id")).select(
+        F.col("key.doc_id").alias("bad_id"), F.col("key.h").alias("bad_hash")
     )
-    return without(docs, bad.select("bad_id").distinct(), lambda d, b: d["doc_id"].eqNullSafe(b["bad_id"]))
+    return without(docs, bad.distinct(), same_document)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 35 words or more that occur more than once are cut out of the texts; every document stays."""
-    out = passages.remove_repeats(docs, "text")
+    """Passages of 35 words or more that occur more than once are cut out of the texts; every document stays. Rows that repeat
+    id and text are one document: its passages count once, and each row gets the text that is left."""
+    key = docs.select(F.col("doc_id").alias("bad_id"), F.xxhash64("text").alias("bad_hash"))
+    again = stored(key.groupBy("bad_id", "bad_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
+    if again.isEmpty():
+        out = passages.remove_repeats(docs, "text")
+    else:
+        hint = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
+        repeated = docs.join(hint, same_document(docs, hint), "left_semi")
+        once = repeated.groupBy("doc_id", F.xxhash64("text").alias("_hash")).agg(F.first("text").alias("text"))
+        others = docs.join(hint, same_document(docs, hint), "left_anti")
+        single = others.withColumn("_hash", F.lit(None).cast("bigint"))
+        cut = stored(passages.remove_repeats(single.unionByName(once, allowMissingColumns=True), "text"), "cut")
+        left = cut.where("_hash IS NOT NULL").select(F.col("doc_id").alias("bad_id"), F.col("_hash").alias("bad_hash"), F.col("text").alias("_text"))
+        rows = repeated.join(left, same_document(repeated, left)).withColumn("text", F.col("_text"))
+        out = cut.where("_hash IS NULL").select(docs.columns).unionByName(rows.select(docs.columns))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
@@ -56,7 +77,7 @@ def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return without(
         docs,
         bad.select(F.col("key.doc_id").alias("bad_id"), F.col("key.h").alias("bad_hash")).distinct(),
-        lambda d, b: d["doc_id"].eqNullSafe(b["bad_id"]) & (F.xxhash64(d["text"]) == b["bad_hash"]),
+        same_document,
     )
 
 

@@ -247,3 +247,17 @@ def test_pipeline_odd_rows(spark, tmp_path):
     assert sorted(r["doc_id"] or 0 for r in got) == [0, 1, 4, 4, 5]
     docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_groups_by_id_and_text(spark):
+    """Rows are told apart by id and text: what goes from one group stays in another, and repeated rows keep their text."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(None, text("x")), (4, text("x")), (None, text("y")), (2, text("z")), (5, text("z")), (5, text("u")), (7, text("v")), (7, text("v")),
+            (8, text("r") + " one"), (9, text("r") + " " + " ".join(f"s{i}" for i in range(300)))]
+    docs = spark.createDataFrame([(i, t, i, 0) for i, t in rows], "doc_id bigint, text string, source string, n_chars int")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "")
+    at = lambda df: sorted(((r["doc_id"] or 0), r["text"][:2], len(r["text"].split())) for r in df.collect())
+    assert at(kept) == [(0, "y0", 60), (2, "z0", 60), (4, "x0", 60), (5, "u0", 60), (7, "v0", 60), (7, "v0", 60), (8, "r0", 61), (9, "r0", 360)]
+    out = corpus_pipeline.without_repeats(spark, kept, "")
+    assert out.columns == docs.columns and all(r["n_chars"] == len(r["text"]) for r in out.collect())
+    assert at(out) == [(0, "y0", 60), (2, "z0", 60), (4, "x0", 60), (5, "u0", 60), (7, "v0", 60), (7, "v0", 60), (8, "on", 1), (9, "s0", 300)]
