@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import stored
+from evalweave.llm.common import shared_path, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Hosts up to which their verdicts are broadcast to the pages (about 60 bytes each).
 BROADCAST_HOSTS = 500_000
 
+# Largest change of a host's value in a round, as a share of the value, at which PageRank is done.
+TOLERANCE = 1e-6
+
 # Targets of links with a scheme or without one (//host/...).
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
@@ -55,12 +58,17 @@ def host_edges(pages: DataFrame, html: str) -> DataFrame:
     )
 
 
-def pagerank(hosts: DataFrame, edges: DataFrame, seeds: list[str], alpha: float, rounds: int) -> DataFrame:
+def pagerank(hosts: DataFrame, edges: DataFrame, seeds: list[str], alpha: float, rounds: int | None = None) -> DataFrame:
     """(host, *seeds): personalised PageRank, for several seed vectors at once (columns of ``hosts``).
 
+    It goes on until no value changes by more than TOLERANCE of the host's value for the last seed vector, or for ``rounds``.
+    The last vector must cover the others: it bounds them, so the changes bound those of shares of it. A wave of mass that is
+    small beside one host is as small beside every host it goes on to, as that host has got its part of the rest before.
+
     Each round sends ``alpha`` of a host's mass along its edges in proportion to their weights and adds ``1 - alpha`` of
-    its seed. A host without edges keeps its own mass, so its value is its seed. Each round is stored, so plans stay
-    short and a lost executor costs one round at most.
+    its seed. A host without edges keeps its own mass; without ``rounds`` it gets at once what that comes to, so a graph without
+    circles is done after as many rounds as its longest path. Each round is stored, so plans stay short and a lost executor costs
+    one round at most.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("all"))
     steps = stored(
@@ -71,27 +79,46 @@ def pagerank(hosts: DataFrame, edges: DataFrame, seeds: list[str], alpha: float,
     linked = steps.select(F.col("src").alias("host")).distinct().withColumn("linked", F.lit(True))
     base = stored(hosts.select("host", *[F.col(c).alias(f"seed_{c}") for c in seeds]).join(linked, "host", "left"), "base")
     mass = base.select("host", *[F.col(f"seed_{c}").alias(c) for c in seeds])
-    for _ in range(rounds):
+    older, done = None, 0
+    while rounds is None or done < rounds:
         moved = (
             mass.join(steps, mass["host"] == steps["src"])
             .groupBy("dst")
             .agg(*[F.sum(F.col(c) * F.col("share")).alias(f"got_{c}") for c in seeds])
         )
-        kept = {c: F.when(F.col("linked").isNull(), F.col(c)).otherwise(0.0) for c in seeds}
-        mass = stored(
+
+        def after(c: str) -> Column:
+            seed, got, alone = F.col(f"seed_{c}"), F.coalesce(f"got_{c}", F.lit(0.0)), F.col("linked").isNull()
+            if rounds is None:
+                return F.when(alone, seed + alpha / (1 - alpha) * got).otherwise((1 - alpha) * seed + alpha * got)
+            return (1 - alpha) * seed + alpha * (got + F.when(alone, F.col(c)).otherwise(0.0))
+
+        whole = after(seeds[-1])
+        change = F.greatest(F.lit(0.0), *[F.abs(after(c) - F.col(c)) for c in seeds])
+        path = shared_path(hosts.sparkSession, "mass")
+        fresh = (
             base.join(mass, "host")
             .join(moved, base["host"] == moved["dst"], "left")
-            .select(
-                base["host"],
-                *[((1 - alpha) * F.col(f"seed_{c}") + alpha * (F.coalesce(f"got_{c}", F.lit(0.0)) + kept[c])).alias(c) for c in seeds],
-            ),
-            "mass",
+            .select(base["host"], *[after(c).alias(c) for c in seeds], F.when(whole > 0, change / whole).otherwise(0.0).alias("change"))
         )
-    return mass
+        fresh.write.parquet(path)
+        mass = hosts.sparkSession.read.schema(fresh.schema).parquet(path)
+        if older:
+            removed(hosts.sparkSession, older)
+        older, done = path, done + 1
+        if rounds is None and (mass.agg(F.max("change")).first()[0] or 0.0) <= TOLERANCE:
+            break
+    return mass.select("host", *seeds)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete the folder of an earlier round, so that the disk holds two rounds however many there are."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def host_verdicts(
-    pages: DataFrame, html: str, rules: dict[str, str], alpha: float = 0.85, rounds: int = 8, threshold: float = 0.5
+    pages: DataFrame, html: str, rules: dict[str, str], alpha: float = 0.85, rounds: int | None = None, threshold: float = 0.5
 ) -> DataFrame:
     """(host, trust, distrust, blocked) per host; ``pages`` has ``host`` and ``rule``.
 
@@ -136,7 +163,7 @@ def by_rule(rules: dict[str, str]) -> Column:
 
 
 def filter_urls(
-    pages: DataFrame, page_id: str, url: str, html: str, rules: dict[str, str], alpha: float = 0.85, rounds: int = 8, threshold: float = 0.5
+    pages: DataFrame, page_id: str, url: str, html: str, rules: dict[str, str], alpha: float = 0.85, rounds: int | None = None, threshold: float = 0.5
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every page, by the longest rule or else by the verdict on its host.
 

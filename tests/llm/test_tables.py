@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +262,31 @@ def test_groups_by_id_and_text(spark):
     out = corpus_pipeline.without_repeats(spark, kept, "")
     assert out.columns == docs.columns and all(r["n_chars"] == len(r["text"]) for r in out.collect())
     assert at(out) == [(0, "y0", 60), (2, "z0", 60), (4, "x0", 60), (5, "u0", 60), (7, "v0", 60), (7, "v0", 60), (8, "on", 1), (9, "s0", 300)]
+
+
+def test_distrust_travels_far(spark):
+    """Nine hops to a blocked host of many pages, and a circle: shares as solved exactly."""
+    names = [f"c{i}.com" for i in range(9)] + ["bad.net", "r1.com", "r2.com"]
+    links = {f"c{i}.com": [f"c{i + 1}.com"] for i in range(8)} | {"c8.com": ["bad.net"], "r1.com": ["r2.com", "bad.net"], "r2.com": ["r1.com"]}
+    pages = {n: 5000 if n == "bad.net" else 1 for n in names}
+    rows = [(f"http://{n}/", "".join(f'<a href="http://{t}/">' for t in links.get(n, []))) for n in names for _ in range(pages[n])]
+    at = {n: i for i, n in enumerate(names)}
+
+    def solved(edges, seed):
+        move = np.zeros((12, 12))
+        for a, b in edges:
+            move[at[b], at[a]] += 1 / sum(x == a for x, _ in edges)
+        for a in {*names} - {x for x, _ in edges}:
+            move[at[a], at[a]] = 1
+        return np.linalg.solve(np.eye(12) - 0.85 * move, 0.15 * seed)
+
+    whole = np.array([pages[n] for n in names], float)
+    back = [(b, a) for a, bs in links.items() for b in bs]
+    want = solved(back, whole * [n == "bad.net" for n in names]) / solved(back, whole)
+    judged = hostrank.host_verdicts(
+        pages_of(spark, rows).withColumn("host", hostrank.host_of(F.col("url"))).withColumn("rule", F.when(F.col("host") == "bad.net", "net/")),
+        "html", queries.URL_RULES,
+    )
+    got = {r["host"]: r for r in judged.collect()}
+    assert all(got[n]["distrust"] == pytest.approx(want[at[n]], abs=1e-4) for n in names)
+    assert got["c0.com"]["blocked"] and want[0] > 0.9
