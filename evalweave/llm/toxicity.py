@@ -22,6 +22,7 @@ WINDOW = 24
 STRIDE = 16
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 ENDING = 4
+LONGEST = 40
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = True
@@ -32,8 +33,27 @@ _KINDS = (np.uint64(11), np.uint64(12), *[np.uint64(20 + n) for n in BEGINNINGS]
 
 
 def _starts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words; a run of more than LONGEST bytes is cut into pieces: each character of several bytes, and up
+    to eight others in a row."""
     edge = np.flatnonzero(np.diff(_WORD[raw], prepend=False, append=False))
-    return edge[0::2], edge[1::2]
+    starts, ends = edge[0::2], edge[1::2]
+    long = ends - starts > LONGEST
+    if not long.any():
+        return starts, ends
+    cuts = []
+    for a, b in zip(starts[long], ends[long]):
+        own = raw[a:b]
+        plain = own < 128
+        begins = (own & 0xC0) != 0x80
+        begins[1:] &= ~(plain[1:] & plain[:-1]) | (np.arange(1, b - a) % 8 == 0)
+        cuts.append(a + np.flatnonzero(begins))
+    sizes = [len(c) for c in cuts]
+    pieces = np.concatenate(cuts)
+    last = np.cumsum(sizes) - 1
+    stops = np.append(pieces[1:], 0)
+    stops[last] = ends[long]
+    order = np.argsort(np.concatenate([starts[~long], pieces]), kind="stable")
+    return np.concatenate([starts[~long], pieces])[order], np.concatenate([ends[~long], stops])[order]
 
 
 def _spans(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: np.uint64) -> np.ndarray:
@@ -48,17 +68,20 @@ def _spans(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: np.ui
 def word_inputs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of the first byte of every word, number of its distinct form, inputs of each form as hashes, 0 for none).
 
-    Words are runs of letters and digits, already in lower case; only the first 40 bytes of a word are hashed.
+    Words are runs of letters and digits, already in lower case, or pieces of runs of more than LONGEST bytes. Forms are told
+    apart by a hash of all their bytes and numbered in the order in which they appear.
     """
     raw = np.frombuffer(data, np.uint8)
     starts, ends = _starts(raw)
     if not len(starts):
         return starts, np.zeros(0, np.int64), np.zeros((0, len(_KINDS)), np.uint64)
     lengths = ends - starts
-    _, first, number = np.unique(_spans(raw, starts, np.minimum(lengths, 40), _KINDS[0]), return_index=True, return_inverse=True)
+    _, first, number = np.unique(_spans(raw, starts, lengths, _KINDS[0]), return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    first, number = first[order], np.argsort(order)[number]
     s, n = starts[first], lengths[first]
     inputs = np.zeros((len(first), len(_KINDS)), np.uint64)
-    inputs[:, 0] = _spans(raw, s, np.minimum(n, 40), _KINDS[0])
+    inputs[:, 0] = _spans(raw, s, n, _KINDS[0])
     long = n >= ENDING
     inputs[long, 1] = _spans(raw, s[long] + n[long] - ENDING, np.full(long.sum(), ENDING), _KINDS[1])
     for k, size in enumerate(BEGINNINGS, 2):

@@ -147,3 +147,27 @@ def test_toxicity_odd_inputs(spark):
         scores = [r["score"] for r in toxicity.toxicity_scores(docs, "doc_id", "text", labels, "doc_id", "toxic", F.lit(True)).collect()]
         assert len(scores) == 5 and all(low <= s <= high for s in scores)
     assert toxicity.toxicity_scores(docs.limit(0), "doc_id", "text", labels, "doc_id", "toxic", F.lit(True)).count() == 0
+
+
+def test_long_words_are_read_whole():
+    """Runs without blanks: every byte counts, and what stands beside a text does not."""
+    rng = random.Random(4)
+    pool = [chr(c) for c in range(0x4E00, 0x4E28)]
+
+    def text(toxic):
+        chars = [rng.choice(pool) for _ in range(rng.randrange(60, 200))]
+        if toxic:
+            chars[rng.randrange(20, len(chars) - 5)] = "毒"
+        return "".join(chars)
+
+    y = np.array([i % 3 == 0 for i in range(600)], int)
+    texts = [text(t) for t in y]
+    net = toxicity.train(texts[:450], y[:450])
+    assert np.mean((toxicity.score_texts(net, texts[450:]) >= 0.5) == y[450:]) >= 0.95
+    pair = [texts[0][:40] + "甲" * 30 + "毒乙丙", texts[0][:40] + "甲" * 30 + "乙丙丁"]
+    assert np.allclose(toxicity.score_texts(net, pair), [toxicity.score_texts(net, [t])[0] for t in pair], atol=1e-5)
+    for raw in ("x" * 100 + "é" * 30, "a" * 41, "ab " + "日本" * 20 + "z9" * 9 + " c", "q" * 40):
+        raw = raw.encode()
+        starts, ends = toxicity._starts(np.frombuffer(raw, np.uint8))
+        assert b"".join(raw[a:b] for a, b in zip(starts, ends)) == raw.replace(b" ", b"")
+        assert all(raw[a:b].decode() and b - a <= 40 for a, b in zip(starts, ends))
