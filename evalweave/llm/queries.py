@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import bpe, hostrank, passages, phraseindex, quality, records, sharding, simhash, topk, toxicity
+from evalweave.llm import alignment, bpe, hostrank, passages, phraseindex, quality, records, sharding, simhash, topk, toxicity
 from evalweave.llm import sql
 from evalweave.llm.common import table
 
@@ -17,6 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 WORD_VOCABULARY = 49_408
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 
 # Fixed values of the URL filter.
@@ -137,6 +139,13 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align_tokenizers(
+        documents(spark, sf_dir), "text", content(BYTE_TOKENIZER), content(PIECE_TOKENIZER), digest=True
+    )
+    return aligned.select(F.col("row.doc_id").alias("doc_id"), *[c for c in aligned.columns if c != "row"])
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -150,10 +159,11 @@ QUERIES: dict[str, Query] = {
         op8_exact_topk,
         op9_phrase_index,
         op10_byte_shards,
+        op11_token_alignment,
     )
 }
 
-# Not expressible in SQL: merges by rank (1), training (2, 3), another library's tokenizer (4), XXH64 (7).
+# Not expressible in SQL: merges by rank (1), training (2, 3), another library's tokenizer (4, 11), XXH64 (7).
 ORACLES: dict[str, str] = {
     "op5_repeated_passages": sql.REPEATED_PASSAGES,
     "op6_url_filter": sql.url_filter(URL_RULES, 0.85, 8, 0.5),
