@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import alignment, bpe, hostrank, passages, phraseindex, quality, records, sharding, simhash, topk, toxicity
+from evalweave.llm import alignment, bpe, hostrank, passages, phraseindex, quality, records, sharding, simhash, topk, toxicity, tries
 from evalweave.llm import sql
 from evalweave.llm.common import table
 
@@ -146,6 +146,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.select(F.col("row.doc_id").alias("doc_id"), *[c for c in aligned.columns if c != "row"])
 
 
+def op13_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    points = F.coalesce(F.length("text"), F.lit(0))
+    return tries.exact_duplicates(docs, "text", [-points, F.col("doc_id")]).select(
+        F.col("row.doc_id").alias("doc_id"), F.col("owner.doc_id").alias("keep_id"), "group_size", "kept", "text_sha256"
+    )
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -160,6 +168,7 @@ QUERIES: dict[str, Query] = {
         op9_phrase_index,
         op10_byte_shards,
         op11_token_alignment,
+        op13_trie_dedup,
     )
 }
 
@@ -170,4 +179,5 @@ ORACLES: dict[str, str] = {
     "op8_exact_topk": sql.EXACT_TOPK,
     "op9_phrase_index": sql.PHRASES,
     "op10_byte_shards": sql.BYTE_SHARDS,
+    "op13_trie_dedup": sql.EXACT_DUPLICATES,
 }

@@ -129,3 +129,21 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY before, doc_id NULLS FIRST, text_crc32) - 1 AS slot, NULL::INT AS grown_shard
 FROM dealt
 """
+
+# Groups by the whole normalised text; of a group the longest original text, then the smallest id stays.
+EXACT_DUPLICATES = r"""
+WITH plain AS (
+    SELECT doc_id, length(coalesce(text, '')) AS points,
+        regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
+    FROM documents
+),
+placed AS (
+    SELECT doc_id, body,
+        first_value(doc_id) OVER w AS keep_id,
+        count(*) OVER (PARTITION BY body) AS group_size,
+        row_number() OVER w = 1 AS kept
+    FROM plain
+    WINDOW w AS (PARTITION BY body ORDER BY points DESC, doc_id ASC NULLS LAST)
+)
+SELECT doc_id, keep_id, group_size, kept, sha256(body) AS text_sha256 FROM placed
+"""
