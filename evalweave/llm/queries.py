@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import alignment, bpe, hostrank, passages, phraseindex, quality, records, sharding, simhash, topk, toxicity, tries
+from evalweave.llm import alignment, bpe, dialogues, hostrank, passages, phraseindex, quality, records, sharding, simhash, topk, toxicity, tries
 from evalweave.llm import sql
 from evalweave.llm.common import table
 
@@ -146,6 +146,43 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.select(F.col("row.doc_id").alias("doc_id"), *[c for c in aligned.columns if c != "row"])
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a checksum of conversation and turn; nulls are one space."""
+    blank = F.lit(" ")
+    key = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), blank), F.coalesce(F.col("turn").cast("string"), blank))
+    fault, text = F.pmod(F.crc32(key), F.lit(20)), F.coalesce("text", blank)
+    return (
+        turns.withColumn("fault", fault)
+        .where("fault <> 0")
+        .select(
+            "conv_id",
+            "turn",
+            F.when(F.col("fault") == 4, F.lit("user")).otherwise(F.coalesce("role", blank)).alias("role"),
+            F.when(F.col("fault") == 1, F.lit("")).when(F.col("fault") == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+            F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+        )
+        .drop("copy")
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conversations, repaired = dialogues.repair_conversations(damaged(turns), "conv_id", "turn", "role", "text")
+    digests = dialogues.digests(repaired, "conv").withColumnRenamed("conv", "d")
+    every = turns.select("conv_id").distinct()
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return (
+        every.join(conversations, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+        .join(digests, F.col("conv_id").eqNullSafe(F.col("d")), "left")
+        .select(
+            "conv_id",
+            *numbers,
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+        )
+    )
+
+
 def op13_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     points = F.coalesce(F.length("text"), F.lit(0))
@@ -168,11 +205,13 @@ QUERIES: dict[str, Query] = {
         op9_phrase_index,
         op10_byte_shards,
         op11_token_alignment,
+        op12_conversation_repair,
         op13_trie_dedup,
     )
 }
 
-# Not expressible in SQL: merges by rank (1), training (2, 3), another library's tokenizer (4, 11), XXH64 (7).
+# Not expressible in SQL: merges by rank (1), training (2, 3), another library's tokenizer (4, 11), XXH64 (7),
+# least strings of edits (12).
 ORACLES: dict[str, str] = {
     "op5_repeated_passages": sql.REPEATED_PASSAGES,
     "op6_url_filter": sql.url_filter(URL_RULES, 0.85, 8, 0.5),
