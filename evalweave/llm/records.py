@@ -74,8 +74,8 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
+        # Special strings in a text get their ids, as the library gives them; they hold no blank, so no unit cuts one.
         self.tokenizer = Tokenizer.from_str(file.decode())
-        self.tokenizer.encode_special_tokens = True
         self.dtype = dtype
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}

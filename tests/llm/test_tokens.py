@@ -94,13 +94,22 @@ def test_op1_digests(spark, sf_dir, reference):
 
 def test_words_as_library():
     library = Tokenizer.from_str(WORDS.decode())
-    library.encode_special_tokens = True
     own = records.WordEncoder(WORDS, "<u2")
     texts = ODD + random_texts(400, 5)
     for text, ids in zip(texts, own.encode(texts)):
         assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_special_strings_as_library():
+    library, own = Tokenizer.from_str(WORDS.decode()), records.WordEncoder(WORDS, "<u2")
+    rng = random.Random(6)
+    pool = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "endoftext", "é", "\u0301", "A", "b", "7", ".", ",", "'s", " ", " ", "\n", "\xa0", "<"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert np.frombuffer(own.encode(["a<|endoftext|>b"])[0], "<u2").tolist() == [320, 49407, 321]
+
+
 def test_words_remembered_in_generations(monkeypatch):
     monkeypatch.setattr(records, "REMEMBERED", 3)
     library, own = Tokenizer.from_str(WORDS.decode()), records.WordEncoder(WORDS, "<u2")
@@ -141,7 +150,6 @@ def test_records_round_trip(spark):
 
 def test_op4_crc(spark, sf_dir):
     library = Tokenizer.from_str(WORDS.decode())
-    library.encode_special_tokens = True
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
     got = {r["doc_id"]: r for r in queries.op4_token_records(spark, sf_dir).collect()}
     at = 0
