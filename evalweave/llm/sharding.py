@@ -21,60 +21,59 @@ def shard_by_bytes(df: DataFrame, order: list[Column], size: Column, shards: int
     by the totals of the partitions before it (one row per partition, hence the broadcast is bounded by the number of
     shuffle partitions). Rows that tie in ``order`` are put in an arbitrary order among themselves; null keys come first;
     a null size counts as 0. An empty table gives an empty result. Columns of the input named ``shard`` or ``slot`` are
-    replaced; names that begin with an underscore and a letter are used inside.
+    replaced; all others keep their names, whatever they are.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    keys = [f"_k{i}" for i in range(len(order))]
+    keys = [f"k{i}" for i in range(len(order))]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.drop(name, "slot").withColumns(
-        {k: c for k, c in zip(keys, order)} | {"_size": F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0))}
+    # The row travels as one struct, so that its names meet none of those used here.
+    columns = [c for c in df.columns if c not in (name, "slot")]
+    row = F.struct(*[df[c] for c in columns]) if columns else F.struct(F.lit(0).alias("none"))
+    keyed = df.select(
+        row.alias("row"),
+        *[c.alias(k) for k, c in zip(keys, order)],
+        F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0)).alias("size"),
     )
     # Range borders are sampled, so the assignment is stored before it is read twice.
-    ranged = stored(keyed.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "shards")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = stored(keyed.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()), "shards")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
-        ranged.groupBy("_part")
-        .agg(F.sum("_size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
+        ranged.groupBy("part")
+        .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
         .select(
-            "_part",
-            F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_bytes_before"),
-            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
+            "part",
+            F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"),
+            F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
         )
     )
-    total = ranged.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("_total"))
-    inside = Window.partitionBy("_part").orderBy(*keys, "_size")
+    total = ranged.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
+    inside = Window.partitionBy("part").orderBy(*keys, "size")
     placed = (
         ranged.withColumns(
             {
-                "_at": F.row_number().over(inside) - 1,
-                "_start": F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"),
+                "at": F.row_number().over(inside) - 1,
+                "start": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"),
             }
         )
-        .join(F.broadcast(totals), "_part")
+        .join(F.broadcast(totals), "part")
         .crossJoin(F.broadcast(total))  # one row
         .withColumns(
             {
-                "_row": F.col("_rows_before") + F.col("_at"),
-                # Exact: the products stay below 2^63 for up to 2^60 bytes and 8 shards; decimals beyond.
-                "_shard": F.least(
-                    F.lit(shards - 1),
-                    F.floor(
-                        (F.col("_bytes_before") + F.col("_start")).cast("decimal(38,0)")
-                        * F.lit(shards)
-                        / F.greatest(F.col("_total"), F.lit(1)).cast("decimal(20,0)")
-                    ),
+                "number": F.col("rows_before") + F.col("at"),
+                # Whole decimals divided by `div`: exact, where a quotient would be rounded to a few decimal places.
+                "shard": F.expr(
+                    f"least({shards - 1}, (cast(bytes_before + start AS decimal(28,0)) * cast({shards} AS decimal(10,0)))"
+                    " div cast(greatest(total, 1) AS decimal(20,0)))"
                 ).cast("int"),
             }
         )
-        .drop("_part", "_at", "_start", "_bytes_before", "_rows_before", "_total", "_size", *keys)
+        .select("row", "number", "shard")
     )
     placed = stored(placed, "placed")
     # One row per shard.
-    firsts = placed.groupBy("_shard").agg(F.min("_row").alias("_first"))
+    firsts = placed.groupBy("shard").agg(F.min("number").alias("first"))
     return (
-        placed.join(F.broadcast(firsts), "_shard")
-        .withColumn("slot", F.col("_row") - F.col("_first"))
-        .withColumnRenamed("_shard", name)
-        .drop("_row", "_first")
+        placed.join(F.broadcast(firsts), "shard")
+        .select(*[F.col("row")[c].alias(c) for c in columns], F.col("shard").alias(name), (F.col("number") - F.col("first")).alias("slot"))
     )

@@ -201,6 +201,17 @@ def test_shards(spark):
     assert {(r["shard"], r["slot"]) for r in sharding.shard_by_bytes(df.limit(1), [F.col("k")], F.lit(0), 8).collect()} == {(0, 0)}
 
 
+def test_shards_are_exact_at_borders(spark):
+    """A row that starts one byte before a border belongs to the shard before it, however large the total."""
+    for total, k in ((8_000_000_000, 8), (10**16 + 7, 7), (10**17, 3)):
+        starts = sorted({0, *(max(0, total * j // k + d) for j in range(1, k) for d in (-1, 0, 1))})
+        sizes = [b - a for a, b in zip(starts, [*starts[1:], total])]
+        rows = [(i, s, "a", "b") for i, s in enumerate(sizes)]
+        df = spark.createDataFrame(rows, "i bigint, _size bigint, _k0 string, row string")
+        got = {r["i"]: (r["shard"], r["_size"], r["_k0"], r["row"]) for r in sharding.shard_by_bytes(df, [F.col("i")], F.col("_size"), k).collect()}
+        assert got == {i: (min(k - 1, at * k // total), s, "a", "b") for i, (at, s) in enumerate(zip(starts, sizes))}
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against a plain version on what the stage before kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
