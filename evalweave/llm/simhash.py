@@ -192,20 +192,15 @@ def fingerprint_links(fps: DataFrame, radius: int, block: int = BLOCK) -> DataFr
 def near_duplicates(df: DataFrame, id_col: str, text: str, words: int = 4, radius: int = 4) -> DataFrame:
     """(id, fp, component_id): the smallest id reachable over links of at most ``radius`` differing bits.
 
-    Documents of equal fingerprints are one node, so copies cost nothing beyond the first. Ids are integers; a null id
-    joins no component of others and keeps a null component unless its fingerprint has other ids. Repeated rows stay.
+    Fingerprints are the nodes: documents of one fingerprint are one node, so copies cost nothing beyond the first. An id is a
+    name, not a link: rows that share an id but not a fingerprint are connected only if their fingerprints are. A null id
+    connects like any other and is the smallest of its component only if there is no other (then component_id is null).
+    Ids can be of any ordered type. Repeated rows stay.
     """
     prints = stored(fingerprints(df, id_col, text, words), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "nodes")
     links = stored(fingerprint_links(nodes.select("fp"), radius), "links")
-    named = (
-        links.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
-        .join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
-    roots = components(named)
-    of_print = nodes.join(roots, nodes["first"] == roots["node"], "left").select(
-        "fp", F.coalesce("root", "first").alias("component_id")
-    )
+    rooted = nodes.join(components(links), nodes["fp"] == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_print = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(of_print, "fp", "left").select(id_col, "fp", "component_id")

@@ -9,6 +9,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evalweave.llm import graph, passages, queries, simhash
 
@@ -96,6 +97,22 @@ def test_null_ids(spark):
     assert got == [("4", "4"), ("None", "4"), ("None", "None")]
 
 
+def test_null_and_repeated_ids_as_bridges(spark, monkeypatch):
+    """Fingerprints A-B-C four bits apart each; ids are names of them, not links."""
+    a, b, c, far = 0, 0b1111, 0b11111111, (1 << 63) - 1
+
+    def groups(rows):
+        df = spark.createDataFrame(rows, "doc_id bigint, fp bigint")
+        monkeypatch.setattr(simhash, "fingerprints", lambda *_: df)
+        return sorted(map(tuple, simhash.near_duplicates(df.withColumn("text", F.lit("")), "doc_id", "text").select("doc_id", "fp", "component_id").collect()), key=str)
+
+    assert groups([(3, a), (None, b), (9, c)]) == sorted([(3, a, 3), (None, b, 3), (9, c, 3)], key=str)
+    for other in ([], [(2, far)]):  # id 4 on two fingerprints far apart: two groups, whatever else stands in one
+        got = groups([(4, a), (4, far), (5, a), (6, far), *other])
+        low = 2 if other else 4
+        assert got == sorted([(4, a, 4), (5, a, 4), (4, far, low), (6, far, low), *[(2, far, 2) for _ in other]], key=str)
+
+
 def test_op7(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
     fps = [plain_fingerprint(d["text"]) for d in docs]
