@@ -59,6 +59,11 @@ def ngram_hashes(tokens: Column, n: int) -> Column:
     return let(F.transform(tokens, lambda w: F.xxhash64(w)), build)
 
 
+def ngram_hash(ngram: Column) -> Column:
+    """The hash that ``ngram_hashes`` gives an n-gram, from its string."""
+    return F.xxhash64(F.transform(F.split(ngram, " "), lambda w: F.xxhash64(w)))
+
+
 def ascii_fold(text: Column, delete_chars: str = string.punctuation) -> Column:
     """ASCII lower case with ``delete_chars`` removed."""
     return F.translate(text, string.ascii_uppercase + delete_chars, string.ascii_lowercase)

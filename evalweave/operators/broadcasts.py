@@ -32,11 +32,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if not parts else df.repartition(int(parts), *keys)
 
 
-def ngrams_fit(df: DataFrame, tokens: Column, n: int, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the distinct n-grams of a table surely fit a broadcast.
+def ngrams_fit(df: DataFrame, tokens: Column, n: int, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether the distinct n-grams of a table surely fit a broadcast, in rows and in bytes.
 
-    The total number of n-grams bounds the distinct ones from above; it is one
+    The total number of n-grams bounds the distinct ones from above, and each word is in at most n of them; it is one
     narrow pass without building them.
     """
-    total = df.agg(F.sum(F.greatest(F.size(tokens) - (n - 1), F.lit(0)).cast("bigint"))).first()[0]
-    return (total or 0) <= rows
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0)).cast("bigint")
+    width = F.when(count > 0, (F.octet_length(F.array_join(tokens, " ")) + 1).cast("bigint") * n + 16 * count).otherwise(0)
+    total, bytes_ = df.agg(F.sum(count), F.sum(width)).first()
+    return (total or 0) <= rows and (bytes_ or 0) <= size

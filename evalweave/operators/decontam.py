@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from evalweave.functions import text as T
 from evalweave.functions.arrays import cumulative, let, let2, positions, total
+from evalweave.operators.bloom import bloom_filter
 from evalweave.operators.broadcasts import BROADCAST_ROWS, fits_broadcast, ngrams_fit, spread
 from evalweave.session import cut_lineage
 
@@ -32,19 +33,45 @@ def build_ngram_index(df: DataFrame, id_col: str, text: Column, n: int) -> DataF
     return ngram_rows(df, id_col, text, n).select("ngram", id_col)
 
 
-def _hash_rows(df: DataFrame, id_col: str, text: Column, n: int, fold: bool = False) -> DataFrame:
-    source = T.ascii_fold(text) if fold else F.lower(text)
-    return spread(df, id_col).select(
-        F.col(id_col), F.explode(F.array_distinct(T.ngram_hashes(T.words(source), n))).alias("h")
-    )
-
-
 def _small(rows: DataFrame) -> DataFrame:
     """Rows of an expensive query, written once and broadcast if they turn out to be few."""
     written = cut_lineage(rows)
     return F.broadcast(written) if fits_broadcast(written) else written
 
 
+def postings(corpus: DataFrame, id_col: str, tokens: Column, n: int, keys: DataFrame) -> DataFrame:
+    """(id, pos, h): hash and position of the corpus n-grams whose hash is among those of ``keys`` (column ``h``, distinct).
+
+    A Bloom filter of the keys is probed where the corpus is scanned. Only what passes it, 24 bytes for each hit and for about
+    one in a hundred other n-grams, is shuffled to meet the keys.
+    """
+    keys = cut_lineage(keys)
+    n_keys = keys.count()
+    possible = bloom_filter(keys, "h", n_keys)
+    rows = spread(corpus, id_col).select(F.col(id_col), F.posexplode(T.ngram_hashes(tokens, n)).alias("pos", "h"))
+    passed = rows.where(possible(F.col("h")))
+    return passed.join(F.broadcast(keys) if fits_broadcast(keys) else keys, "h", "left_semi")
+
+
+def corpus_hits(corpus: DataFrame, id_col: str, tokens: Column, n: int, ngrams: DataFrame, small: bool) -> DataFrame:
+    """(id, ngram) of the corpus n-grams that are among ``ngrams`` (distinct), once for each row and n-gram; ids are unique.
+
+    ``small`` n-grams are broadcast to the scan. Others meet the corpus by hash and position, and strings are built again, from
+    the text, only at positions with a hit; comparing these settles hash collisions.
+    """
+    if small:
+        rows = spread(corpus, id_col).select(F.col(id_col), F.explode(F.array_distinct(T.ngrams(tokens, n))).alias("ngram"))
+        return rows.join(F.broadcast(ngrams), "ngram", "left_semi").select(id_col, "ngram")
+    hits = postings(corpus, id_col, tokens, n, ngrams.select(T.ngram_hash(F.col("ngram")).alias("h")).distinct())
+    places = _small(hits.groupBy(id_col).agg(F.collect_list("pos").alias("_places")))
+
+    def strings(words: Column) -> Column:
+        return F.array_distinct(F.transform("_places", lambda p: F.array_join(F.slice(words, p + 1, F.lit(n)), " ")))
+
+    spelled = corpus.join(places, id_col).select(F.col(id_col), F.explode(let(tokens, strings)).alias("ngram"))
+    return spelled.join(ngrams, "ngram", "left_semi").select(id_col, "ngram")
+
+
 def find_contaminated(
     train: DataFrame,
     bench: DataFrame,
@@ -56,22 +83,18 @@ def find_contaminated(
 ) -> DataFrame:
     """Ids of training rows that share an n-gram with the benchmark.
 
-    A benchmark index that fits is broadcast and the corpus is read once without
-    a shuffle. A larger one is joined by 64-bit hash (the hashes travel, not the
-    strings), and only the candidate rows are compared by string.
+    A benchmark index that fits, in rows and bytes, is broadcast and the corpus is read once without a shuffle. A larger one is
+    met by hash behind a Bloom filter (see ``postings``), and only the candidates are compared by string.
     """
     dirty = bench.select(F.explode(normalized_ngrams(bench_text, n)).alias("ngram")).distinct()
-    if ngrams_fit(bench, T.words(bench_text), n, broadcast_rows):
-        grams = T.ngrams(T.words(F.lower(text)), n)
-        rows = spread(train, id_col).select(id_col, F.explode(grams).alias("ngram"))
+    tokens = T.words(F.lower(text))
+    if ngrams_fit(bench, T.words(F.lower(bench_text)), n, broadcast_rows):
+        # No need to tell a row's n-grams apart here.
+        rows = spread(train, id_col).select(id_col, F.explode(T.ngrams(tokens, n)).alias("ngram"))
         hits = rows.join(F.broadcast(dirty), "ngram", "left_semi")
-        return hits.select(id_col).distinct()
-    dirty_hashes = bench.select(
-        F.explode(T.ngram_hashes(T.words(F.lower(bench_text)), n)).alias("h")
-    ).distinct()
-    candidates = _hash_rows(train, id_col, text, n).join(dirty_hashes, "h", "left_semi").select(id_col).distinct()
-    rows = train.join(candidates, id_col, "left_semi")
-    return ngram_rows(rows, id_col, text, n).join(dirty, "ngram", "left_semi").select(id_col).distinct()
+    else:
+        hits = corpus_hits(train, id_col, tokens, n, dirty, small=False)
+    return hits.select(id_col).distinct()
 
 
 def decontaminate(train: DataFrame, contaminated_ids: DataFrame, id_col: str) -> DataFrame:
@@ -82,14 +105,14 @@ def decontaminate(train: DataFrame, contaminated_ids: DataFrame, id_col: str) ->
     return train.join(_small(contaminated_ids.select(id_col)), id_col, "left_anti")
 
 
-def _shared(train: DataFrame, bench: DataFrame, id_col: str, text: Column, bench_id: str, bench_text: Column, n: int):
+def _shared(
+    train: DataFrame, bench: DataFrame, id_col: str, text: Column, bench_id: str, bench_text: Column, n: int, rows: int
+):
     """Train and benchmark index rows restricted to the n-grams both sides have."""
     bench_index = build_ngram_index(bench, bench_id, bench_text, n)
+    small = ngrams_fit(bench, T.words(F.lower(bench_text)), n, rows)
     keys = bench_index.select("ngram").distinct()
-    if ngrams_fit(bench, T.words(bench_text), n):
-        keys = F.broadcast(keys)
-    train_hits = build_ngram_index(train, id_col, text, n).join(keys, "ngram", "left_semi")
-    return train_hits, bench_index
+    return corpus_hits(train, id_col, T.words(F.lower(text)), n, keys, small), bench_index
 
 
 def overlap_report(
@@ -101,6 +124,7 @@ def overlap_report(
     bench_text: Column,
     n: int,
     part_size: int = 10_000,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Per shared n-gram the benchmark and training ids, as sorted lists.
 
@@ -108,7 +132,7 @@ def overlap_report(
     so one found in a large share of the corpus gives more rows instead of one huge
     list. Only such n-grams need a second look; all others are one row.
     """
-    train_hits, bench_index = _shared(train, bench, id_col, text, bench_id, bench_text, n)
+    train_hits, bench_index = _shared(train, bench, id_col, text, bench_id, bench_text, n, broadcast_rows)
     # The hits are read several times below (shared n-grams, sample, count, numbering); the corpus scan runs once.
     train_hits = cut_lineage(train_hits)
     shared = train_hits.select("ngram").distinct()
@@ -131,16 +155,23 @@ def overlap_report(
 
 
 def contamination_summary(
-    train: DataFrame, bench: DataFrame, id_col: str, text: Column, bench_id: str, bench_text: Column, n: int
+    train: DataFrame,
+    bench: DataFrame,
+    id_col: str,
+    text: Column,
+    bench_id: str,
+    bench_text: Column,
+    n: int,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """One row: training rows, contaminated rows, matched n-grams."""
-    hits, _ = _shared(train, bench, id_col, text, bench_id, bench_text, n)
-    # One scan of the corpus: hits keep (n-gram, id); both distinct counts come from a single expand.
-    counts = hits.agg(
-        F.countDistinct(id_col).alias("contaminated_rows"), F.countDistinct("ngram").alias("matched_ngrams")
-    )
-    total = train.agg(F.count(F.lit(1)))
-    return counts.select(total.scalar().alias("original_rows"), "contaminated_rows", "matched_ngrams")
+    hits, _ = _shared(train, bench, id_col, text, bench_id, bench_text, n, broadcast_rows)
+    # The corpus is scanned once; the hits are few and written, and each distinct count is an aggregation of its own over them.
+    hits = cut_lineage(hits)
+    ids = hits.select(id_col).distinct().agg(F.count(F.lit(1)))
+    grams = hits.select("ngram").distinct().agg(F.count(F.lit(1)))
+    total = train.agg(F.count(F.lit(1)).alias("original_rows"))
+    return total.select("original_rows", ids.scalar().alias("contaminated_rows"), grams.scalar().alias("matched_ngrams"))
 
 
 def ngram_doc_frequency(
@@ -167,7 +198,13 @@ def ngram_doc_frequency(
 
 
 def train_overlap(
-    corpus: DataFrame, corpus_id: str, corpus_text: Column, tasks: DataFrame, task_text: Column, n: int = 13
+    corpus: DataFrame,
+    corpus_id: str,
+    corpus_text: Column,
+    tasks: DataFrame,
+    task_text: Column,
+    n: int = 13,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Which evaluation documents overlap the training corpus, per (task, set).
 
@@ -177,14 +214,9 @@ def train_overlap(
     """
     index = tasks.select("task", "set", "doc_id", F.explode(folded_ngrams(task_text, n)).alias("ngram"))
     keys = index.select("ngram").distinct()
-    if ngrams_fit(tasks, T.words(T.ascii_fold(task_text)), n):
-        keys = F.broadcast(keys)
-    matched = (
-        spread(corpus, corpus_id).select(F.explode(folded_ngrams(corpus_text, n)).alias("ngram"))
-        .join(keys, "ngram", "left_semi")
-        .distinct()
-        .withColumn("hit", F.lit(True))
-    )
+    small = ngrams_fit(tasks, T.words(T.ascii_fold(task_text)), n, broadcast_rows)
+    found = corpus_hits(corpus, corpus_id, T.words(T.ascii_fold(corpus_text)), n, keys, small)
+    matched = found.select("ngram").distinct().withColumn("hit", F.lit(True))
     tagged = index.join(matched, "ngram", "left")
     dirty = tagged.where("hit").select("task", "set", "doc_id").distinct()
     grams = tagged.groupBy("task", "set", "ngram").agg(F.max("hit").alias("hit"))
@@ -233,13 +265,19 @@ def ngram_spans(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 def dirty_positions(
     docs: DataFrame, id_col: str, text_col: str, dirt: DataFrame, n: int, cutoff: int
 ) -> DataFrame:
-    """Per document the number of dirty n-grams and, below the cutoff, their word positions."""
+    """Per document the number of dirty n-grams, counted up to the cutoff, and, below it, their word positions.
+
+    No more than ``cutoff`` positions of a document leave its task or are ever listed together.
+    """
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(f"{T.NOT_WS}+"), F.lit(0))
     folded = F.transform(tokens, lambda w: T.ascii_fold(w))
     grams = spread(docs, id_col).select(id_col, F.posexplode(T.ngrams(folded, n)).alias("pos", "ngram"))
     hits = grams.join(dirt, "ngram", "left_semi").select(id_col, "pos")
+    first = Window.partitionBy(id_col).orderBy("pos")
     return (
-        hits.groupBy(id_col)
+        hits.withColumn("_at", F.row_number().over(first))
+        .where(F.col("_at") <= max(1, cutoff))
+        .groupBy(id_col)
         .agg(F.count(F.lit(1)).alias("n_hits"), F.sort_array(F.collect_list("pos")).alias("hits"))
         .withColumn("hits", F.when(F.col("n_hits") < cutoff, F.col("hits")))
     )

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions import text as T
+from evalweave.operators import bloom
 from evalweave.operators import decontam as D
+from evalweave.operators.broadcasts import ngrams_fit
 from evalweave.streaming.incremental import incremental_decontaminate, read_clean
 
 
@@ -185,3 +187,83 @@ def test_stream_equals_batch_and_resumes(spark, docs, bench, tmp_path):
     got = [r.doc_id for r in read_clean(spark, out).collect()]
     assert half < len(got)
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_bloom_filter_keeps_every_key(spark):
+    numbers = spark.range(0, 60_000).select("id", F.xxhash64("id").alias("h"))
+    keys = numbers.where("id < 20000").select("h")
+    possible = bloom.bloom_filter(keys, "h", 20_000)
+    passed = numbers.where(possible(F.col("h")))
+    assert passed.where("id < 20000").count() == 20_000
+    assert passed.where("id >= 20000").count() < 40_000 * 0.04
+    assert numbers.where(bloom.bloom_filter(keys.limit(0), "h", 0)(F.col("h"))).count() == 0
+    assert bloom.filter_bits(0) == 1 << bloom.SMALLEST and bloom.filter_bits(10**12) == 1 << bloom.LARGEST
+
+
+def test_crowded_bloom_filter_loses_no_key(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "LARGEST", bloom.SMALLEST)
+    keys = spark.range(0, 20_000).select(F.xxhash64("id").alias("h"))
+    assert keys.where(bloom.bloom_filter(keys, "h", 20_000)(F.col("h"))).count() == 20_000
+
+
+def test_hash_of_a_string_is_that_of_its_words(spark):
+    df = spark.createDataFrame([("the quick brown fox",), ("é ü 日本 x",)], "t string")
+    for n in (1, 2, 4):
+        row = df.select(T.ngram_hashes(T.words(F.col("t")), n).alias("h"), F.transform(T.ngrams(T.words(F.col("t")), n), T.ngram_hash).alias("s")).collect()
+        assert all(r.h == r.s for r in row)
+
+
+def test_little_of_the_corpus_is_shuffled(spark, docs, bench, monkeypatch):
+    """Beyond the broadcast bound, what meets the benchmark's hashes by shuffle is numbers, and hardly more than the hits."""
+    n, x = 13, F.col("text")
+    monkeypatch.setattr(D, "fits_broadcast", lambda *_: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tokens = T.words(F.lower(x))
+        keys = bench.select(F.explode(T.ngram_hashes(T.words(F.lower("text")), n)).alias("h")).distinct()
+        hits = D.postings(docs, "doc_id", tokens, n, keys)
+        assert [t for _, t in hits.dtypes] == ["bigint", "bigint", "int"]
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        shuffles = [i for i, line in enumerate(plan.splitlines()) if "hashpartitioning(h" in line]
+        probes = [i for i, line in enumerate(plan.splitlines()) if "Filter" in line and "getbit" in line]
+        assert shuffles and probes and min(shuffles) < probes[0]  # the filter lies below the exchange
+        assert "ngram" not in plan
+        total = docs.select(F.explode(T.ngram_hashes(tokens, n))).count()
+        possible = bloom.bloom_filter(keys, "h", keys.count())
+        shuffled = docs.select(F.explode(T.ngram_hashes(tokens, n)).alias("h")).where(possible(F.col("h"))).count()
+        assert 0 < hits.count() <= shuffled < hits.count() + 0.04 * total
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def as_rows(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("n", [2, 13])
+def test_reports_both_paths(spark, docs, bench, n):
+    x = F.col("text")
+    some = docs.where("doc_id < 60") if n == 2 else docs
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "one"), (-4, "the the the the")], "doc_id bigint, text string")
+    both = some.select("doc_id", "text").unionByName(odd)
+    reports = [D.overlap_report(both, bench, "doc_id", x, "item_id", x, n, broadcast_rows=r) for r in (10**6, 0)]
+    assert as_rows(reports[0]) == as_rows(reports[1]) != []
+    sums = [D.contamination_summary(both, bench, "doc_id", x, "item_id", x, n, broadcast_rows=r).first() for r in (10**6, 0)]
+    assert sums[0] == sums[1] and sums[0].matched_ngrams > 0
+    tasks = bench.select(F.lit("t").alias("task"), (F.col("item_id") % 2).alias("set"), F.col("item_id").alias("doc_id"), "text")
+    pairs = [D.train_overlap(both, "doc_id", x, tasks, x, n, broadcast_rows=r) for r in (10**6, 0)]
+    for small, large in zip(*pairs):
+        assert as_rows(small) == as_rows(large) != []
+
+
+def test_bound_counts_bytes(bench):
+    tokens = T.words(F.lower("text"))
+    assert ngrams_fit(bench, tokens, 13)
+    assert not ngrams_fit(bench, tokens, 13, rows=0) and not ngrams_fit(bench, tokens, 13, size=1000)
+
+
+def test_no_more_positions_than_the_cutoff(spark):
+    docs = spark.createDataFrame([(1, "a b " * 500), (2, "a b c")], "doc_id bigint, text string")
+    dirt = spark.createDataFrame([("a b",)], "ngram string")
+    got = {r.doc_id: (r.n_hits, r.hits) for r in D.dirty_positions(docs, "doc_id", "text", dirt, 2, 3).collect()}
+    assert got == {1: (3, None), 2: (1, [0])}
