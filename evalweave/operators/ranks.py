@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import DoubleType, IntegralType, StringType, StructType
 
+from evalweave.session import cut_lineage
+
 SAMPLES_PER_SLICE = 16
 
 # Rows up to which a fixed k goes through one top-k.
@@ -135,24 +137,36 @@ def collect_in_parts(
 def smallest_cut(df: DataFrame, keys: list[Column], k: int) -> Column | None:
     """A condition that holds for the ``k >= 1`` rows with the smallest keys (and ties at the last); None if for all.
 
-    For a k beyond ``DIRECT_TOP_K`` the rows are counted by slices of the keys first,
-    and only the slice with the k-th key is ordered.
+    Beyond ``DIRECT_TOP_K`` the rows are counted by slices of the keys, and the slice with the k-th key is cut again in the
+    same way until the place sought in it is small enough. So no task orders more than ``DIRECT_TOP_K`` rows, for any k.
+    A slice that cannot be cut, as one key fills nearly all of it, loses its smallest key instead.
     """
-    narrow = df.select(_key(keys).alias("_key"))
-    if k > DIRECT_TOP_K:
-        names = [f"k{i}" for i in range(len(keys))]
-        plain = narrow.select("_key.*")
-        sliced = plain.withColumn("_slice", _slice_column(plain, [F.col(n) for n in names], slice_count(df)))
-        before = 0
-        for row in sorted(sliced.groupBy("_slice").count().collect()):
-            if before + row["count"] >= k:
-                k -= before
-                narrow = sliced.where(F.col("_slice") == row["_slice"]).select(F.struct(*names).alias("_key"))
+    names = [f"k{i}" for i in range(len(keys))]
+    columns = [F.col(n) for n in names]
+    narrow = df.select(*[c.alias(n) for n, c in zip(names, keys)])
+    slices, rows = slice_count(df), None
+    while k > DIRECT_TOP_K:
+        sliced = narrow.withColumn("_slice", _slice_column(narrow, columns, slices))
+        counts = sorted((r["_slice"], r["count"]) for r in sliced.groupBy("_slice").count().collect())  # one row per slice
+        if k >= sum(n for _, n in counts):
+            if rows is None:
+                return None
+            return _key(keys) <= narrow.agg(F.max(_key(columns)).alias("_cut")).scalar()
+        chosen, before = counts[0][0], 0
+        for chosen, n in counts:
+            if before + n >= k:
                 break
-            before += row["count"]
-        else:
-            return None
-    cut = narrow.orderBy("_key").limit(k).agg(F.max("_key").alias("_cut"))
+            before += n
+        k -= before
+        narrow = cut_lineage(sliced.where(F.col("_slice") == chosen).drop("_slice"))
+        if n == rows:
+            least = narrow.agg(F.min(_key(columns)).alias("_least")).scalar()
+            same = narrow.where(_key(columns) == least).count()
+            if same >= k:
+                return _key(keys) <= least
+            k, narrow, n = k - same, cut_lineage(narrow.where(_key(columns) > least)), n - same
+        rows = n
+    cut = narrow.select(_key(columns).alias("_key")).orderBy("_key").limit(k).agg(F.max("_key").alias("_cut"))
     return _key(keys) <= cut.scalar()
 
 

@@ -469,6 +469,26 @@ def test_no_funnel_for_large_k(spark, monkeypatch):
     assert not [x for x in funnels(with_position(df, [F.col("v")])) if "TakeOrdered" in x]
 
 
+@pytest.mark.parametrize("tied", [False, True])
+def test_any_k_orders_few_rows(spark, monkeypatch, tied):
+    import re
+
+    from evalweave.operators import ranks
+
+    monkeypatch.setattr(ranks, "DIRECT_TOP_K", 20)
+    monkeypatch.setattr(ranks, "SAMPLES_PER_SLICE", 2)
+    value = F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id") % 50) if tied else F.xxhash64("id") % 10**9
+    df = spark.range(3000).select("id", F.when(F.col("id") % 17 > 0, value).alias("v"))
+    order = sorted(((r.v is not None, r.v or 0) for r in df.collect()))
+    for k in (1, 20, 21, 700, 1501, 2990, 3000, 5000):
+        cut = ranks.smallest_cut(df, [F.col("v")], k)
+        rows = df if cut is None else df.where(cut)
+        last = order[min(k, 3000) - 1]
+        assert rows.count() == sum(x <= last for x in order)
+        limits = re.findall(r"limit=(\d+)|Limit (\d+)", rows._jdf.queryExecution().executedPlan().toString())
+        assert all(int(a or b) <= 20 for a, b in limits)
+
+
 def test_broadcast_check_counts_bytes(spark):
     from evalweave.operators.broadcasts import fits_broadcast
 
