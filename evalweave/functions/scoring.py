@@ -435,9 +435,13 @@ def char_matches(pred: pd.Series, gold: pd.Series) -> pd.Series:
     return pd.Series([one(p, g) for p, g in zip(pred, gold)])
 
 
+def token_matches(pred_tokens: Column, gold_tokens: Column) -> Column:
+    return _token_matches(pred_tokens, gold_tokens)
+
+
 def ngram_stats(pred_tokens: str, gold_tokens: str) -> list[Column]:
     """Columns m1..m4 (clipped matches), c1..c4 (candidate n-grams), p_len, g_len of two token array columns."""
-    matches = _token_matches(F.col(pred_tokens), F.col(gold_tokens))
+    matches = token_matches(F.col(pred_tokens), F.col(gold_tokens))
     p_len = F.size(pred_tokens).cast("bigint")
     return [
         matches.alias("m"),

@@ -1,7 +1,8 @@
 """Metrics, aggregations and filters by name, and the chain from responses to grouped results.
 
-A metric's aggregation is a function of a few weighted sums over the samples. So all metrics of a run come from one
-aggregation of the scored samples, and a resample only changes the weights.
+The aggregation of nearly every metric is a function of a few weighted sums over the samples (matches and lengths for corpus
+BLEU and chrF). So all of them come from one aggregation of the scored samples, and a resample only changes the weights. The two
+that are not, the middle element and the share of groups that are right throughout, read the scored samples in their own way.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalweave.functions import scoring as S
+from evalweave.functions import text as T
 from evalweave.operators.filters import FILTERS, Step, filter_chain
-from evalweave.operators.metrics import group_rollup, stderr_plan
+from evalweave.operators.metrics import bleu_of, chrf_of, chrf_terms, group_em, group_rollup, stderr_mean, stderr_plan
+from evalweave.operators.ranks import with_group_position
 from evalweave.session import cut_lineage
 
 Sums = dict[str, Column]
@@ -62,8 +66,57 @@ def _weighted(c: str) -> Sums:
     return {"x": F.col(c)["ll"], "k": F.col(c)["weight"]}
 
 
+def _bleu(c: str) -> Sums:
+    """``c`` is a struct of the texts pred and gold."""
+    pred, gold = (S.mt_tokens(F.col(c)[side]) for side in ("pred", "gold"))
+    matches = S.token_matches(pred, gold)
+    lengths = {f"c{n}": F.greatest(F.size(pred) - (n - 1), F.lit(0)) for n in range(1, 5)}
+    return {f"m{n}": F.get(matches, F.lit(n - 1)) for n in range(1, 5)} | lengths | {"p_len": F.size(pred), "g_len": F.size(gold)}
+
+
+def _chrf(c: str) -> Sums:
+    pred, gold = (F.regexp_replace(F.col(c)[side], f"{T.WS}+", "") for side in ("pred", "gold"))
+    return chrf_terms(F.length(pred), F.length(gold), S.char_matches(pred, gold))
+
+
+@dataclass(frozen=True)
+class Whole:
+    """An aggregation that is no function of sums: ``results(df, group, column, draws, seed)`` gives (group, value, stderr)."""
+
+    results: Callable[[DataFrame, list[str], str, int, int], DataFrame]
+
+
+def _middle(df: DataFrame, group: list[str], c: str, draws: int, seed: int) -> DataFrame:
+    """The sample in the middle of the input order; ``c`` is a struct of order (unique in a group) and value.
+
+    In the middle of a resample with replacement stands any sample, all with one chance. So a resample draws one position, and
+    the error is the spread of the samples at ``draws`` positions.
+    """
+    rows = df.select(*group, F.col(c)["order"].alias("_order"), F.col(c)["value"].cast("double").alias("_value"))
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    drawn = F.floor(uniform(seed, F.lit("middle"), *[F.col(g) for g in group], F.col("_draw")) * F.col("_n"))
+    wanted = sizes.withColumn("_draw", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1)))).select(
+        *group, "_draw", F.when(F.col("_draw") < 0, F.floor(F.col("_n") / 2)).otherwise(drawn).alias("_pos")
+    )
+    numbered = with_group_position(rows, group, [F.col("_order")], "_pos")
+    found = numbered.join(wanted, [*group, "_pos"])
+    return found.groupBy(*group).agg(
+        F.max(F.when(F.col("_draw") < 0, F.col("_value"))).alias("value"),
+        F.stddev_samp(F.when(F.col("_draw") >= 0, F.col("_value"))).alias("stderr"),
+    )
+
+
+def _right_throughout(df: DataFrame, group: list[str], c: str, draws: int, seed: int) -> DataFrame:
+    """Share of (paragraph, question) groups that are right throughout; the error is that of the groups by question only.
+    ``c`` is a struct of paragraph, question and correct."""
+    rows = df.select(*group, F.col(c)["paragraph"].alias("_p"), F.col(c)["question"].alias("_q"), F.col(c)["correct"].cast("boolean").alias("_ok"))
+    value = group_em(rows, [*group, "_p", "_q"], F.col("_ok")).groupBy(*group).agg(F.avg("em").alias("value"))
+    error = group_em(rows, [*group, "_q"], F.col("_ok")).groupBy(*group).agg(stderr_mean(F.col("em")).alias("stderr"))
+    return value.join(error, group)
+
+
 # Aggregations by name; a metric without one of its own name is averaged.
-AGGREGATIONS: dict[str, Aggregation] = {
+AGGREGATIONS: dict[str, Aggregation | Whole] = {
     "mean": Aggregation(),
     "nanmean": Aggregation(_valid, lambda s: F.coalesce(F.try_divide(s["x"], s["n"]), F.lit(float("nan")))),
     "perplexity": Aggregation(value=lambda s: F.exp(-F.try_divide(s["x"], s["weight"]))),
@@ -72,10 +125,14 @@ AGGREGATIONS: dict[str, Aggregation] = {
     "brier": Aggregation(),
     "f1": Aggregation(_binary, _f1),
     "mcc": Aggregation(_binary, _mcc),
+    "bleu": Aggregation(_bleu, bleu_of),
+    "chrf": Aggregation(_chrf, chrf_of),
+    "median": Whole(_middle),
+    "acc_all": Whole(_right_throughout),
 }
 
 
-def register_aggregation(name: str, aggregation: Aggregation) -> None:
+def register_aggregation(name: str, aggregation: Aggregation | Whole) -> None:
     if name in AGGREGATIONS:
         raise ValueError(f"{name} is registered twice")
     AGGREGATIONS[name] = aggregation
@@ -92,7 +149,10 @@ def named_steps(config: list[tuple[str, dict]]) -> list[Step]:
     return [FILTERS[name](**arguments) for name, arguments in config]
 
 
-def aggregation_for(metric: str) -> Aggregation:
+def aggregation_for(metric: str) -> Aggregation | Whole:
+    """The aggregation of that name, or the mean. A metric whose error is known must have one of its own."""
+    if metric not in AGGREGATIONS and stderr_plan(metric, 1)[0]:
+        raise ValueError(f"{metric} has a standard error but no aggregation")
     return AGGREGATIONS.get(metric, AGGREGATIONS["mean"])
 
 
@@ -130,7 +190,7 @@ def resampled_stderr(
 
     Equal samples are counted first, and a replicate draws one Poisson number per different sample instead of one per sample: two
     for a 0/1 metric, four for a two-by-two table, however many rows there are. What is shuffled after that is one row per
-    group, replicate and partition. A replicate without any sample counts if the statistic is defined for it.
+    group, replicate and partition. A replicate counts if the statistic is a number for it.
     """
     names = list(terms)
     cells = df.select(*group, *[c.cast("double").alias(n) for n, c in terms.items()]).groupBy(*group, *names).agg(
@@ -140,7 +200,8 @@ def resampled_stderr(
         "_w", poisson(seed, F.col("_n"), *[F.col(g) for g in group], *[F.col(n) for n in names], F.col("_rep"))
     )
     sums = drawn.groupBy(*group, "_rep").agg(F.sum("_w").alias("weight"), *[F.sum(F.col("_w") * F.col(n)).alias(n) for n in names])
-    return sums.groupBy(*group).agg(F.stddev_samp(value({n: F.col(n) for n in [*names, "weight"]})).alias("stderr"))
+    drawn_value = F.nanvl(value({n: F.col(n) for n in [*names, "weight"]}), F.lit(None).cast("double"))
+    return sums.groupBy(*group).agg(F.stddev_samp(drawn_value).alias("stderr"))
 
 
 # --- metrics with their standard errors ----------------------------------------------
@@ -151,34 +212,54 @@ def metrics_with_stderr(
 ) -> DataFrame:
     """(group, metric, value, stderr, n): every metric by its own aggregation with the standard error that goes with it.
 
-    ``scores`` maps a metric to its column (a number, or the struct its aggregation reads). All values and closed-form errors come from one
-    aggregation; metrics that are resampled read the samples once more. Null for a metric without error, and for
-    groups of one sample. An unknown metric is averaged and has no error.
+    ``scores`` maps a metric to its column (a number, or the struct its aggregation reads). What the samples add to each sum is worked out
+    once and stored if it is read again: all values and closed-form errors come from one aggregation of it, and each resampled
+    metric reads its own few columns. Null for a metric without error, and for groups of one sample. An unknown metric is
+    averaged and has no error.
     """
-    aggs, cells = [F.count(F.lit(1)).alias("_n")], []
-    resampled = []
-    for i, (metric, column) in enumerate(scores.items()):
-        how = aggregation_for(metric)
-        terms = how.terms(column)
-        plan, count = stderr_plan(metric, iters)
-        sums = {n: F.sum(c.cast("double")) for n, c in terms.items()} | {"weight": F.count(F.lit(1)).cast("double")}
-        aggs.append(how.value(sums).alias(f"_v{i}"))
-        error = F.stddev_samp(F.col(column)) / F.sqrt(F.count(F.col(column))) if plan == "closed" else F.lit(None).cast("double")
-        aggs.append(F.when(F.count(F.lit(1)) > 1, error).alias(f"_e{i}"))
-        cells.append(F.struct(F.lit(metric).alias("metric"), F.col(f"_v{i}").alias("value"), F.col(f"_e{i}").alias("stderr")))
+    plans = {m: (f"s{i}", aggregation_for(m), *stderr_plan(m, iters)) for i, m in enumerate(scores)}
+    columns = []
+    for metric, (name, how, plan, _) in plans.items():
+        if isinstance(how, Whole) or plan == "closed":
+            columns.append(F.col(scores[metric]).alias(name))
+        if isinstance(how, Aggregation):
+            columns += [c.cast("double").alias(f"{name}_{term}") for term, c in how.terms(scores[metric]).items()]
+    samples = df.select(*group, *columns)
+    if any(isinstance(how, Whole) or plan == "bootstrap" for _, how, plan, _ in plans.values()):
+        samples = cut_lineage(samples)
+    aggs, cells, others = [F.count(F.lit(1)).alias("_n")], [], []
+    for metric, (name, how, plan, draws) in plans.items():
+        if isinstance(how, Whole):
+            others.append(how.results(samples, group, name, max(draws, 1), seed).select(*group, F.lit(metric).alias("metric"), "value", F.col("stderr") if plan else F.lit(None).cast("double").alias("stderr")))
+            cells.append((metric, None, None))
+            continue
+        terms = {term: F.col(f"{name}_{term}") for term in how.terms(scores[metric])}
+        sums = {t: F.sum(c) for t, c in terms.items()} | {"weight": F.count(F.lit(1)).cast("double")}
+        aggs.append(how.value(sums).alias(f"{name}_value"))
+        error = F.stddev_samp(name) / F.sqrt(F.count(name)) if plan == "closed" else F.lit(None).cast("double")
+        aggs.append(error.alias(f"{name}_error"))
+        cells.append((metric, f"{name}_value", f"{name}_error"))
         if plan == "bootstrap":
-            resampled.append(
-                resampled_stderr(df, group, terms, how.value, count, seed).withColumn("metric", F.lit(metric)).withColumnRenamed("stderr", "_drawn")
+            drawn = resampled_stderr(samples, group, terms, how.value, draws, seed)
+            others.append(drawn.select(*group, F.lit(metric).alias("metric"), F.lit(None).cast("double").alias("value"), "stderr"))
+    number = F.lit(None).cast("double")
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(m).alias("metric"),
+                (F.col(v) if v else number).cast("double").alias("value"),
+                (F.col(e) if e else number).cast("double").alias("stderr"),
             )
-    out = df.groupBy(*group).agg(*aggs).select(*group, F.explode(F.array(*cells)).alias("c"), F.col("_n").alias("n")).select(*group, "c.*", "n")
-    if not resampled:
-        return out
-    drawn = reduce(lambda a, b: a.unionByName(b), resampled)
-    return (
-        out.join(drawn, [*group, "metric"], "left")
-        .withColumn("stderr", F.when(F.col("n") > 1, F.coalesce("stderr", "_drawn")))
-        .select(*group, "metric", "value", "stderr", "n")
+            for m, v, e in cells
+        ]
     )
+    out = samples.groupBy(*group).agg(*aggs).select(*group, F.explode(rows).alias("c"), F.col("_n").alias("n")).select(*group, "c.*", "n")
+    if others:
+        found = reduce(lambda a, b: a.unionByName(b), others).select(*group, "metric", F.col("value").alias("_value"), F.col("stderr").alias("_stderr"))
+        out = out.join(found, [*group, "metric"], "left").select(
+            *group, "metric", F.coalesce("value", "_value").alias("value"), F.coalesce("stderr", "_stderr").alias("stderr"), "n"
+        )
+    return out.withColumn("stderr", F.when(F.col("n") > 1, F.col("stderr"))).select(*group, "metric", "value", "stderr", "n")
 
 
 def evaluate(
@@ -194,8 +275,8 @@ def evaluate(
     """Responses -> filter pipelines -> scores -> metrics -> groups: (task, metric, filter, value, stderr, n).
 
     ``docs`` has one row per document with ``task`` and what ``process`` reads; ``responses`` the long response table. ``process`` maps a metric
-    to a column over a document joined with its filtered ``response``. All metrics are computed on the same pass over the filtered
-    responses. Rows of a group of ``tree`` bear its name as task.
+    to a column over a document joined with its filtered ``response``. Responses are filtered and joined once, whatever the
+    number of metrics and resamples. Rows of a group of ``tree`` bear its name as task.
     """
     filtered = filter_chain(responses, pipelines)
     scored = filtered.join(docs, id_col).select(

@@ -167,15 +167,20 @@ def corpus_bleu(df: DataFrame, group: list[str], pred: Column, gold: Column) ->
     sums = rows.groupBy(*group).agg(
         *[F.sum(F.get("m", F.lit(n - 1))).alias(f"m{n}") for n in range(1, 5)], *[F.sum(n).alias(n) for n in names]
     )
+    return sums.select(*group, bleu_of({n: F.col(n) for n in sums.columns}).alias("bleu"))
+
+
+def bleu_of(s: dict[str, Column]) -> Column:
+    """BLEU-4 of summed m1..m4, c1..c4, p_len and g_len. Zero matches are smoothed by halving."""
     log_sum, smooth, zero = F.lit(0.0), F.lit(1.0), F.lit(False)
     for n in range(1, 5):
-        m, c = F.col(f"m{n}"), F.col(f"c{n}")
+        m, c = s[f"m{n}"], s[f"c{n}"]
         smooth = F.when(m == 0, smooth * 2).otherwise(smooth)
         precision = F.when(m == 0, 100.0 / (smooth * F.greatest(c, F.lit(1)))).otherwise(100.0 * m / F.greatest(c, F.lit(1)))
         log_sum = log_sum + F.log(precision)
         zero = zero | (c == 0)
-    penalty = F.when(F.col("p_len") < F.col("g_len"), F.exp(1 - F.col("g_len") / F.col("p_len"))).otherwise(1.0)
-    return sums.select(*group, F.when(zero | (F.col("m1") == 0), 0.0).otherwise(penalty * F.exp(log_sum / 4)).alias("bleu"))
+    penalty = F.when(s["p_len"] < s["g_len"], F.exp(1 - F.try_divide(s["g_len"], s["p_len"]))).otherwise(1.0)
+    return F.when(zero | (s["m1"] == 0), 0.0).otherwise(penalty * F.exp(log_sum / 4))
 
 
 def smoothed_bleu4(df: DataFrame, group: list[str], pred: Column, gold: Column) -> DataFrame:
@@ -186,29 +191,41 @@ def smoothed_bleu4(df: DataFrame, group: list[str], pred: Column, gold: Column)
 
 def corpus_chrf(df: DataFrame, group: list[str], pred: Column, gold: Column, beta: int = 2) -> DataFrame:
     """Corpus chrF: character n-grams up to order 6, whitespace removed."""
-    order = 6
     bare = spread(df).select(
         *group,
         F.regexp_replace(pred, f"{T.WS}+", "").alias("_p"),
         F.regexp_replace(gold, f"{T.WS}+", "").alias("_g"),
     )
-    fields = []
-    for n in range(1, order + 1):
-        ref = F.greatest(F.length("_g") - (n - 1), F.lit(0))
-        hyp = F.greatest(F.length("_p") - (n - 1), F.lit(0))
-        fields += [
-            F.sum(F.when(ref > 0, hyp).otherwise(0)).alias(f"h{n}"),
-            F.sum(ref).alias(f"r{n}"),
-            F.sum(F.get("_m", F.lit(n - 1))).alias(f"m{n}"),
-        ]
-    sums = bare.withColumn("_m", S.char_matches(F.col("_p"), F.col("_g"))).groupBy(*group).agg(*fields)
-    used = [(F.col(f"h{n}") > 0) & (F.col(f"r{n}") > 0) for n in range(1, order + 1)]
-    orders = sum((u.cast("int") for u in used), F.lit(0))
-    precision = sum((F.when(u, F.col(f"m{n}") / F.col(f"h{n}")).otherwise(0.0) for n, u in enumerate(used, 1)), F.lit(0.0))
-    recall = sum((F.when(u, F.col(f"m{n}") / F.col(f"r{n}")).otherwise(0.0) for n, u in enumerate(used, 1)), F.lit(0.0))
+    terms = chrf_terms(F.length("_p"), F.length("_g"), F.col("_m"))
+    sums = bare.withColumn("_m", S.char_matches(F.col("_p"), F.col("_g"))).groupBy(*group).agg(*[F.sum(c).alias(n) for n, c in terms.items()])
+    return sums.select(*group, chrf_of({n: F.col(n) for n in terms}, beta).alias("chrf"))
+
+
+# Fixed value: longest character n-gram of chrF.
+CHRF_ORDER = 6
+
+
+def chrf_terms(pred_length: Column, gold_length: Column, matches: Column) -> dict[str, Column]:
+    """Per sample and order: n-grams of the prediction (if the reference has any), of the reference, and clipped matches."""
+    terms = {}
+    for n in range(1, CHRF_ORDER + 1):
+        ref, hyp = F.greatest(gold_length - (n - 1), F.lit(0)), F.greatest(pred_length - (n - 1), F.lit(0))
+        terms |= {f"h{n}": F.when(ref > 0, hyp).otherwise(0), f"r{n}": ref, f"m{n}": F.get(matches, F.lit(n - 1))}
+    return terms
+
+
+def chrf_of(s: dict[str, Column], beta: int = 2) -> Column:
+    """chrF of the summed terms: mean precision and recall over the orders that both sides have."""
+    orders, precision, recall = F.lit(0), F.lit(0.0), F.lit(0.0)
+    for n in range(1, CHRF_ORDER + 1):
+        h, r, m = s[f"h{n}"], s[f"r{n}"], s[f"m{n}"]
+        used = (h > 0) & (r > 0)
+        orders = orders + used.cast("int")
+        precision = precision + F.when(used, F.try_divide(m, h)).otherwise(0.0)
+        recall = recall + F.when(used, F.try_divide(m, r)).otherwise(0.0)
     p, r = precision / F.greatest(orders, F.lit(1)), recall / F.greatest(orders, F.lit(1))
     b2 = beta * beta
-    return sums.select(*group, F.when(p + r > 0, 100.0 * (1 + b2) * p * r / (b2 * p + r)).otherwise(0.0).alias("chrf"))
+    return F.when(p + r > 0, 100.0 * (1 + b2) * p * r / (b2 * p + r)).otherwise(0.0)
 
 
 # --- grouped items ----------------------------------------------------------------

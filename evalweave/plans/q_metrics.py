@@ -316,12 +316,58 @@ def dispatch_sql(metric):
 RESAMPLED = ("nanmean", "perplexity", "f1", "mcc")
 ITERS = 50
 
+# Text metrics by name: what each pair adds to the sums, and the metric of the sums.
+BLEU_TERMS = {f"{x}{n}": f"{x}{n}" for x in "mc" for n in range(1, 5)} | {"p_len": "pl", "g_len": "gl"}
+BLEU_PRECISIONS = [
+    f"ln(CASE WHEN m{n} = 0 THEN 100.0 / (power(2, {' + '.join(f'CAST(m{i} = 0 AS INT)' for i in range(1, n + 1))}) * greatest(c{n}, 1)) ELSE 100.0 * m{n} / greatest(c{n}, 1) END)"
+    for n in range(1, 5)
+]
+BLEU_VALUE = f"""CASE WHEN {' OR '.join(f'c{n} = 0' for n in range(1, 5))} OR m1 = 0 THEN 0
+    ELSE CASE WHEN p_len < g_len THEN exp(1 - g_len / nullif(p_len, 0)) ELSE 1 END * exp(({' + '.join(BLEU_PRECISIONS)}) / 4) END"""
+CHRF_TERMS = {f"{x}{n}": f"{x}{n}" for n in range(1, 7) for x in "hrm"}
+CHRF_USED = [f"(h{n} > 0 AND r{n} > 0)" for n in range(1, 7)]
+
+
+def chrf_mean(below):
+    parts = " + ".join(f"CASE WHEN {u} THEN m{n} / nullif({below}{n}, 0) ELSE 0 END" for n, u in enumerate(CHRF_USED, 1))
+    return f"(({parts}) / greatest({' + '.join(f'CAST({u} AS INT)' for u in CHRF_USED)}, 1))"
+
+
+CHRF_VALUE = f"CASE WHEN {chrf_mean('h')} + {chrf_mean('r')} > 0 THEN 100.0 * 5 * {chrf_mean('h')} * {chrf_mean('r')} / (4 * {chrf_mean('h')} + {chrf_mean('r')}) ELSE 0 END"
+CHRF_ROWS = "chs AS (SELECT ch.task AS grp, " + ", ".join(
+    f"CASE WHEN length(g) >= {n} THEN greatest(length(p) - {n - 1}, 0) ELSE 0 END AS h{n}, greatest(length(g) - {n - 1}, 0) AS r{n}, coalesce(z{n}.m, 0) AS m{n}"
+    for n in range(1, 7)
+) + " FROM ch " + " ".join(f"LEFT JOIN z{n} ON z{n}.k = ch.k" for n in range(1, 7)) + ")"
+
+
+def text_dispatch_sql(metric, source, terms, value):
+    sums = ", ".join(f"sum(CAST({e} AS DOUBLE)) AS {n}" for n, e in terms.items())
+    return f"""SELECT grp AS task, '{metric}' AS metric, round({value}, 6) AS value, CASE WHEN cnt > 1 THEN round(b_{metric}.stderr, 6) END AS stderr, cnt AS n
+    FROM (SELECT grp, count(*) AS cnt, {sums} FROM {source} GROUP BY grp) t LEFT JOIN b_{metric} USING (grp)"""
+
+
+MEDIAN_CTES = f"""med_r AS (SELECT task, value, row_number() OVER (PARTITION BY task ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY task) AS n FROM scored),
+    med_d AS (SELECT task, CAST(floor((CAST(concat('0x', substring(md5(concat_ws('|', '0', 'middle', task, CAST(rep AS VARCHAR))), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 * n) AS BIGINT) AS pos
+      FROM (SELECT DISTINCT task, n FROM med_r) x, (SELECT unnest(range({ITERS})) AS rep) r),
+    med AS (SELECT d.task, stddev_samp(r.value) AS stderr FROM med_d d JOIN med_r r ON r.task = d.task AND r.pos = d.pos GROUP BY d.task),
+    all_q AS (SELECT task, doc_id % 5 AS q, CAST(bool_and(gold = pred) AS INT) AS em FROM scored GROUP BY ALL),
+    all_pq AS (SELECT task, doc_id % 3 AS p, doc_id % 5 AS q, CAST(bool_and(gold = pred) AS INT) AS em FROM scored GROUP BY ALL)"""
+MEDIAN_ROWS = """SELECT r.task, 'median' AS metric, round(r.value, 6) AS value, CASE WHEN n > 1 THEN round(med.stderr, 6) END AS stderr, n
+    FROM med_r r LEFT JOIN med ON med.task = r.task WHERE pos = n // 2"""
+ALL_ROWS = """SELECT task, 'acc_all' AS metric, (SELECT round(avg(em), 6) FROM all_pq WHERE all_pq.task = t.task) AS value,
+    CASE WHEN cnt > 1 THEN (SELECT round(stddev_samp(em) / sqrt(count(*)), 6) FROM all_q WHERE all_q.task = t.task) END AS stderr, cnt AS n
+    FROM (SELECT task, count(*) AS cnt FROM scored GROUP BY task) t"""
+
 
 @query(
     "stderr_dispatch",
-    f"WITH RECURSIVE {SCORED_SQL}, {POIS}, "
+    f"WITH RECURSIVE {SCORED_SQL}, {PAIRS_SQL}, {POIS}, {ngram_ctes(mt_sql, 'task')}, {chrf_sql()}, {CHRF_ROWS}, {MEDIAN_CTES}, "
     + ", ".join(boot_sql(f"b_{m}", "task", "scored", *DISPATCH[m], ITERS, 0) for m in RESAMPLED)
-    + " " + " UNION ALL ".join(dispatch_sql(m) for m in DISPATCH),
+    + f", {boot_sql('b_bleu', 'grp', 'b', BLEU_TERMS, BLEU_VALUE, ITERS, 0)}, {boot_sql('b_chrf', 'grp', 'chs', CHRF_TERMS, CHRF_VALUE, ITERS, 0)} "
+    + " UNION ALL ".join(
+        [dispatch_sql(m) for m in DISPATCH]
+        + [MEDIAN_ROWS, ALL_ROWS, text_dispatch_sql("bleu", "b", BLEU_TERMS, BLEU_VALUE), text_dispatch_sql("chrf", "chs", CHRF_TERMS, CHRF_VALUE)]
+    ),
 )
 def stderr_dispatch(spark, d):
     v = F.col("value")
@@ -331,12 +377,15 @@ def stderr_dispatch(spark, d):
             "s_nanmean": F.when(F.col("doc_id") % 3 != 0, v),
             "s_perplexity": (-1 - F.col("gold") * 2 - F.col("pred")).cast("double"),
             "s_pair": F.struct("gold", "pred"),
+            "s_median": F.struct(F.col("doc_id").alias("order"), "value"),
+            "s_all": F.struct((F.col("doc_id") % 3).alias("paragraph"), (F.col("doc_id") % 5).alias("question"), (F.col("gold") == F.col("pred")).alias("correct")),
         }
     )
     scores = {"mean": "value", "exact_match": "value", "brier": "s_brier", "nanmean": "s_nanmean", "perplexity": "s_perplexity", "f1": "s_pair", "mcc": "s_pair"}
-    return E.metrics_with_stderr(rows, ["task"], scores, ITERS).select(
-        "task", "metric", r6(F.col("value")).alias("value"), r6(F.col("stderr")).alias("stderr"), "n"
-    )
+    numbers = E.metrics_with_stderr(rows, ["task"], scores | {"median": "s_median", "acc_all": "s_all"}, ITERS)
+    texts = pairs(spark, d).select("task", F.struct("pred", "gold").alias("texts"))
+    both = numbers.unionByName(E.metrics_with_stderr(texts, ["task"], {"bleu": "texts", "chrf": "texts"}, ITERS))
+    return both.select("task", "metric", r6(F.col("value")).alias("value"), r6(F.col("stderr")).alias("stderr"), "n")
 
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]

@@ -442,6 +442,55 @@ def test_fewshot_targets(spark):
     assert by_place == {1: "q2 z\n\nq1", 2: "q1 y\n\nq2"}
 
 
+def test_every_metric_with_an_error_has_its_own_aggregation(monkeypatch):
+    assert {*M.BOOTSTRAPPED, "mean", "acc_all"} <= set(E.AGGREGATIONS)
+    monkeypatch.delitem(E.AGGREGATIONS, "chrf")
+    with pytest.raises(ValueError, match="chrf"):
+        E.aggregation_for("chrf")
+    assert E.aggregation_for("some new metric") is E.AGGREGATIONS["mean"]
+
+
+def test_metrics_by_name_equal_the_plain_ones(spark):
+    rnd = random.Random(4)
+    words = [" ".join(rnd.choice("the cat sat on a mat and it is so".split()) for _ in range(12)) for _ in range(60)]
+    rows = [(i % 2, i, float(rnd.randrange(100)), w, " ".join(w.split()[: rnd.randrange(6, 13)]), i % 4, i % 7, rnd.random() < 0.9) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "task long, i long, v double, gold string, pred string, p long, q long, ok boolean").repartition(3)
+    scored = df.select(
+        "task", F.struct(F.col("i").alias("order"), F.col("v").alias("value")).alias("m"), F.struct("pred", "gold").alias("t"),
+        F.struct(F.col("p").alias("paragraph"), F.col("q").alias("question"), F.col("ok").alias("correct")).alias("a"),
+    )
+    got = {(r.task, r.metric): r for r in E.metrics_with_stderr(scored, ["task"], {"median": "m", "bleu": "t", "chrf": "t", "acc_all": "a"}, 300).collect()}
+    middle = {r.task: r.middle for r in M.middle_element(df, ["task"], "i", "v").collect()}
+    bleu = {r.task: r.bleu for r in M.corpus_bleu(df, ["task"], F.col("pred"), F.col("gold")).collect()}
+    chrf = {r.task: r.chrf for r in M.corpus_chrf(df, ["task"], F.col("pred"), F.col("gold")).collect()}
+    for task in (0, 1):
+        all_ = M.acc_all(df.where(F.col("task") == task), "p", "q", F.col("ok")).first()
+        want = {"median": middle[task], "bleu": bleu[task], "chrf": chrf[task], "acc_all": all_.acc_all}
+        assert all(abs(got[task, m].value - v) < 1e-9 and got[task, m].n == 30 for m, v in want.items())
+        assert abs(got[task, "acc_all"].stderr - all_.stderr) < 1e-12
+        # In the middle of a resample stands any sample: the error is their spread.
+        values = [r[2] for r in rows if r[0] == task]
+        mean = sum(values) / 30
+        spread = math.sqrt(sum((x - mean) ** 2 for x in values) / 30)
+        assert abs(got[task, "median"].stderr / spread - 1) < 0.15
+        assert 0 < got[task, "bleu"].stderr < 15 and 0 < got[task, "chrf"].stderr < 10
+
+
+def test_resamples_without_a_number_are_left_out(spark):
+    df = spark.createDataFrame([("a", None), ("a", float("nan")), ("a", 2.0), ("b", None), ("b", None)], "task string, v double")
+    got = {r.task: r for r in E.metrics_with_stderr(df, ["task"], {"nanmean": "v"}, 50).collect()}
+    assert got["a"].value == 2.0 and got["a"].stderr == 0.0
+    assert math.isnan(got["b"].value) and got["b"].stderr is None
+
+
+def test_samples_are_scored_once(spark):
+    """However many metrics are resampled, the plan reads the stored samples and not what they were made from."""
+    df = spark.range(100).select(F.lit("t").alias("task"), F.rand(1).alias("v"), F.struct((F.col("id") % 2).alias("gold"), (F.col("id") % 3).alias("pred")).alias("c"))
+    out = E.metrics_with_stderr(df, ["task"], {"mean": "v", "perplexity": "v", "nanmean": "v", "f1": "c", "mcc": "c"}, 20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Range (0, 100" not in plan and out.count() == 5
+
+
 def test_fewshot_pool_too_small(spark):
     pool = spark.createDataFrame([(i,) for i in range(3)], "id long")
     with pytest.raises(ValueError, match="10 examples"):
