@@ -144,9 +144,9 @@ def limit_docs(df: DataFrame, id_col: str, limit: float | None) -> DataFrame:
     return keep_first(df, [F.col(id_col)], sample_size(limit, df.count()))
 
 
-def select_by_index(df: DataFrame, id_col: str, indices: list[int]) -> DataFrame:
-    """Rows at the given positions in id order (an explicit, user-written list)."""
-    return with_position(df, [F.col(id_col)]).where(F.col("pos").isin(indices))
+def select_by_index(df: DataFrame, id_col: str, indices: list[int], order: list[Column] | None = None) -> DataFrame:
+    """Rows at the given positions (an explicit, user-written list), in the order of ``order``, ties by id; by id alone if not given."""
+    return with_position(df, [*(order or []), F.col(id_col)]).where(F.col("pos").isin(indices))
 
 
 def shard_stride(df: DataFrame, id_col: str, rank: int, world: int, limit: int | None = None) -> DataFrame:

@@ -182,10 +182,8 @@ def limit_docs(spark, d):
     "SELECT doc_id, pos FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS pos FROM documents) x WHERE pos IN (0, 3, 17, 100)",
 )
 def select_by_index(spark, d):
-    from evalweave.operators.ranks import with_position
-
-    rows = with_position(docs(spark, d).select("doc_id", "n_chars"), [F.col("n_chars"), F.col("doc_id")])
-    return rows.where(F.col("pos").isin([0, 3, 17, 100])).select("doc_id", "pos")
+    rows = docs(spark, d).select("doc_id", "n_chars")
+    return C.select_by_index(rows, "doc_id", [0, 3, 17, 100], [F.col("n_chars")]).select("doc_id", "pos")
 
 
 @query(

@@ -19,14 +19,9 @@ SCORED_LOG = (
 )
 
 
-def read_sample_logs(spark: SparkSession, path: str, schema: str = SAMPLE_LOG) -> DataFrame:
-    """All ``.jsonl`` files below a folder, with an explicit schema."""
-    return (
-        spark.read.schema(schema)
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.jsonl")
-        .json(path)
-    )
+def read_sample_logs(spark: SparkSession, path: str, schema: str = SAMPLE_LOG, names: str = "*.jsonl") -> DataFrame:
+    """All files below a folder whose names match ``names``, with an explicit schema."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", names).json(path)
 
 
 def attempts_of(logs: DataFrame) -> DataFrame:
@@ -54,6 +49,43 @@ def latest_by_name(files: DataFrame) -> DataFrame:
     return parts.groupBy("model", "task").agg(F.max_by("path", "stamp").alias("path"), F.max("stamp").alias("stamp"))
 
 
+def write_sample_files(samples: DataFrame, path: str) -> DataFrame:
+    """One file ``<model>/samples_<task>_<stamp>.jsonl`` below ``path`` per run; returns (model, task, stamp, samples) per file.
+
+    ``samples`` has model, task, stamp and ``line`` (a JSON text). A run's lines are put together by its own three names; a file is
+    written by one task, line by line, under the name that readers look for.
+    """
+    keys = ["model", "task", "stamp"]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(path)
+        name, out, done = None, None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                now = tuple(row[k] for k in keys)
+                if now != name:
+                    if out is not None:
+                        out.close()
+                    name = now
+                    done.append([*now, 0])
+                    where.create_dir(f"{root}/{now[0]}", recursive=True)
+                    out = where.open_output_stream(f"{root}/{now[0]}/samples_{now[1]}_{now[2]}.jsonl")
+                out.write(row["line"].encode() + b"\n")
+                done[-1][3] += 1
+        if out is not None:
+            out.close()
+        columns = list(zip(*done)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=[*keys, "samples"]
+        )
+
+    rows = samples.select(*keys, "line").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, "model string, task string, stamp string, samples bigint")
+
+
 def latest_result_files(spark: SparkSession, path: str) -> DataFrame:
     """``latest_by_name`` over the sample files below a folder; only names are read."""
     files = (
