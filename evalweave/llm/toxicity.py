@@ -300,6 +300,27 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 14, min_texts: int
     return net
 
 
+# Stretches that a long labelled text is learnt from.
+STRETCHES = 64
+
+
+def excerpt(text: str, limit: int, seed: int = 7) -> str:
+    """A text of up to ``limit`` bytes as it is; of a longer one ``STRETCHES`` stretches, drawn one from each equal part of the
+    whole text and ``limit`` bytes together at most, cut at blanks where there are any."""
+    raw = text.encode()
+    if len(raw) <= limit:
+        return text
+    size, part = limit // STRETCHES - 1, len(raw) / STRETCHES
+    draws = np.random.default_rng((seed, len(raw), int(np.frombuffer(raw[-8:].rjust(8), "<u8")[0]))).random(STRETCHES)
+    out = []
+    for i, u in enumerate(draws):
+        at = int(i * part + u * max(0.0, part - size))
+        own = raw[at : at + size]
+        first, last = own.find(b" "), own.rfind(b" ")
+        out.append((own[first + 1 : last] if -1 < first < last else own).decode(errors="ignore"))
+    return "\n".join(out)
+
+
 def toxicity_scores(
     df: DataFrame, id_col: str, text: str, labels: DataFrame, label_id: str, label: str, learn: Column, sample_rows: int = 4000,
     sample_bytes: int = 65_536, seed: int = 7
@@ -307,7 +328,8 @@ def toxicity_scores(
     """(id, score): the highest toxicity of any window of each whole text, 0 to 1.
 
     The network is fitted on the driver to about ``sample_rows`` labelled rows for which ``learn``, an expression on ``label_id``, holds,
-    up to half of them with label 1, chosen by a hash of the id, of texts of up to ``sample_bytes`` bytes; the two numbers bound what reaches the driver. Null labels,
+    up to half of them with label 1, chosen by a hash of the id whatever their length. Of a text of more than ``sample_bytes`` bytes, stretches
+    drawn over the whole text go to the driver, ``sample_bytes`` together; so the two numbers bound what reaches it. Null labels,
     labels without a document and null texts are not used. If the sample lacks a label, every score is near 0 (or 1 if
     all are 1). A null or empty text has one empty window. Repeated texts get equal scores.
     """
@@ -318,17 +340,24 @@ def toxicity_scores(
     place = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(most))
     few = stored(known.where(place < F.when(F.col("label") == 1, share.get(1, 0)).otherwise(share.get(0, 0))), "sample")
     # The sample is bounded, so it is broadcast and the texts stay where they are.
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
+        for batch in batches:
+            short = pa.array([excerpt(t, sample_bytes, seed) for t in texts_of(batch, "_text")], pa.string())
+            yield pa.RecordBatch.from_arrays([short, batch.column(1)], names=["_text", "label"])
+
+    small_batches(df.sparkSession)
     rows = (
         df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-        .where(F.octet_length("_text") <= sample_bytes)
+        .where(F.col("_text").isNotNull())
         .join(F.broadcast(few), "_id")
         .select("_text", "label")
+        .mapInArrow(shorten, "_text string, label int")
         .distinct()
         .orderBy("_text")
         .collect()
     )
     net = train([r["_text"] for r in rows], np.array([r["label"] for r in rows]), seed=seed)
-    small_batches(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(net.__dict__)
     kind = df.schema[id_col].dataType.simpleString()
 

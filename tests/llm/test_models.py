@@ -140,6 +140,37 @@ def test_op3_held_out(spark, larger):
     assert np.mean([rows[x["doc_id"]]["predicted"] == x["toxic"] for x in labels]) >= 0.85
 
 
+def test_excerpts_come_from_the_whole_text():
+    words = [f"w{i}" for i in range(40_000)]
+    text = " ".join(words)
+    short = toxicity.excerpt(text, 65_536)
+    assert len(short.encode()) <= 65_536 and short == toxicity.excerpt(text, 65_536)
+    kept = [int(w[1:]) for w in short.split()]
+    assert kept == sorted(set(kept)) and all(any(a <= k < a + 2000 for k in kept) for a in range(0, 40_000, 2000))
+    assert all(text[: 10 * i] == toxicity.excerpt(text[: 10 * i], 65_536) for i in (0, 1, 600))
+    assert toxicity.excerpt("é" * 70_000, 1000).strip("é\n") == "" and 0 < len(toxicity.excerpt("é" * 70_000, 1000).encode()) <= 1000
+
+
+def test_cues_of_long_texts_are_learnt(spark):
+    """Label 1 stands only on texts of more than the bytes that are learnt from; the cue stands nowhere else."""
+    rng = random.Random(12)
+    pool = [f"{a}{b}" for a in ("lor", "ips", "dol", "sit", "am", "con") for b in ("em", "um", "or", "it", "et", "ect")]
+
+    def text(words, cue):
+        own = [rng.choice(pool) for _ in range(words)]
+        for at in range(rng.randrange(30), words if cue else 0, 40):
+            own[at] = "vilecue"
+        return " ".join(own)
+
+    rows = [(i, text(1200 if i % 2 or i % 4 == 0 else 60, i % 2 == 1), i % 2) for i in range(240)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    scores = toxicity.toxicity_scores(docs, "doc_id", "text", labels, "doc_id", "toxic", F.col("doc_id") < 180, sample_bytes=2000)
+    got = {r["doc_id"]: r["score"] for r in scores.collect()}
+    held = [(got[i], y) for i, _, y in rows if i >= 180]
+    assert sum((s >= 0.5) == (y == 1) for s, y in held) >= 0.95 * len(held)
+
+
 def test_toxicity_odd_inputs(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 2.0), (2, "so bad", 0.0), (None, "a b", 0.0), (5, "é" * 200000, 0.0)], "doc_id bigint, text string, score double")
     for pairs, low, high in (([(1, 1), (2, None)], 0, 0.1), ([(2, 1)], 0.9, 1), ([(2, 0), (5, 0)], 0, 0.1), ([], 0, 0.1)):
