@@ -58,14 +58,18 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         out = passages.remove_repeats(docs, "text")
     else:
         hint = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
-        repeated = docs.join(hint, same_document(docs, hint), "left_semi")
-        once = repeated.groupBy("doc_id", F.xxhash64("text").alias("_hash")).agg(F.first("text").alias("text"))
-        others = docs.join(hint, same_document(docs, hint), "left_anti")
-        single = others.withColumn("_hash", F.lit(None).cast("bigint"))
-        cut = stored(passages.remove_repeats(single.unionByName(once, allowMissingColumns=True), "text"), "cut")
-        left = cut.where("_hash IS NOT NULL").select(F.col("doc_id").alias("bad_id"), F.col("_hash").alias("bad_hash"), F.col("text").alias("_text"))
-        rows = repeated.join(left, same_document(repeated, left)).withColumn("text", F.col("_text"))
-        out = cut.where("_hash IS NULL").select(docs.columns).unionByName(rows.select(docs.columns))
+        # Rows travel as one struct, so that their names meet none of those used here.
+        row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+        repeated = docs.join(hint, same_document(docs, hint), "left_semi").select(row, F.xxhash64("text").alias("h"))
+        once = repeated.groupBy(F.col("row.doc_id").alias("doc_id"), "h").agg(F.first("row.text").alias("text"))
+        others = docs.join(hint, same_document(docs, hint), "left_anti").select(row, F.col("text"))
+        single = others.select("row", "text", *[F.lit(None).cast(t).alias(c) for c, t in (("doc_id", once.schema["doc_id"].dataType), ("h", "bigint"))])
+        every = single.unionByName(once.select(F.lit(None).cast(single.schema["row"].dataType).alias("row"), "text", "doc_id", "h"))
+        cut = stored(passages.remove_repeats(every, "text"), "cut")
+        left = cut.where("h IS NOT NULL").select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.col("text").alias("left"))
+        rows = repeated.join(left, F.col("row.doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select("row", F.col("left").alias("text"))
+        whole = cut.where("h IS NULL").select("row", "text").unionByName(rows)
+        out = whole.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -1,5 +1,9 @@
 """Every registered query against its SQL counterpart, at the smallest scale."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from check import compare, connect
@@ -23,6 +27,14 @@ def test_query(spark, con, sf_dir, name):
         assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_without_the_libraries_of_the_subpackage():
+    """The other queries are there where a library that the training-data operators need is not."""
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert out == [str(len(QUERIES)), "False"]
+
+
 def test_contract(spark):
     import __spark_entry__ as entry
 
