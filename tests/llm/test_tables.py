@@ -275,6 +275,19 @@ def test_groups_by_id_and_text(spark):
     assert at(out) == [(0, "y0", 60), (2, "z0", 60), (4, "x0", 60), (5, "u0", 60), (7, "v0", 60), (7, "v0", 60), (8, "on", 1), (9, "s0", 300)]
 
 
+def test_repeated_rows_keep_columns_of_any_name(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(7, text("v"), "a", 1, 2, "b", "c"), (7, text("v"), "d", 3, 4, None, "e"), (8, text("v") + " x", "f", 5, 6, "g", "h"), (None, None, "i", 7, 8, "j", "k")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _text string, bad_id int, _hash bigint, row string, h string")
+    for some in (docs, docs.where("doc_id <> 8 OR doc_id IS NULL")):
+        out = corpus_pipeline.without_repeats(spark, some, "")
+        assert out.columns == docs.columns
+        got = sorted(map(tuple, out.collect()), key=str)
+        alone = some is not docs
+        want = [r if r[0] is None or alone else (r[0], "x" if r[0] == 8 else "", *r[2:]) for r in rows if r[0] != 8 or not alone]
+        assert got == sorted(want, key=str)
+
+
 def test_distrust_travels_far(spark):
     """Nine hops to a blocked host of many pages, and a circle: shares as solved exactly."""
     names = [f"c{i}.com" for i in range(9)] + ["bad.net", "r1.com", "r2.com"]
