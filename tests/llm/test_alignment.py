@@ -80,27 +80,34 @@ def plain(libraries, texts):
 def test_units_as_libraries(libraries):
     pair = alignment.TokenPair(A_FILE, B_FILE)
     a, b = libraries
-    for text in [t for t in ODD if t and "▁" not in t] + random_texts(1500):
-        first, second = pair.encode(text)
-        assert np.frombuffer(first, "<u4").tolist() == a.encode(" " + text, add_special_tokens=False).ids, repr(text)
-        assert np.frombuffer(second, "<u4").tolist() == b.encode(text), repr(text)
-    assert pair.encode("x▁z") == (b"", b"")
-
-
-def test_units_in_generations(monkeypatch, libraries):
-    monkeypatch.setattr(alignment, "REMEMBERED", 5)
-    monkeypatch.setattr(alignment, "LONGEST", 4)
+    texts = [t for t in ODD if t and "▁" not in t] + random_texts(1500)
+    texts.append("long " + "  ".join(random_texts(9000, 7)).strip())  # worked on by stretches
+    assert len(texts[-1]) > 1 << 20
+    for text, (first, second) in zip(texts, pair.encode(texts), strict=True):
+        assert first.tolist() == a.encode(" " + text, add_special_tokens=False).ids, repr(text[:500])
+        assert second.tolist() == b.encode(text), repr(text[:500])
+    assert [len(x) for x in next(pair.encode(["x▁z"]))] == [0, 0]
+    assert [[len(x) for x in ids] for ids in pair.encode(["", "x▁z y", "y"])] == [[0, 0], [0, 0], [1, 1]]
+
+
+@pytest.mark.parametrize("limit", [5, 60])
+def test_units_met_once_are_forgotten(monkeypatch, libraries, limit):
+    monkeypatch.setattr(alignment, "REMEMBERED", limit)
+    monkeypatch.setattr(alignment, "UNITS", 20)
     pair = alignment.TokenPair(A_FILE, B_FILE)
-    for text in random_texts(40, 5):
-        assert np.frombuffer(pair.encode(text)[1], "<u4").tolist() == libraries[1].encode(text)
+    texts = random_texts(60, 5) + ["the end of the end"] * 5 + random_texts(20, 5)
+    for text, ids in zip(texts, pair.encode(texts), strict=True):
+        assert ids[0].tolist() == libraries[0].encode(" " + text, add_special_tokens=False).ids
+        assert ids[1].tolist() == libraries[1].encode(text)
 
 
-@pytest.mark.parametrize("block", [1, 3, 1024])
-def test_gallop(block):
-    rng = np.random.default_rng(block)
-    for n, m in ((0, 0), (0, 5), (5, 0), (1, 1), (3, 200), (200, 3), (300, 300)):
+@pytest.mark.parametrize("stride", [2, 3, 8])
+def test_gallop(monkeypatch, stride):
+    monkeypatch.setattr(alignment, "STRIDE", stride)
+    rng = np.random.default_rng(stride)
+    for n, m in ((0, 0), (0, 5), (5, 0), (1, 1), (3, 200), (200, 3), (300, 300), (500, 499), (20, 500)):
         short, long = (np.sort(rng.choice(500, k, replace=False)) for k in (n, m))
-        ranks, found = alignment.gallop(short, long, block)
+        ranks, found = alignment.gallop(short, long)
         assert ranks.tolist() == np.searchsorted(long, short).tolist()
         assert found.tolist() == np.isin(short, long).tolist()
 
@@ -109,13 +116,19 @@ COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 @pytest.mark.parametrize("broadcast", [10**6, 20, 0])
-def test_alignment(spark, libraries, broadcast):
+def test_alignment(spark, libraries, monkeypatch, broadcast):
+    # Also by pieces of a few tokens; the functions travel to the workers with their module's values.
+    monkeypatch.setattr(alignment.Aligned.pieces, "__defaults__", (alignment.TOKENS if broadcast else 7,))
     texts = ODD + random_texts(30, 3) + ["the the the end"] * 3
     rows = [(i if i else None, t, "x", 1.5) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, groups string, at double")
     got = alignment.align_tokenizers(df, "text", A_FILE, B_FILE, broadcast)
     found = {r["row"]["doc_id"] or 0: (*[r[c] for c in COLUMNS], r["groups"]) for r in got.collect()}
     assert found == dict(enumerate(plain(libraries, texts)))
+    got = alignment.align_tokenizers(df, "text", A_FILE, B_FILE, broadcast, digest=True).collect()
+    for r in got:
+        spelled = found[r["row"]["doc_id"] or 0][-1]
+        assert r["groups_sha256"] == (hashlib.sha256(spelled.encode()).hexdigest() if spelled else "")
     empty = df.limit(0)
     assert alignment.align_tokenizers(empty, "text", A_FILE, B_FILE, broadcast).count() == 0
 
