@@ -22,8 +22,9 @@ BLANKS = b" \t\n\x0b\x0c\r"
 # Bytes of text and nodes that one trie may hold before a subtree leaves, and what a node counts besides its bytes.
 BUDGET = 96 << 20
 NODE = 400
-# Bytes (with NODE for each text) that go to one part.
+# Bytes (with NODE for each text) that go to one part, and parts that a task works on, one after the other.
 PART_BYTES = 32 << 20
+PARTS_PER_TASK = 8
 # Bytes of text that a scan task gathers before it hands on the different ones.
 GATHERED = 16 << 20
 # Entries of one length and hash that go to one part; more are dealt over several parts and meet again.
@@ -218,11 +219,12 @@ def _roots(entries: DataFrame, budget: int, fan_in: int, part_bytes: int) -> Dat
     if n_hot:
         dealt = entries.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, keys, "left")
         salt = F.pmod(F.xxhash64("entry"), F.coalesce(F.ceil(F.col("copies") / fan_in), F.lit(1)))
+    tasks = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-parts // PARTS_PER_TASK))
     waiting = dealt.select(F.pmod(F.xxhash64(*keys, salt), F.lit(parts)).alias("part"), "entry", "order", "body")
     answers = None
     while True:
         found = stored(
-            waiting.repartition("part").sortWithinPartitions("part").mapInArrow(_round(budget), "entry bigint, root bigint, part bigint"),
+            waiting.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_round(budget), "entry bigint, root bigint, part bigint"),
             "owners",
         )
         done = found.where("root IS NOT NULL").select("entry", "root")
