@@ -1,10 +1,10 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
 1. Windows of the test items are cut; of every window the rarest terms are chosen by their counts in the corpus.
-2. The corpus is read once more, and the postings of those terms are stored: (term, document, position) with the
-   words around it.
-3. The lists of a window are intersected after subtracting each term's offset. A posting joins the intersection only if the
-   window's next rare term, and then the whole phrase, stands in the words around it, so little is moved.
+2. The corpus is read once more, and the postings of those terms are stored: (document, term, position).
+3. The lists of a window are intersected after subtracting each term's offset: a place is left if all of them meet there.
+4. What is left, and nothing else, is compared with the text word by word. Documents without such a place are dropped by a
+   Bloom filter where the corpus is scanned.
 """
 
 from __future__ import annotations
@@ -14,16 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from evalweave.llm.common import ascii_lower, stored
+from evalweave.operators.bloom import bloom_filter
 
 # A-Z have been lower-cased before; everything above 7F belongs to words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-# Terms looked up by one pass over the corpus (a set in the plan, about 50 bytes a term).
-TERMS_PER_PASS = 20_000
+# Terms that the pass over the corpus looks up in a broadcast table; more of them meet what a Bloom filter lets through by shuffle.
+TERMS_PER_PASS = 200_000
 
 # Windows of the test items up to which they are broadcast (a window is a few hundred bytes).
 BROADCAST_WINDOWS = 200_000
 
+# Shares into which the rows of a term are dealt where they meet a table that is too large to broadcast.
+SHARES = 32
+
 
 def with_words(df: DataFrame, text: str, *keep: Column) -> DataFrame:
     """The columns of ``keep`` and ``w``, the words of the text, A-Z lower-cased; null and blank texts have none."""
@@ -63,121 +67,112 @@ def _small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def _by_term(rows: DataFrame, right: DataFrame, size: int, limit: int, how: str = "inner") -> DataFrame:
+    """Join on ``term``; ``rows`` has ``pos``. One term may hold much of the rows, so a right side of more than ``limit`` rows is
+    repeated for each share of them."""
+    if size <= limit:
+        return rows.join(F.broadcast(right), "term", how)
+    repeated = right.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return rows.withColumn("_share", F.pmod("pos", F.lit(SHARES))).join(repeated, ["term", "_share"], how).drop("_share")
+
+
 def term_counts(docs_words: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
     """(term, n): how often each vocabulary term occurs in the corpus; absent terms are left out."""
     # explode() would add a filter on the size of the array, which evaluates the splitting again below the projection.
-    return (
-        docs_words.select(F.explode_outer("w").alias("term"))
-        .join(_small(vocabulary, size, BROADCAST_WINDOWS), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    words = docs_words.select(F.explode_outer("w").alias("term"))
+    if size <= BROADCAST_WINDOWS:
+        words = words.join(F.broadcast(vocabulary), "term", "left_semi")
+    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return counts if size <= BROADCAST_WINDOWS else counts.join(vocabulary, "term", "left_semi")
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame, keep: int) -> DataFrame:
-    """(win, rank, ranks, term, offset, probe, probe_offset): the ``keep`` rarest different terms of each window, rank 1 the rarest.
+    """(win, len, rank, ranks, term, offset): the ``keep`` rarest different terms of each window, rank 1 the rarest.
 
-    ``probe`` is the rarest of the window's other kept terms (the term itself if there is none). Windows with a term that the
-    corpus lacks cannot occur and are left out.
+    Windows with a term that the corpus lacks cannot occur and are left out.
     """
     spelled = windows.select("win", "terms").distinct()
     placed = spelled.select("win", F.size("terms").alias("len"), F.posexplode("terms").alias("offset", "term"))
     known = placed.join(counts, "term")
     whole = known.groupBy("win", "len").agg(F.count(F.lit(1)).alias("have")).where("have = len").select("win")
-    firsts = known.groupBy("win", "term", "n").agg(F.min("offset").alias("offset"))
+    firsts = known.groupBy("win", "len", "term", "n").agg(F.min("offset").alias("offset"))
     in_window = Window.partitionBy("win")
     ranked = firsts.withColumn("rank", F.row_number().over(in_window.orderBy("n", "term"))).where(F.col("rank") <= keep)
-    pair = F.struct("term", "offset")
-    first = F.min_by(pair, "rank").over(in_window)
-    second = F.min_by(pair, F.when(F.col("rank") > 1, F.col("rank"))).over(in_window)
     return (
-        ranked.withColumns({"ranks": F.max("rank").over(in_window), "_probe": F.when(F.col("rank") > 1, first).otherwise(F.coalesce(second, first))})
+        ranked.withColumn("ranks", F.max("rank").over(in_window))
         .join(whole, "win", "left_semi")
-        .select("win", "rank", "ranks", "term", "offset", F.col("_probe.term").alias("probe"), F.col("_probe.offset").alias("probe_offset"))
+        .select("win", "len", "rank", "ranks", "term", "offset")
     )
 
 
-def _postings(docs: DataFrame, key: str, text: str, terms: list[str], reach: int) -> DataFrame:
-    """One row per document: its number of words, and its postings with the words up to ``reach`` away."""
-    w = F.col("w")
-    hit = F.transform(
-        w,
-        lambda t, i: F.when(
-            t.isin(terms),
-            F.struct(
-                t.alias("term"),
-                i.alias("pos"),
-                F.greatest(i - reach, F.lit(0)).alias("from"),
-                F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("around"),
-            ),
-        ),
-    )
-    found = F.filter(hit, lambda x: x.isNotNull()) if terms else F.array().cast("array<struct<term:string,pos:int,from:int,around:array<string>>>")
-    return with_words(docs, text, F.col(key)).select(
-        F.col(key), F.size("w").alias("n_words"), found.alias("postings")
-    )
+def _postings(docs: DataFrame, key: str, text: str, terms: DataFrame, size: int) -> DataFrame:
+    """(key, pos, term) of every occurrence of ``terms`` (distinct) in the corpus, by one pass over it."""
+    words = with_words(docs, text, F.col(key)).select(key, F.posexplode_outer("w").alias("pos", "term"))
+    if size > TERMS_PER_PASS:
+        possible = bloom_filter(terms.select(F.xxhash64("term").alias("h")), "h", size)
+        words = words.where(possible(F.xxhash64("term")))
+    return _by_term(words, terms, size, TERMS_PER_PASS, "left_semi")
 
 
 class PhraseIndex:
     """Postings of the rarest test terms over a corpus, stored in the shared folder.
 
     ``documents``: one row per document with ``n_words``; rows of the corpus are told apart by ``key``, which must be
-    unique. ``keep`` rarest terms of a window are indexed. Null texts have no words; an empty corpus or an empty list of
-    items gives no matches. Other columns are not read.
+    unique. ``postings``: (key, pos, term). ``keep`` rarest terms of a window are indexed. Null texts have no words; an empty
+    corpus or an empty list of items gives no matches. Other columns are not read.
     """
 
     def __init__(self, docs: DataFrame, key: str, text: str, items: DataFrame, item_id: str, item_text: str, n: int = 13, keep: int = 2):
-        self.key, self.n = key, n
+        self.key, self.text, self.docs = key, text, docs.select(key, text)
         self.windows = stored(item_windows(items, item_id, item_text, n), "windows")
         self.n_windows = self.windows.count()
         vocabulary = stored(self.windows.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
-        size = vocabulary.count()
-        docs_words = with_words(docs, text)
-        counts = stored(term_counts(docs_words, vocabulary, size), "counts")
+        counts = stored(term_counts(with_words(docs, text), vocabulary, vocabulary.count()), "counts")
         self.rarest = stored(rarest_terms(self.windows, counts, keep), "rarest")
-        # The terms come from the test items, so their number is known; more than one pass's share is cut into passes.
-        terms = sorted(r["term"] for r in self.rarest.select("term").distinct().toLocalIterator())
-        passes = [terms[i : i + TERMS_PER_PASS] for i in range(0, len(terms), TERMS_PER_PASS)] or [[]]
-        self._stored = [stored(_postings(docs, key, text, part, n - 1), "postings") for part in passes]
-        self.documents = self._stored[0].select(key, "n_words")
-
-    def postings(self) -> DataFrame:
-        """(key, term, pos, from, around) of all passes."""
-        out = None
-        for part in self._stored:
-            rows = part.select(self.key, F.explode("postings").alias("p")).select(self.key, "p.*")
-            out = rows if out is None else out.unionByName(rows)
-        return out
-
-    def phrases(self) -> DataFrame:
-        """(key, win, start, len): every exact occurrence of a window."""
-        spelled = self.windows.select("win", "terms").distinct()
-        wanted = self.rarest.join(_small(spelled, self.n_windows, BROADCAST_WINDOWS), "win")
-        lists = (
-            self.postings()
-            .join(_small(wanted, self.n_windows, BROADCAST_WINDOWS), "term")
-            .withColumn("start", F.col("pos") - F.col("offset"))
-            # Among the words around, the other rare term first, then the phrase.
-            .where((F.col("start") >= 0) & (F.get("around", F.col("start") + F.col("probe_offset") - F.col("from")) == F.col("probe")))
-            .where(F.slice("around", F.greatest(F.col("start") - F.col("from"), F.lit(0)) + 1, F.size("terms")) == F.col("terms"))
-            .select(self.key, "win", "start", "rank", "ranks", F.size("terms").alias("len"))
-        )
-        # Offset-adjusted lists meet at the same start.
+        self.n_rarest = self.rarest.count()
+        terms = stored(self.rarest.select("term").distinct(), "terms")
+        self.postings = stored(_postings(docs, key, text, terms, terms.count()), "postings")
+        self.documents = with_words(docs, text, F.col(key)).select(key, F.size("w").alias("n_words"))
+
+    def lists(self) -> DataFrame:
+        """(key, win, len, rank, ranks, start): the postings of each window's terms, less the offset of the term."""
+        met = _by_term(self.postings, self.rarest, self.n_rarest, BROADCAST_WINDOWS)
+        return met.select(self.key, "win", "len", "rank", "ranks", (F.col("pos") - F.col("offset")).alias("start"))
+
+    def meetings(self) -> DataFrame:
+        """(key, win, len, start): places where the lists of all rarest terms of a window meet."""
         return (
-            lists.groupBy(self.key, "win", "start", "ranks", "len")
+            self.lists()
+            .where("start >= 0")
+            .groupBy(self.key, "win", "len", "start", "ranks")
             .agg(F.count_distinct("rank").alias("have"))
             .where("have = ranks")
-            .select(self.key, "win", "start", "len")
+            .select(self.key, "win", "len", "start")
+        )
+
+    def phrases(self) -> DataFrame:
+        """(key, win, start, len): every exact occurrence of a window, once."""
+        # A document's list has no more places than the document has words, for each window that shares its rare terms.
+        met = stored(self.meetings().groupBy(self.key).agg(F.collect_list(F.struct("win", "len", "start")).alias("_met")), "meetings")
+        possible = bloom_filter(met.select(F.xxhash64(self.key).alias("h")), "h", met.count())
+        near = self.docs.where(possible(F.xxhash64(self.key))).join(met, self.key)
+        w = F.col("w")
+        spelled = F.transform(
+            "_met",
+            lambda m: F.struct(
+                m["win"].alias("win"),
+                m["start"].alias("start"),
+                F.when(m["start"] + m["len"] <= F.size(w), F.slice(w, m["start"] + 1, m["len"])).alias("terms"),
+            ),
         )
+        places = with_words(near, self.text, F.col(self.key), F.col("_met")).select(self.key, F.explode(spelled).alias("m")).select(self.key, "m.*")
+        windows = _small(self.windows.select("win", "terms").distinct(), self.n_windows, BROADCAST_WINDOWS)
+        return places.join(windows, ["win", "terms"]).select(self.key, "win", "start", F.size("terms").alias("len")).distinct()
 
     def proximity(self, slop: int) -> DataFrame:
         """(key, win, start, spread): places where the rarest terms of a window all stand within ``slop`` words of
         their place in it, one row per place of the rarest term; ``spread`` is the largest shift."""
-        lists = (
-            self.postings()
-            .join(_small(self.rarest, self.n_windows, BROADCAST_WINDOWS), "term")
-            .select(self.key, "win", "rank", (F.col("pos") - F.col("offset")).alias("start"))
-        )
+        lists = self.lists().select(self.key, "win", "rank", "start")
         first = lists.where("rank = 1").select(self.key, "win", "start")
         # Terms are looked for in blocks of slop + 1 starts and the blocks beside them, so a document's list is not
         # paired with itself as a whole.

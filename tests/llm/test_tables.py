@@ -66,6 +66,41 @@ def test_terms_in_several_passes(spark, monkeypatch):
     assert got == {1: (5, ["7", "8"]), 2: (3, ["7"]), 3: (0, [])}
 
 
+def test_lists_meet_before_texts_are_read(spark):
+    """The intersection decides which places are compared: rare terms beside their places never meet, whatever stands around them."""
+    docs = spark.createDataFrame(
+        [(1, "the rare of odd"), (2, "the rare of the odd"), (3, "odd of rare the"), (4, "no rare of odd"), (5, "rare of odd"), (6, "the rare of")],
+        "doc_id bigint, text string",
+    )
+    more = spark.range(20, 60).select(F.col("id").alias("doc_id"), F.lit("the of no").alias("text"))
+    bench = spark.createDataFrame([(7, "the rare of odd")], "item_id bigint, text string")
+    index = phraseindex.PhraseIndex(docs.unionByName(more), "doc_id", "text", bench, "item_id", "text", 4, keep=2)
+    assert {r["term"] for r in index.rarest.collect()} == {"rare", "odd"}
+    assert {r["doc_id"] for r in index.postings.collect()} == {1, 2, 3, 4, 5, 6}
+    # Document 4 meets with another first word and 5 would start before its text; only the text rules out 4.
+    assert sorted((r["doc_id"], r["start"]) for r in index.meetings().collect()) == [(1, 0), (4, 0)]
+    assert [(r["doc_id"], r["start"], r["len"]) for r in index.phrases().collect()] == [(1, 0, 4)]
+    # Without postings nothing is found: no other path looks at the texts.
+    index.postings = index.postings.limit(0)
+    assert index.phrases().count() == 0
+
+
+def test_tables_of_items_beyond_the_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "x a b c"), (3, "e d c b a"), (4, None), (4, "the " * 99 + "a b c")], "doc_id bigint, text string")
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
+    bench = spark.createDataFrame([(7, "a b c"), (8, "d e"), (9, "x y"), (10, "the the the")], "item_id bigint, text string")
+
+    def rows():
+        out = phraseindex.contamination(keyed, "key", "text", bench, "item_id", "text", 3).collect()
+        return sorted((r["key"]["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"])) for r in out)
+
+    want = [(1, 5, 5, ("7", "8")), (2, 4, 3, ("7",)), (3, 5, 0, ()), (4, 0, 0, ()), (4, 102, 102, ("10", "7"))]
+    assert rows() == want
+    for limit in ("TERMS_PER_PASS", "BROADCAST_WINDOWS"):
+        monkeypatch.setattr(phraseindex, limit, 0)
+    assert rows() == want
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha x beta gamma"), (3, "gamma beta alpha"), (4, "alpha beta x x x x x x gamma")], "doc_id bigint, text string")
     bench = spark.createDataFrame([(7, "alpha beta gamma")], "item_id bigint, text string")
