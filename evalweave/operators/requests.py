@@ -9,6 +9,10 @@ from evalweave.functions import text as T
 from evalweave.functions.arrays import let, positions
 from evalweave.operators.broadcasts import spread
 from evalweave.operators.ranks import collect_in_parts, with_group_position
+from evalweave.session import cut_lineage
+
+# Contexts that are broadcast at most, as each holds more than that share of all rows.
+HOT_CONTEXTS = 10_000
 
 
 def build_mc_requests(
@@ -61,15 +65,21 @@ def group_by_context(requests: DataFrame, tokens: Column, id_cols: list[str]) ->
 
     Requests share a forward pass when context plus continuation agree but for the
     last token. Long form: every request row names its group key and the smallest
-    request id of the group, so no group is collected.
+    request id of the group, so no group is collected. Rows of frequent contexts are not shuffled: there are at most
+    ``HOT_CONTEXTS`` contexts with more than that share of the rows, which are broadcast.
     """
     keyed = requests.withColumn(
         "context_key", F.sha2(F.array_join(F.slice(tokens, F.lit(1), F.size(tokens) - 1), " "), 256)
     )
-    groups = keyed.groupBy("context_key").agg(
-        F.min(F.struct(*id_cols)).alias("scored"), F.count(F.lit(1)).alias("group_size")
+    groups = cut_lineage(
+        keyed.groupBy("context_key").agg(F.min(F.struct(*id_cols)).alias("scored"), F.count(F.lit(1)).alias("group_size"))
+    )
+    share = (groups.agg(F.sum("group_size")).first()[0] or 0) // HOT_CONTEXTS
+    hot = groups.where(F.col("group_size") > share)
+    rare = keyed.join(F.broadcast(hot.select("context_key")), "context_key", "left_anti")
+    return keyed.join(F.broadcast(hot), "context_key").unionByName(
+        rare.join(groups.where(F.col("group_size") <= share), "context_key")
     )
-    return keyed.join(groups, "context_key")
 
 
 def restore_order(df: DataFrame, original: DataFrame, id_col: str) -> DataFrame:

@@ -603,3 +603,18 @@ def test_entity_pairs(spark):
     df = spark.createDataFrame(rows, schema)
     got = [[tuple(x) for x in r.x] for r in df.select(S.entity_label_pairs(F.col("p"), F.col("g")).alias("x")).collect()]
     assert got == [[(0, 0), (3, 1)], [(0, 0), (2, 3)], [(3, 3)], [(3, 1)]]
+
+
+def test_group_by_context_with_a_hot_context(spark, monkeypatch):
+    """Half of all rows share a context; they stay in the partitions they are in, and every row finds its representative."""
+    monkeypatch.setattr(Q, "HOT_CONTEXTS", 10)
+    n = 8000
+    context = F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("c"), F.col("id") % 1000))
+    rows = spark.range(0, n, 1, 8).select("id", F.array(context, F.lit("x"), F.col("id").cast("string")).alias("t"))
+    out = Q.group_by_context(rows, F.col("t"), ["id"])
+    got = {r["id"]: (r["scored"]["id"], r["group_size"]) for r in out.collect()}
+    assert got == {i: (0, n // 2) if i % 2 == 0 else (i % 1000, n // 1000) for i in range(n)}
+    sizes = out.where("group_size > 100").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) <= n // 2 // 8
+    none = Q.group_by_context(rows.limit(0), F.col("t"), ["id"])
+    assert none.columns == out.columns and none.isEmpty()
