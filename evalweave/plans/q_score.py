@@ -392,7 +392,19 @@ for _n in (1, 2):
     )(_rouge)
 
 
-@query("rouge_l")
+# The table of longest common subsequences by anti-diagonals: cell i of step d belongs to i words of p and d - i words of g.
+LCS_SQL = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(pred, '{W}+'), lambda x: x <> '') AS p, list_filter(regexp_split_to_array(gold, '{W}+'), lambda x: x <> '') AS g FROM pairs),
+t AS (SELECT *, len(p) AS np, len(g) AS ng FROM w),
+lcs AS (SELECT doc_id, CAST(0 AS BIGINT) AS d, list_transform(range(np + 1), lambda i: 0) AS cur, list_transform(range(np + 1), lambda i: 0) AS prev FROM t
+  UNION ALL SELECT l.doc_id, d + 1, list_transform(range(np + 1), lambda i: CASE WHEN i = 0 OR d + 1 - i < 1 OR d + 1 - i > ng THEN 0 WHEN p[i] = g[d + 1 - i] THEN prev[i] + 1 ELSE greatest(cur[i], cur[i + 1]) END), cur
+  FROM lcs l JOIN t ON l.doc_id = t.doc_id WHERE d < np + ng)""".replace("{W}", W)
+
+
+@query(
+    "rouge_l",
+    f"""{P_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, {LCS_SQL}
+    SELECT t.doc_id, CASE WHEN np + ng > 0 THEN round(CAST(2 * cur[np + 1] AS DOUBLE) / (np + ng), 6) ELSE CAST(0 AS DOUBLE) END AS f FROM lcs JOIN t ON lcs.doc_id = t.doc_id WHERE d = np + ng""",
+)
 def rouge_l(spark, d):
     rows = pairs(spark, d).select("doc_id", T.words(F.col("pred")).alias("p"), T.words(F.col("gold")).alias("g"))
     return rows.select("doc_id", r6(S.rouge_l(F.col("p"), F.col("g"))).alias("f"))
