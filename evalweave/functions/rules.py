@@ -265,20 +265,35 @@ def variants(value: Column) -> Column:
     return F.array_distinct(let(F.split(value, r"\n"), build))
 
 
+# Outcome of an instruction: no form of the response seen yet, none follows it so far, a relaxed form does, the response itself does.
+UNSEEN, NONE, LOOSE, STRICT = -1, 0, 1, 2
+
+
+def outcome(forms: Column, kw: Column, rules: list[str] | None = None) -> Column:
+    """How the first form (the response as it is) or a later one follows the instruction; null without any form.
+
+    All forms pass through one expression, so each rule is compiled once, and nothing is evaluated behind the first form that follows.
+    """
+
+    def step(seen: Column, value: Column) -> Column:
+        hit = F.when(seen == UNSEEN, STRICT).otherwise(LOOSE)
+        return F.when(seen >= LOOSE, seen).when(follows(value, kw, rules), hit).otherwise(NONE)
+
+    return F.aggregate(forms, F.lit(UNSEEN), step)
+
+
 def instruction_checks(
     df: DataFrame, keys: list[str], response: str, instructions: str, rules: list[str] | None = None
 ) -> DataFrame:
-    """One row per instruction with its strict and loose outcome."""
+    """One row per instruction with its strict and loose outcome; a null response follows nothing."""
     # The variants come before the explode: they are built once per response, not once per instruction.
-    relaxed = spread(df, *keys).select(*keys, response, instructions, variants(F.col(response)).alias("_variants"))
-    rows = relaxed.select(*keys, response, "_variants", F.posexplode(instructions).alias("pos", "kw"))
-    kw = F.col("kw")
-    return rows.select(
-        *keys,
-        "pos",
-        F.col("kw.id").alias("instruction"),
-        follows(F.col(response), kw, rules).alias("strict"),
-        F.exists("_variants", lambda v: follows(v, kw, rules)).alias("loose"),
+    relaxed = spread(df, *keys).select(*keys, instructions, variants(F.col(response)).alias("_variants"))
+    rows = relaxed.select(*keys, "_variants", F.posexplode(instructions).alias("pos", "kw"))
+    found = rows.select(
+        *keys, "pos", F.col("kw.id").alias("instruction"), F.coalesce(outcome(F.col("_variants"), F.col("kw"), rules), F.lit(NONE)).alias("_found")
+    )
+    return found.select(
+        *keys, "pos", "instruction", (F.col("_found") == STRICT).alias("strict"), (F.col("_found") >= LOOSE).alias("loose")
     )
 
 

@@ -59,3 +59,18 @@ def test_loose_drops_lines_and_asterisks(spark):
     df = spark.createDataFrame([(0, "all *done*\nBye"), (1, ""), (2, "   ")], "id long, text string").withColumn("ins", F.array(kw))
     rows = {r.id: (r.strict, r.loose) for r in R.instruction_checks(df, ["id"], "text", "ins").collect()}
     assert rows == {0: (False, True), 1: (False, False), 2: (False, False)}
+
+
+def test_one_pass_over_the_forms(spark):
+    """The response itself decides the strict outcome even if a later form follows too; a null response follows nothing."""
+    ins = F.array(R.instruction("punctuation:no_comma"), R.instruction("startend:quotation"), R.instruction("no:such_rule"))
+    df = spark.createDataFrame([(0, "none\nhere"), (1, "a, b\n*end*"), (2, None)], "id long, text string").withColumn("ins", ins)
+    rows = {(r.id, r.pos): (r.strict, r.loose) for r in R.instruction_checks(df, ["id"], "text", "ins").collect()}
+    assert rows == {(0, 0): (True, True), (1, 0): (False, True), (2, 0): (False, False)} | {(i, p): (False, False) for i in range(3) for p in (1, 2)}
+
+
+def test_each_rule_is_compiled_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setitem(R.RULES, "punctuation:no_comma", lambda v, kw, rule=R.RULES["punctuation:no_comma"]: made.append(1) or rule(v, kw))
+    df = spark.createDataFrame([(0, "a")], "id long, text string").withColumn("ins", F.array(R.instruction("punctuation:no_comma")))
+    assert R.instruction_checks(df, ["id"], "text", "ins").count() == 1 and len(made) == 1
