@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,17 +105,22 @@ def cut_at_quantile(strengths: DataFrame, labelled: DataFrame, levels: int = 100
     found = strengths.agg(F.percentile_approx("strength", grid, 20 * levels).alias("q")).first()["q"]
     if not found:
         return 0.0, 1.0
-    cuts = sorted(set(found))
-    steps = F.array(*[F.lit(c) for c in cuts])
-    below = F.size(F.filter(steps, lambda c: c <= F.col("strength")))  # how many cuts accept the row
-    counts = {r["b"]: (r["good"], r["bad"]) for r in labelled.groupBy(below.alias("b")).agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad")).collect()}
+    cuts = np.unique(np.array(found, float))
+
+    @F.pandas_udf("int")
+    def accepting(strength: pd.Series) -> pd.Series:
+        """How many cuts accept the row, by binary search."""
+        return pd.Series(np.searchsorted(cuts, strength.to_numpy(float), side="right"))
+
+    sides = labelled.groupBy(accepting("strength").alias("b")).agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad"))
+    counts = {r["b"]: (r["good"], r["bad"]) for r in sides.collect()}
     good = np.array([counts.get(i, (0, 0))[0] for i in range(len(cuts) + 1)], float)
     bad = np.array([counts.get(i, (0, 0))[1] for i in range(len(cuts) + 1)], float)
     # Cut i accepts rows with at least i + 1 cuts below them.
     right = np.cumsum(bad)[:-1] + (good.sum() - np.cumsum(good)[:-1])
     best = int(np.argmax(right))
     gap = (cuts[best] - cuts[best - 1]) / 2 if best else 0.0
-    return cuts[best] - gap, max(gap, 1e-3)
+    return float(cuts[best] - gap), max(float(gap), 1e-3)
 
 
 @dataclass
@@ -161,7 +167,7 @@ def fit_quality(
     """
     known = labels.where(learn & F.col(label).isin(0, 1)).select(F.col(label_id).alias("_id"), F.col(label).cast("int").alias("label"))
     prints = stored(with_features(df, id_col, text), "features")
-    labelled = prints.join(known, F.col(id_col) == F.col("_id")).select("_id", "features", "label")
+    labelled = stored(prints.join(known, F.col(id_col) == F.col("_id")).select("_id", "features", "label"), "labelled")
     share = min(1.0, sample_rows / max(1, known.count()))
     chosen = labelled.where(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).collect()
     chosen.sort(key=lambda r: (r["_id"], r["features"], r["label"]))

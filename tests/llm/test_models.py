@@ -45,6 +45,19 @@ def test_op2_held_out(spark, larger):
     assert np.mean(good) >= 0.99
 
 
+def test_cut_agrees_best(spark):
+    """Against every strength tried as a cut; ties of strengths stand on one side, a tie of cuts goes to the lower one."""
+    rng = np.random.default_rng(3)
+    strength = np.round(rng.normal(size=300), 1)
+    label = (strength + rng.normal(size=300) > 0.4).astype(int)
+    rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(strength, label)], "strength double, label int")
+    at, gap = quality.cut_at_quantile(rows, rows)
+    tried = {c: int(((strength >= c) == (label == 1)).sum()) for c in np.unique(strength)}
+    best = min(c for c, n in tried.items() if n == max(tried.values()))
+    assert at <= best < at + 2 * gap + 1e-9 and ((strength >= at) == (strength >= best)).all()
+    assert quality.cut_at_quantile(rows.where("false"), rows.where("false")) == (0.0, 1.0)
+
+
 def test_quality_odd_inputs(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 2.0), (2, "x*** y***", 0.0), (None, "a b", 0.0), (5, "é" * 200000, 0.0)], "doc_id bigint, text string, features double")
     labels = spark.createDataFrame([(1, None), (2, 1), (None, 0), (77, 0)], "doc_id bigint, quality int")
