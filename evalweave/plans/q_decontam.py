@@ -119,7 +119,23 @@ def ngram_spans(spark, d):
     return D.ngram_spans(docs(spark, d), "doc_id", "text", N)
 
 
-@query("janitor_clean")
+# Spans of hits widened by 200 characters; fewer than 10 hits leave the parts between them, none the whole text.
+JANITOR_SQL = f"""WITH {FOLDED},
+dirt AS (SELECT DISTINCT unnest({sql_ngrams('w', N)}) AS ngram FROM test_words),
+x AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{W}*{NW}+') AS parts FROM documents)),
+y AS (SELECT doc_id, k, regexp_replace(part, '^{W}+', '') AS text, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS e FROM x),
+z AS (SELECT doc_id, k, e - length(text) AS s, lead(e, {N - 1}) OVER (PARTITION BY doc_id ORDER BY k) AS last_end,
+  array_to_string(array_agg({FOLD}) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND {N - 1} FOLLOWING), ' ') AS ngram FROM y),
+hit AS (SELECT doc_id, text, k, CAST(greatest(0, s - 200) AS BIGINT) AS s, CAST(least(length(text), last_end - 1 + 200) AS BIGINT) AS e, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM z JOIN dirt USING (ngram) JOIN documents USING (doc_id) WHERE last_end IS NOT NULL),
+few AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY k), 0) AS f, lead(e) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM hit WHERE n < 10),
+c AS (SELECT doc_id, 2 * k AS k, substring(text, f + 1, s - f) AS chunk FROM few WHERE s - f > 200
+  UNION ALL SELECT doc_id, 2 * k + 1, substring(text, e + 2, length(text)) FROM few WHERE next IS NULL AND e < length(text) - 200
+  UNION ALL SELECT doc_id, 0, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit) AND length(text) > 199)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS chunk_idx, chunk FROM c"""
+
+
+@query("janitor_clean", JANITOR_SQL)
 def janitor_clean(spark, d):
     return D.janitor_clean(docs(spark, d), "doc_id", "text", bench(spark, d), F.col("text"))
 
