@@ -189,6 +189,15 @@ def test_stream_equals_batch_and_resumes(spark, docs, bench, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_stream_reads_a_table_of_several_files(spark, docs, bench, tmp_path):
+    from evalweave.plans.catalog import QUERIES
+
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = QUERIES["incremental_decontaminate"](spark, str(tmp_path))
+    assert as_rows(got) == as_rows(QUERIES["decontaminate"](spark, str(tmp_path))) != []
+
+
 def test_bloom_filter_keeps_every_key(spark):
     numbers = spark.range(0, 60_000).select("id", F.xxhash64("id").alias("h"))
     keys = numbers.where("id < 20000").select("h")
