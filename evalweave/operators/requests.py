@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import text as T
 from evalweave.functions.arrays import let, positions
+from evalweave.functions.hashing import text_slices
 from evalweave.operators.broadcasts import spread
 from evalweave.operators.ranks import collect_in_parts, with_group_position
 from evalweave.session import cut_lineage
@@ -187,22 +188,42 @@ def token_cost_estimate(
     )
 
 
+# Bytes of text that are encoded at a time: an encoding takes hundreds of bytes for each token until its ids are read.
+ENCODE_BYTES = 1 << 18
+
+
 def tokenize_corpus(df: DataFrame, id_col: str, text_col: str, tokenizer_json: str) -> DataFrame:
-    """Token ids and attention mask per row; the tokenizer is built once per task from its JSON."""
+    """Token ids and attention mask per row; the tokenizer is built once per task from its JSON.
+
+    A worker holds the encodings of ``ENCODE_BYTES`` of text (at least one row), and hands their ids on before the next.
+    """
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)
     id_type = df.schema[id_col].dataType.simpleString()
+    slices = text_slices(ENCODE_BYTES)
 
     def run(batches):
+        import numpy as np
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(shared.value)
-        for batch in batches:
-            encoded = tokenizer.encode_batch(batch[text_col].tolist())
-            batch["input_ids"] = [e.ids for e in encoded]
-            batch["attention_mask"] = [e.attention_mask for e in encoded]
-            yield batch
 
-    return spread(df.select(id_col, text_col), id_col).mapInPandas(
+        def lists(rows, kind):
+            ends = np.cumsum([0, *map(len, rows)], dtype="int32")
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, kind)))
+
+        for batch in batches:
+            for rows in slices(batch, 1):
+                ids, masks = [], []
+                for text in rows.column(1).to_pylist():
+                    encoding = tokenizer.encode(text)
+                    ids.append(np.array(encoding.ids, "int32"))
+                    masks.append(np.array(encoding.attention_mask, "int8"))
+                    del encoding
+                yield pa.RecordBatch.from_arrays([*rows.columns, lists(ids, "int32"), lists(masks, "int8")], names=names)
+
+    names = [id_col, text_col, "input_ids", "attention_mask"]
+    return spread(df.select(id_col, text_col), id_col).mapInArrow(
         run, f"{id_col} {id_type}, {text_col} string, input_ids array<int>, attention_mask array<tinyint>"
     )
 

@@ -618,3 +618,22 @@ def test_group_by_context_with_a_hot_context(spark, monkeypatch):
     assert max(r["count"] for r in sizes) <= n // 2 // 8
     none = Q.group_by_context(rows.limit(0), F.col("t"), ["id"])
     assert none.columns == out.columns and none.isEmpty()
+
+
+def test_tokens_of_a_batch_are_handed_on_in_parts(spark, monkeypatch):
+    """A batch of many long texts is encoded a part at a time, whatever its size."""
+    import pyarrow as pa
+
+    from evalweave.operators import requests as Q
+
+    made = []
+    df = spark.createDataFrame([(1, "aé"), (2, "")], "id long, text string")
+    monkeypatch.setattr(Q, "ENCODE_BYTES", 100)
+    rows = {r.id: (list(r.input_ids), list(r.attention_mask)) for r in Q.tokenize_corpus(df, "id", "text", Q.byte_tokenizer()).collect()}
+    assert [len(x) for x in rows[1]] == [3, 3] and rows[2] == ([], [])
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: made.append(run) or self)
+    Q.tokenize_corpus(df, "id", "text", Q.byte_tokenizer())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * 60] * 50)], names=["id", "text"])
+    taken = list(made[0](iter([batch])))
+    assert max(b.num_rows for b in taken) <= 2 and sum(b.num_rows for b in taken) == 50
+    assert all(b.column(2)[0].as_py() == b.column(2)[b.num_rows - 1].as_py() and len(b.column(3)[0]) == 60 for b in taken)
