@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from evalweave.functions import text as T
-from evalweave.functions.arrays import cumulative, let, let2, positions, total
+from evalweave.functions.arrays import let, total
 from evalweave.operators.bloom import bloom_filter
 from evalweave.operators.broadcasts import BROADCAST_ROWS, fits_broadcast, ngrams_fit, spread
 from evalweave.session import cut_lineage
@@ -236,30 +236,47 @@ def corpus_unique_counts(corpus: DataFrame, id_col: str, corpus_text: Column, n:
     )
 
 
-def ngram_spans(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """N-grams of the raw text with 0-based start and inclusive end character offsets."""
+# Spans that a task hands on at a time.
+SPAN_ROWS = 20_000
 
-    def from_parts(parts: Column) -> Column:
-        ends = cumulative(F.transform(parts, lambda p: F.length(p)))
-        tokens = F.transform(parts, lambda p: T.lstrip(p))
 
-        def rows(t: Column, e: Column) -> Column:
-            firsts = positions(F.size(t) - (n - 1))
-            return F.transform(
-                firsts,
-                lambda i: F.struct(
-                    F.array_join(F.slice(t, i + 1, F.lit(n)), " ").alias("ngram"),
-                    (F.get(e, i) - F.length(F.get(t, i))).alias("start"),
-                    (F.get(e, i + (n - 1)) - 1).alias("end"),
-                ),
-            )
-
-        return let2(tokens, ends, rows)
+def ngram_spans(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """N-grams of the raw text with 0-based start and inclusive end character offsets."""
 
-    spans = let(T.pieces(F.col(text_col)), from_parts)
-    return spread(df, id_col).select(id_col, F.posexplode(spans).alias("pos", "s")).select(
-        id_col, "pos", "s.ngram", F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end")
-    )
+    id_type = df.schema[id_col].dataType.simpleString()
+    names, at_most = ["id", "pos", "ngram", "start", "end"], SPAN_ROWS
+
+    def run(batches):
+        import re
+
+        import numpy as np
+        import pyarrow as pa
+
+        word = re.compile(r"\S+")  # of a Python string: the same blanks as those of T.words
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text = batch.column(1)[row].as_py() or ""
+                starts = np.fromiter((m.start() for m in word.finditer(text)), np.int64)
+                tokens = text.split()
+                lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+                ends = starts + lengths
+                # An n-gram is a slice of the words joined by one blank.
+                joined, stops = " ".join(tokens), np.cumsum(lengths + 1) - 1
+                for a in range(0, len(tokens) - n + 1, at_most):
+                    b = min(a + at_most, len(tokens) - n + 1)
+                    cuts = zip((stops - lengths)[a:b].tolist(), stops[a + n - 1 : b + n - 1].tolist())
+                    columns = [
+                        pa.repeat(batch.column(0)[row], b - a),
+                        pa.array(np.arange(a, b, dtype=np.int32)),
+                        pa.array([joined[x:y] for x, y in cuts], pa.string()),
+                        pa.array(starts[a:b]),
+                        pa.array(ends[a + n - 1 : b + n - 1] - 1),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = spread(df, id_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    spans = rows.mapInArrow(run, f"id {id_type}, pos int, ngram string, start bigint, end bigint")
+    return spans.withColumnRenamed("id", id_col)
 
 
 def dirty_positions(
