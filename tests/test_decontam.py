@@ -2,6 +2,7 @@
 
 import re
 import string
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -276,3 +277,20 @@ def test_no_more_positions_than_the_cutoff(spark):
     dirt = spark.createDataFrame([("a b",)], "ngram string")
     got = {r.doc_id: (r.n_hits, r.hits) for r in D.dirty_positions(docs, "doc_id", "text", dirt, 2, 3).collect()}
     assert got == {1: (3, None), 2: (1, [0])}
+
+
+def test_tokens_and_spans_of_odd_rows(spark):
+    """Spans are made in tasks of Python, a bounded number at a time; ids may be null."""
+    texts = [None, "", "  a\x1cb\u3000c é日本 d ", "x " * 7]
+    df = spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "id int, text string")
+    got = sorted(map(tuple, D.ngram_spans(df, "id", "text", 3).collect()))
+    want = []
+    for i, text in enumerate(texts):
+        tokens = list(re.finditer(r"\S+", text or ""))
+        want += [(i, k, " ".join(t.group() for t in tokens[k : k + 3]), tokens[k].start(), tokens[k + 2].end() - 1) for k in range(len(tokens) - 2)]
+    assert got == sorted(want) and D.ngram_spans(df, "id", "text", 3).schema["id"].dataType.simpleString() == "int"
+
+
+def test_spans_take_no_quadratic_expression(spark):
+    plan = D.ngram_spans(spark.createDataFrame([(1, "a")], "id long, text string"), "id", "text", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan
