@@ -8,10 +8,22 @@ from pyspark.sql import Window
 
 from evalweave.functions import text as T
 from evalweave.functions.arrays import let, total
+from evalweave.functions.hashing import gram_hasher, text_slices
 from evalweave.operators.bloom import bloom_filter
 from evalweave.operators.broadcasts import BROADCAST_ROWS, fits_broadcast, ngrams_fit, spread
 from evalweave.session import cut_lineage
 
+# Bytes of text that are hashed at a time.
+HASH_BYTES = 1 << 20
+# Hashes that a task gathers before it counts and hands them on, and bytes of text whose hashes share a bucket.
+HASHES_GATHERED = 1 << 21
+BUCKET_BYTES = 8 << 20
+# Bits of the map of frequent hashes, as powers of two: at most 16 MB, and of a bucket's part of it. With more such hashes it
+# loses force, never one of them.
+MAP_BITS, BUCKET_MAP_BITS = 27, 22
+# Distinct strings that a task counts before it hands them on.
+STRINGS_GATHERED = 200_000
+
 
 def normalized_ngrams(text: Column, n: int) -> Column:
     """Distinct n-grams of the lower-cased, whitespace-normalised text."""
@@ -53,15 +65,58 @@ def postings(corpus: DataFrame, id_col: str, tokens: Column, n: int, keys: DataF
     return passed.join(F.broadcast(keys) if fits_broadcast(keys) else keys, "h", "left_semi")
 
 
-def corpus_hits(corpus: DataFrame, id_col: str, tokens: Column, n: int, ngrams: DataFrame, small: bool) -> DataFrame:
+
+
+def _scan_hits(corpus: DataFrame, id_col: str, text: Column, n: int, ngrams: DataFrame, fold: bool) -> DataFrame:
+    """(id, ngram) of every row's distinct n-grams whose hash is among those of ``ngrams``, which are few and sent to the scan."""
+    hasher, slices = gram_hasher(n, fold), text_slices(HASH_BYTES)
+    plain, id_type = gram_hasher(n), corpus.schema[id_col].dataType.simpleString()
+
+    def hashes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = plain(batch.column(0).to_pylist())[1].view("int64")
+            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["h"])
+
+    keys = [r.h for r in ngrams.select("ngram").mapInArrow(hashes, "h bigint").collect()]
+    shared = corpus.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        wanted = np.unique(np.array(shared.value, np.int64).view(np.uint64))
+        # The first 20 bits of a hash rule out most.
+        first = np.zeros(1 << 20, bool)
+        first[wanted >> np.uint64(44)] = True
+        for batch in batches:
+            for part in slices(batch, 1):
+                words, h, row, place = hasher([t or "" for t in part.column(1).to_pylist()])
+                near = np.flatnonzero(first[h >> np.uint64(44)])
+                near = near[np.isin(h[near], wanted)]
+                pairs = {(r, " ".join(words[r][p : p + n])): None for r, p in zip(row[near].tolist(), place[near].tolist())}
+                if pairs:
+                    rows, grams = zip(*pairs)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(grams)], names=["id", "ngram"])
+
+    rows = spread(corpus, id_col).select(F.col(id_col).alias("id"), text.alias("text"))
+    return rows.mapInArrow(run, f"id {id_type}, ngram string").withColumnRenamed("id", id_col)
+
+
+def corpus_hits(
+    corpus: DataFrame, id_col: str, text: Column, n: int, ngrams: DataFrame, small: bool, fold: bool = False
+) -> DataFrame:
     """(id, ngram) of the corpus n-grams that are among ``ngrams`` (distinct), once for each row and n-gram; ids are unique.
 
-    ``small`` n-grams are broadcast to the scan. Others meet the corpus by hash and position, and strings are built again, from
+    Texts are lower-cased, or folded as by ``folded_ngrams``. ``small`` n-grams are broadcast to the scan, first by hash: strings
+    are built only where one meets. Others meet the corpus by hash and position, and strings are built again, from
     the text, only at positions with a hit; comparing these settles hash collisions.
     """
     if small:
-        rows = spread(corpus, id_col).select(F.col(id_col), F.explode(F.array_distinct(T.ngrams(tokens, n))).alias("ngram"))
+        rows = _scan_hits(corpus, id_col, text if fold else F.lower(text), n, ngrams, fold)
         return rows.join(F.broadcast(ngrams), "ngram", "left_semi").select(id_col, "ngram")
+    tokens = T.words(T.ascii_fold(text) if fold else F.lower(text))
     hits = postings(corpus, id_col, tokens, n, ngrams.select(T.ngram_hash(F.col("ngram")).alias("h")).distinct())
     places = _small(hits.groupBy(id_col).agg(F.collect_list("pos").alias("_places")))
 
@@ -87,14 +142,8 @@ def find_contaminated(
     met by hash behind a Bloom filter (see ``postings``), and only the candidates are compared by string.
     """
     dirty = bench.select(F.explode(normalized_ngrams(bench_text, n)).alias("ngram")).distinct()
-    tokens = T.words(F.lower(text))
-    if ngrams_fit(bench, T.words(F.lower(bench_text)), n, broadcast_rows):
-        # No need to tell a row's n-grams apart here.
-        rows = spread(train, id_col).select(id_col, F.explode(T.ngrams(tokens, n)).alias("ngram"))
-        hits = rows.join(F.broadcast(dirty), "ngram", "left_semi")
-    else:
-        hits = corpus_hits(train, id_col, tokens, n, dirty, small=False)
-    return hits.select(id_col).distinct()
+    small = ngrams_fit(bench, T.words(F.lower(bench_text)), n, broadcast_rows)
+    return corpus_hits(train, id_col, text, n, dirty, small).select(id_col).distinct()
 
 
 def decontaminate(train: DataFrame, contaminated_ids: DataFrame, id_col: str) -> DataFrame:
@@ -112,7 +161,7 @@ def _shared(
     bench_index = build_ngram_index(bench, bench_id, bench_text, n)
     small = ngrams_fit(bench, T.words(F.lower(bench_text)), n, rows)
     keys = bench_index.select("ngram").distinct()
-    return corpus_hits(train, id_col, T.words(F.lower(text)), n, keys, small), bench_index
+    return corpus_hits(train, id_col, text, n, keys, small), bench_index
 
 
 def overlap_report(
@@ -215,7 +264,7 @@ def train_overlap(
     index = tasks.select("task", "set", "doc_id", F.explode(folded_ngrams(task_text, n)).alias("ngram"))
     keys = index.select("ngram").distinct()
     small = ngrams_fit(tasks, T.words(T.ascii_fold(task_text)), n, broadcast_rows)
-    found = corpus_hits(corpus, corpus_id, T.words(T.ascii_fold(corpus_text)), n, keys, small)
+    found = corpus_hits(corpus, corpus_id, corpus_text, n, keys, small, fold=True)
     matched = found.select("ngram").distinct().withColumn("hit", F.lit(True))
     tagged = index.join(matched, "ngram", "left")
     dirty = tagged.where("hit").select("task", "set", "doc_id").distinct()

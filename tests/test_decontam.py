@@ -294,3 +294,37 @@ def test_tokens_and_spans_of_odd_rows(spark):
 def test_spans_take_no_quadratic_expression(spark):
     plan = D.ngram_spans(spark.createDataFrame([(1, "a")], "id long, text string"), "id", "text", 3)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "lambda" not in plan
+
+
+@pytest.mark.parametrize("fold", [True, False])
+def test_hashed_ngrams_are_those_of_the_words(fold):
+    from evalweave.functions.hashing import gram_hasher
+
+    texts = ["The  quick,brown fox the quick brown fox", "", "a b", "Ünï \x1c x!日本 ' y"]
+    words, h, row, place = gram_hasher(2, fold)(texts)
+    clean = [t.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase, string.punctuation)) if fold else t for t in texts]
+    assert words == [t.split() for t in clean]
+    spelled = [" ".join(words[r][p : p + 2]) for r, p in zip(row, place)]
+    assert spelled == [" ".join(w[i : i + 2]) for w in words for i in range(len(w) - 1)]
+    assert len(set(spelled)) == len(set(h.tolist())) == len(set(zip(spelled, h.tolist())))
+
+
+def test_overlap_by_hash_is_settled_by_string(spark, docs, bench, monkeypatch):
+    tasks = bench.select(F.lit("t").alias("task"), F.lit("s").alias("set"), F.col("item_id").alias("doc_id"), "text")
+    x = F.col("text")
+    plain = [as_rows(df) for df in D.train_overlap(docs, "doc_id", x, tasks, x, 13)]
+    made = D.gram_hasher
+
+    def weak(n, fold=False):
+        run = made(n, fold)
+
+        def coarse(texts):
+            words, h, row, place = run(texts)
+            return words, h >> h.dtype.type(50) << h.dtype.type(50), row, place
+
+        return coarse
+
+    monkeypatch.setattr(D, "gram_hasher", weak)
+    found = D.train_overlap(docs, "doc_id", x, tasks, x, 13)
+    assert [as_rows(df) for df in found] == plain
+    assert "MapInArrow" in found[1]._jdf.queryExecution().executedPlan().toString()
