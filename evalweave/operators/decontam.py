@@ -275,13 +275,95 @@ def train_overlap(
     return dirty, counts
 
 
+def hash_counts(df: DataFrame, id_col: str, text: Column, n: int, fold: bool, once: bool) -> tuple[DataFrame, int]:
+    """(bucket, hashes, counts) packed by ``bucket``, the first bits of a hash, and the number of those bits.
+
+    Rows are sorted by bucket, each bucket within one partition. With ``once`` a row counts an n-gram once.
+    """
+    size = df.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
+    bits = min(MAP_BITS - 3, max(0, (size // BUCKET_BYTES).bit_length()))
+    hasher, slices, enough = gram_hasher(n, fold), text_slices(HASH_BYTES), HASHES_GATHERED
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def packed(parts):
+            found, counts = np.unique(np.concatenate(parts), return_counts=True)
+            bucket = (found >> np.uint64(64 - bits) if bits else np.zeros(len(found))).astype(np.int32)
+            at = np.flatnonzero(np.diff(bucket, prepend=-1))
+            raw, numbers = found.tobytes(), counts.astype("<u4").tobytes()
+            ends = [*at[1:].tolist(), len(found)]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[at]),
+                    pa.array([raw[8 * a : 8 * b] for a, b in zip(at.tolist(), ends)], pa.binary()),
+                    pa.array([numbers[4 * a : 4 * b] for a, b in zip(at.tolist(), ends)], pa.binary()),
+                ],
+                names=["bucket", "hashes", "counts"],
+            )
+
+        parts, held = [], 0
+        for batch in batches:
+            for part in slices(batch, 0):
+                _, h, row, _ = hasher([t or "" for t in part.column(0).to_pylist()])
+                if once and len(h):
+                    order = np.lexsort((h, row))
+                    h, row = h[order], row[order]
+                    h = h[np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])]
+                parts.append(h)
+                held += len(h)
+                if held >= enough:
+                    yield packed(parts)
+                    parts, held = [], 0
+        if held:
+            yield packed(parts)
+
+    rows = spread(df, id_col).select(text.alias("text")).mapInArrow(run, "bucket int, hashes binary, counts binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket"), bits
+
+
+def _by_bucket():
+    """A function from batches of ``hash_counts`` to (bucket, hashes, counts), each hash once."""
+
+    def run(batches):
+        import numpy as np
+
+        def summed():
+            h, c = np.concatenate(hashes), np.concatenate(counts).astype(np.int64)
+            order = np.argsort(h)
+            h, c = h[order], c[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            return this, h[at], np.add.reduceat(c, at)
+
+        this, hashes, counts = None, [], []
+        for batch in batches:
+            for bucket, h, c in zip(*(column.to_pylist() for column in batch.columns)):
+                if bucket != this:
+                    if hashes:
+                        yield summed()
+                    this, hashes, counts = bucket, [], []
+                hashes.append(np.frombuffer(h, "<u8"))
+                counts.append(np.frombuffer(c, "<u4"))
+        if hashes:
+            yield summed()
+
+    return run
+
+
 def corpus_unique_counts(corpus: DataFrame, id_col: str, corpus_text: Column, n: int = 13) -> DataFrame:
-    """Total and distinct n-grams of the corpus, by hash (16 bytes per distinct n-gram travel)."""
-    return (
-        spread(corpus, id_col).select(F.explode(T.ngram_hashes(T.words(T.ascii_fold(corpus_text)), n)).alias("h"))
-        .groupBy("h")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .agg(F.sum("c").alias("total_ngrams"), F.count(F.lit(1)).alias("unique_ngrams"))
+    """Total and distinct n-grams of the corpus, by hash (12 bytes per distinct n-gram of a task travel, packed)."""
+    counts, _ = hash_counts(corpus, id_col, corpus_text, n, fold=True, once=False)
+    by_bucket = _by_bucket()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for _, h, c in by_bucket(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([int(c.sum())]), pa.array([len(h)])], names=["total", "unique"])
+
+    return counts.mapInArrow(run, "total bigint, unique bigint").agg(
+        F.sum("total").alias("total_ngrams"), F.coalesce(F.sum("unique"), F.lit(0)).cast("bigint").alias("unique_ngrams")
     )
 
 
