@@ -228,22 +228,63 @@ def ngram_doc_frequency(
 ) -> DataFrame:
     """N-grams found in more than ``min_docs`` documents, with the document count.
 
-    First pass: count documents per 64-bit hash of the n-gram; the hashes travel, the
-    strings do not. Second pass: only n-grams with a frequent hash are counted by
-    string, which also settles hash collisions.
+    First pass: count documents per 64-bit hash of the n-gram; the hashes travel, packed, the strings do not. What is
+    frequent becomes a map of bits of fixed size. Second pass: only n-grams that the map lets through are counted by
+    string, which settles hash collisions and what else has the same bit.
     """
-    rows = ngram_rows(df, id_col, text, n, folded_ngrams if fold else normalized_ngrams).select(
-        "ngram", F.xxhash64("ngram").alias("h")
-    )
-    frequent = (
-        rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > min_docs).select("h")
-    )
-    return (
-        rows.join(_small(frequent), "h", "left_semi")
-        .groupBy("ngram")
-        .agg(F.count(F.lit(1)).alias("n_docs"))
-        .where(F.col("n_docs") > min_docs)
-    )
+    text = text if fold else F.lower(text)
+    counts, bits = hash_counts(df, id_col, text, n, fold, once=True)
+    by_bucket, width = _by_bucket(), min(BUCKET_MAP_BITS, MAP_BITS - bits)
+    hasher, slices, enough = gram_hasher(n, fold), text_slices(HASH_BYTES), STRINGS_GATHERED
+    shift = 64 - bits - width
+
+    def frequent(batches):
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        for bucket, h, c in by_bucket(batches):
+            marked = np.zeros(1 << width, bool)
+            marked[(h[c > min_docs] >> np.uint64(shift)).astype(np.int64) - (bucket << width)] = True
+            if marked.any():
+                packed = zlib.compress(np.packbits(marked, bitorder="little").tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed], pa.binary())], names=["bucket", "bits"])
+
+    # 16 MB at most, whatever the data.
+    shared = df.sparkSession.sparkContext.broadcast([tuple(r) for r in counts.mapInArrow(frequent, "bucket int, bits binary").collect()])
+
+    def strings(batches):
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        marked = np.zeros((1 << bits, (1 << width) // 8), np.uint8)
+        for bucket, packed in shared.value:
+            marked[bucket] = np.frombuffer(zlib.decompress(bytes(packed)), np.uint8)
+        marked = marked.ravel()
+        counted = {}
+
+        def done():
+            out = pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], names=["ngram", "c"])
+            counted.clear()
+            return out
+
+        for batch in batches:
+            for part in slices(batch, 0):
+                words, h, row, place = hasher([t or "" for t in part.column(0).to_pylist()])
+                at = (h >> np.uint64(shift)).astype(np.int64)
+                kept = np.flatnonzero((marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                for _, gram in {(r, " ".join(words[r][p : p + n])) for r, p in zip(row[kept].tolist(), place[kept].tolist())}:
+                    counted[gram] = counted.get(gram, 0) + 1
+                if len(counted) >= enough:
+                    yield done()
+        if counted:
+            yield done()
+
+    rows = spread(df, id_col).select(text.alias("text")).mapInArrow(strings, "ngram string, c bigint")
+    return rows.groupBy("ngram").agg(F.sum("c").alias("n_docs")).where(F.col("n_docs") > min_docs)
 
 
 def train_overlap(

@@ -309,6 +309,29 @@ def test_hashed_ngrams_are_those_of_the_words(fold):
     assert len(set(spelled)) == len(set(h.tolist())) == len(set(zip(spelled, h.tolist())))
 
 
+def test_counts_over_many_buckets(spark, docs, monkeypatch):
+    x = F.col("text")
+    grams = [g for r in docs.select(T.ngrams(T.words(T.ascii_fold(x)), 5).alias("g")).collect() for g in r.g]
+    per_row = [g for r in docs.select(D.folded_ngrams(x, 5).alias("g")).collect() for g in r.g]
+    want = {g: c for g, c in Counter(per_row).items() if c > 3}
+    for name, value in (("BUCKET_BYTES", 1 << 16), ("HASHES_GATHERED", 5_000), ("HASH_BYTES", 1 << 14), ("STRINGS_GATHERED", 10)):
+        monkeypatch.setattr(D, name, value)
+    assert D.corpus_unique_counts(docs, "doc_id", x, 5).first() == (len(grams), len(set(grams)))
+    assert {r.ngram: r.n_docs for r in D.ngram_doc_frequency(docs, "doc_id", x, 5, 3).collect()} == want != {}
+    monkeypatch.setattr(D, "BUCKET_MAP_BITS", 3)  # a crowded map loses nothing
+    assert {r.ngram: r.n_docs for r in D.ngram_doc_frequency(docs, "doc_id", x, 5, 3).collect()} == want
+    empty = docs.where("false")
+    assert D.corpus_unique_counts(empty, "doc_id", x, 5).first() == (None, 0)
+    assert D.ngram_doc_frequency(empty, "doc_id", x, 5, 3).count() == 0
+
+
+def test_counting_shuffles_packed_hashes(spark, docs):
+    """No row for each n-gram meets a shuffle, and strings meet one only where they may be frequent."""
+    for df in (D.corpus_unique_counts(docs, "doc_id", F.col("text"), 13), D.ngram_doc_frequency(docs, "doc_id", F.col("text"), 5, 10)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "MapInArrow" in plan
+
+
 def test_overlap_by_hash_is_settled_by_string(spark, docs, bench, monkeypatch):
     tasks = bench.select(F.lit("t").alias("task"), F.lit("s").alias("set"), F.col("item_id").alias("doc_id"), "text")
     x = F.col("text")
