@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import string
 import sys
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType
 
 from evalweave.functions import answers as A
 from evalweave.functions import text as T
@@ -466,35 +469,47 @@ def smoothed_bleu(max_n: int = 4) -> Column:
 # --- assorted ------------------------------------------------------------------
 
 
+@F.arrow_udf(ArrayType(DoubleType()))
+def _named_numbers(response: pa.Array, names: pa.Array) -> pa.Array:
+    """The numbers of ``names`` in each response; null unless all are there and four names in all. One search goes over a batch."""
+    # Fixed value: the form of a pair; or the character put between two responses, which is part of no pair.
+    pair = re.compile(r"(\w+):\s+(\d+)|\x00", re.ASCII)
+    texts = [(t or "").replace("\x00", "\x01") for t in response.to_pylist()]
+    found, at = [{} for _ in texts], 0
+    for name, number in pair.findall("\x00".join(texts)):
+        if name:
+            found[at][name] = number  # the last value of a repeated name counts
+        else:
+            at += 1
+
+    # Lists are read flat, which takes a tenth of the time.
+    every, lengths = names.flatten().to_pylist(), names.value_lengths().to_pylist()
+    numbers, sizes, at = [], [], 0
+    for pairs, length in zip(found, lengths):
+        wanted = every[at : at + (length or 0)]
+        at += len(wanted)
+        here = [pairs.get(n) for n in wanted]
+        if len(pairs) != 4 or length is None or None in here:
+            sizes.append(None)
+        else:
+            numbers += here
+            sizes.append(len(here))
+    ends = pa.array(accumulate((n or 0 for n in sizes), initial=0), pa.int32())
+    flat = pa.array(list(map(float, numbers)), pa.float64())
+    return pa.ListArray.from_arrays(ends, flat, mask=pa.array([n is None for n in sizes], pa.bool_()))
+
+
 def emotion_distance(response: Column, names: Column, scores: Column) -> dict[str, Column]:
     """Percent score of four ``name: number`` pairs against the reference, and whether they parse."""
-    # Fixed value: the form of a pair.
-    keys = F.regexp_extract_all(response, F.lit(r"(\w+):\s+(\d+)"), F.lit(1))
-    values = F.regexp_extract_all(response, F.lit(r"(\w+):\s+(\d+)"), F.lit(2))
-    # The last value of a repeated name counts.
-    given = let2(
-        keys,
-        values,
-        lambda k, v: F.transform(
-            names,
-            lambda n: F.get(F.reverse(v), F.array_position(F.reverse(k), n).cast("int") - 1).try_cast("double"),
-        ),
-    )
+    given = _named_numbers(response, names)
 
-    def points(found: Column) -> Column:
-        gaps = F.zip_with(
-            found,
-            scores,
-            lambda a, b: F.when(a == b, 0.0)
-            .when(F.abs(a - b) <= 5, 6.5 / (1 + F.exp(-1.2 * (F.abs(a - b) - 4))))
-            .otherwise(F.abs(a - b)),
-        )
-        return (10 - total(gaps) * 0.7477) * 10
+    def tally(gap: Column) -> Column:
+        return F.when(gap == 0, 0.0).when(gap <= 5, 6.5 / (1 + F.exp(-1.2 * (gap - 4)))).otherwise(gap)
 
-    complete = (F.size(F.array_distinct(keys)) == 4) & ~F.exists(given, lambda x: x.isNull())
+    gaps = F.zip_with(given, scores, lambda a, b: tally(F.abs(a - b)))
     return {
-        "score": F.when(complete, let(given, points)).otherwise(0.0),
-        "percent_parseable": F.when(complete, 100).otherwise(0),
+        "score": F.when(given.isNotNull(), (10 - total(gaps) * 0.7477) * 10).otherwise(0.0),
+        "percent_parseable": F.when(given.isNotNull(), 100).otherwise(0),
     }
 
 
