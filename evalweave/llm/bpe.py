@@ -137,12 +137,21 @@ def _vocabulary(file: Broadcast, pattern: str) -> Vocabulary:
     return kept[key]
 
 
-def _encode_whole(file: Broadcast, pattern: str):
+def _ids(vocabulary: Vocabulary, row: pa.Array, ids: list[bytes], decoded: bool) -> pa.RecordBatch:
+    """Rows with their ids and, if asked for, the bytes that these decode to."""
+    names, columns = ["row", "ids"], [row, pa.array(ids, pa.binary())]
+    if decoded:
+        names.append("decoded")
+        columns.append(pa.array([vocabulary.decode(i) for i in ids], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _encode_whole(file: Broadcast, pattern: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(file, pattern)
         for batch in (part for whole in batches for part in slices(whole, "text")):
             ids = [vocabulary.encode(t) if t else b"" for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.binary())], names=["row", "ids"])
+            yield _ids(vocabulary, batch.column("row"), ids, decoded)
 
     return run
 
@@ -228,7 +237,7 @@ def _encode_pieces(file: Broadcast, pattern: str):
     return run
 
 
-def _join_pieces(file: Broadcast, pattern: str):
+def _join_pieces(file: Broadcast, pattern: str, decoded: bool):
     """Rows sorted by (doc, k) -> one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +246,7 @@ def _join_pieces(file: Broadcast, pattern: str):
 
         def done() -> pa.RecordBatch:
             ids = vocabulary.encode("".join(texts)) if texts else b"".join(parts)
-            return pa.RecordBatch.from_arrays([row, pa.array([ids], pa.binary())], names=["row", "ids"])
+            return _ids(vocabulary, row, [ids], decoded)
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -256,14 +265,15 @@ def _join_pieces(file: Broadcast, pattern: str):
 
 
 def encode(
-    df: DataFrame, text: str, ranks_file: bytes, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP
+    df: DataFrame, text: str, ranks_file: bytes, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False
 ) -> DataFrame:
     """(row, ids): the ids of every whole text as little-endian unsigned 32-bit integers; ``row`` is a struct of the other columns.
 
     The result is that of splitting the text by ``pattern`` and merging each match by the ranks, without special tokens.
     Null and empty texts have no ids. Texts of up to ``chunk`` characters are one chunk and are not moved; only longer
     ones are cut, spread over tasks and joined again, so no task works on one text alone except to concatenate its ids.
-    Repeated rows stay apart. ``ranks_file`` (one "base64 rank" a line, a megabyte) is broadcast; its size is that of the vocabulary.
+    Repeated rows stay apart. With ``decoded`` a third column has the bytes that the ids decode to, as ``decode`` gives them, from
+    the same worker: a worker of its own would hold the vocabulary once more for each core. ``ranks_file`` (one "base64 rank" a line, a megabyte) is broadcast; its size is that of the vocabulary.
     """
     if overlap < 8 or chunk < 2 * overlap:
         raise ValueError("overlap must be at least 8 characters and at most half a chunk")
@@ -273,9 +283,9 @@ def encode(
     row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("_none"))
     docs = df.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
     kind = docs.schema["row"].dataType
-    out = _schema(row=kind, ids="binary")
+    out = _schema(row=kind, ids="binary", **({"decoded": "binary"} if decoded else {}))
     long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    whole = docs.where(~long).mapInArrow(_encode_whole(file, pattern), out)
+    whole = docs.where(~long).mapInArrow(_encode_whole(file, pattern, decoded), out)
     cut = (
         docs.where(long)
         .withColumn("doc", F.monotonically_increasing_id())
@@ -308,7 +318,7 @@ def encode(
     pieces = seams.mapInArrow(
         _encode_pieces(file, pattern), _schema(doc="bigint", k="int", row=kind, ids="binary", rest="string")
     )
-    joined = pieces.repartition("doc").sortWithinPartitions("doc", "k").mapInArrow(_join_pieces(file, pattern), out)
+    joined = pieces.repartition("doc").sortWithinPartitions("doc", "k").mapInArrow(_join_pieces(file, pattern, decoded), out)
     return whole.unionByName(joined)
 
 

@@ -42,7 +42,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text."""
     ranks = content(BYTE_RANKS)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), "text", ranks, public_tokenizers.PATTERN), "ids", ranks)
+    coded = bpe.encode(docs.select("doc_id", "text"), "text", ranks, public_tokenizers.PATTERN, decoded=True)
     return coded.select(
         F.col("row.doc_id").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
