@@ -637,3 +637,14 @@ def test_tokens_of_a_batch_are_handed_on_in_parts(spark, monkeypatch):
     taken = list(made[0](iter([batch])))
     assert max(b.num_rows for b in taken) <= 2 and sum(b.num_rows for b in taken) == 50
     assert all(b.column(2)[0].as_py() == b.column(2)[b.num_rows - 1].as_py() and len(b.column(3)[0]) == 60 for b in taken)
+
+
+def test_emotions_of_a_batch(spark):
+    rows = [("a: 1\nb: 2\nc: 3\nd: 4\na: 9",), (None,), ("a: 1 b: 2",), ("\x00a: 1\x00 b: 2 c: 3 d: 4",), ("a: 1 b: 2 c: 3 d: x",)]
+    df = spark.createDataFrame(rows, "t string").coalesce(1)
+    names, scores = F.array(*map(F.lit, "abcd")), F.array(*[F.lit(float(x)) for x in (9, 2, 3, 4)])
+    m = S.emotion_distance(F.col("t"), names, scores)
+    got = df.select(m["score"].alias("s"), m["percent_parseable"].alias("p")).collect()
+    assert [r.p for r in got] == [100, 0, 0, 100, 0] and got[0].s == 100 and got[1].s == 0 and 0 < got[3].s < 100
+    plan = df.select(*m.values())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan
