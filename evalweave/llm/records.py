@@ -43,6 +43,7 @@ BUFFER = 1 << 20
 # The tokenizer drops blanks and never joins characters across them, nor a letter or digit and one of these marks.
 _LETTER = "A-Za-z0-9À-ÖØ-öø-ÿ"
 UNIT = re.compile(rf"[{_LETTER}]+(?=[{WHITE}.,;:!?]|\Z)|[^{WHITE}]+")
+NO_BLANKS = "\x1c\x1d\x1e\x1f"
 
 
 def masked(data: bytes) -> int:
@@ -92,18 +93,31 @@ class WordEncoder:
             self.known[word] = raw[a * size : b * size]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [UNIT.findall(t) for t in texts]
+        # What stands between blanks is looked up whole; only what is new is cut into units. U+001C to U+001F are blanks for
+        # split() alone.
+        split = [UNIT.findall(t) if any(c in t for c in NO_BLANKS) else t.split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        known, older, missing = self.known, self.older, []
+        known, older, missing, cut = self.known, self.older, {}, []
         for word in set().union(*split).difference(known):
             ids = older.get(word)
-            if ids is None:
-                missing.append(word)
-            else:
+            if ids is not None:
                 known[word] = ids
-        for at in range(0, len(missing), 2048):
-            self._ask(missing[at : at + 2048])
+                continue
+            units = UNIT.findall(word)
+            if len(units) > 1:
+                cut.append((word, units))
+            for unit in units:
+                if unit not in known:
+                    if (ids := older.get(unit)) is None:
+                        missing[unit] = None
+                    else:
+                        known[unit] = ids
+        new = list(missing)
+        for at in range(0, len(new), 2048):
+            self._ask(new[at : at + 2048])
+        for word, units in cut:
+            known[word] = b"".join(map(known.__getitem__, units))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 

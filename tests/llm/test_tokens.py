@@ -165,3 +165,11 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert bpe.decode(bpe.encode(df, "text", RANKS, public_tokenizers.PATTERN), "ids", RANKS).count() == 0
     assert F.col("x") is not None
+
+
+def test_marks_and_separators_as_library():
+    """Words are looked up with the marks behind them; U+001C to U+001F are no blanks to the tokenizer."""
+    library, encoder = Tokenizer.from_str(WORDS.decode()), records.WordEncoder(WORDS, "<u2")
+    for text in ("one, two. a.b,c two; two", "x\x1cy z\x85q (baz) é日本.", "a\x1d\x1e \x1f b.", ""):
+        assert encoder.encode([text])[0] == np.array(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    assert "two;" in encoder.known
