@@ -51,3 +51,17 @@ def test_grader_log_roundtrip(spark, tmp_path):
     L.write_grader_log(spark.createDataFrame(rows, schema), str(tmp_path / "g"))
     back = L.read_grader_log(spark, str(tmp_path / "g")).orderBy("attempt_idx").collect()
     assert [tuple(r) for r in back] == [(r[0], r[1], r[2], r[3], r[4], r[5], r[6]) for r in rows]
+
+
+def test_more_files_where_a_range_would_be_large(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from evalweave.sources import archives
+
+    monkeypatch.setattr(archives, "RANGE_BYTES", 2_000)
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(20)], "id long, text string")
+    archives.write_ngram_buckets(df, "id", F.col("text"), 3, 2, str(tmp_path / "b"))
+    files = sorted((tmp_path / "b").glob("*.parquet"))
+    assert len(files) > 4 and all(".zstd." in f.name for f in files)
+    rows = [tuple(r) for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert len(rows) == 20 * 28 and rows == sorted(rows)
